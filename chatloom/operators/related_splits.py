@@ -1,0 +1,191 @@
+"""Splits that keep tied records together.
+
+Records name a channel and a stream session in their id. Channels that share a
+session or an owner are tied, also through others; all records of a component get
+the same split. Components come from distributed min-label propagation with
+pointer jumping over star edges (one edge per channel and session, never all pairs
+of a session), splits from component swap search.
+
+Defined cases: null ids and ids not of the form ``Source_session_window`` tie
+nothing (rows with the same id still share a split, null ids are on their own);
+sources unknown to ``channels`` tie nothing; null or blank owners tie nothing;
+empty tables give empty results; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chatloom.session import stored
+
+ID_FORM = r"(?iU)^(.+)_(s[0-9a-f]{8})_(\d+)\s*$"
+#: Components above this share of all records are placed first, in one task: there are at most 1 / LARGE of them.
+LARGE = 0.001
+#: Components annealed together in one task.
+BLOCK = 4096
+
+
+def name_key(c):
+    """A channel name without case, spaces, ``-`` and ``_``; '' for null."""
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\-_]+", ""))
+
+
+def record_keys(pairs: DataFrame) -> DataFrame:
+    """pair_id, id, source_key, session of each record; the last two are null where the id isn't of the form."""
+    ok = F.col("id").rlike(ID_FORM)
+    return pairs.select(
+        "pair_id",
+        "id",
+        F.when(ok, name_key(F.regexp_extract("id", ID_FORM, 1))).alias("source_key"),
+        F.when(ok, F.lower(F.regexp_extract("id", ID_FORM, 2))).alias("session"),
+    )
+
+
+def channel_edges(keys: DataFrame, channels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(channels with records, star edges a -> b). Records are reduced to distinct (source, session) before any join."""
+    named = channels.select("channel_id", name_key(F.col("source")).alias("source_key"), F.lower(F.regexp_replace("owner", r"(?U)\s+", "")).alias("owner_key"))
+    used = stored(keys.where("source_key IS NOT NULL").select("source_key", "session").distinct().join(named, "source_key"), "p2-used")
+    with_records = used.select("channel_id", "owner_key").distinct()
+
+    def star(df: DataFrame, key: str) -> DataFrame:
+        df = df.select("channel_id", key).distinct()
+        hub = df.groupBy(key).agg(F.min("channel_id").alias("hub"))
+        return df.join(hub, key).where("channel_id <> hub").select(F.col("channel_id").alias("a"), F.col("hub").alias("b"))
+
+    edges = star(used, "session").union(star(with_records.where("owner_key <> ''"), "owner_key")).distinct()
+    return with_records.select("channel_id"), edges
+
+
+def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(channel_id, component): the least node that each node reaches. Rounds grow with the logarithm of the longest path."""
+    both = stored(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "p2-edges")
+    labels = stored(nodes.select(F.col("channel_id").alias("n"), F.col("channel_id").alias("l")), "p2-labels")
+    for _ in range(max_rounds):
+        near = both.join(labels.select(F.col("n").alias("b"), "l"), "b").groupBy(F.col("a").alias("n")).agg(F.min("l").alias("m"))
+        low = labels.join(near, "n", "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("new"))
+        hop = low.alias("x").join(labels.select(F.col("n").alias("new"), F.col("l").alias("far")), "new", "left")
+        nxt = stored(hop.select("n", "l", F.least("new", F.coalesce("far", "new")).alias("new")), "p2-labels")
+        changed = nxt.where("l <> new").limit(1).count()
+        labels = nxt.select("n", F.col("new").alias("l"))
+        if not changed:
+            return labels.select(F.col("n").alias("channel_id"), F.col("l").alias("component"))
+    raise RuntimeError("components did not settle")
+
+
+def channel_components(pairs: DataFrame, channels: DataFrame) -> DataFrame:
+    nodes, edges = channel_edges(record_keys(pairs), channels)
+    return connected(nodes, edges)
+
+
+def tied_channels(pairs: DataFrame, channels: DataFrame) -> DataFrame:
+    """(channel_a, channel_b): all pairs of channels with records that share a component, smaller first."""
+    c = stored(channel_components(pairs, channels), "p2-components")
+    a, b = c.select(F.col("channel_id").alias("channel_a"), "component"), c.select(F.col("channel_id").alias("channel_b"), "component")
+    return a.join(b, "component").where("channel_a < channel_b").select("channel_a", "channel_b")
+
+
+def anneal(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, label_want: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
+    """Best (cost, assignment) met while moving and exchanging whole components between splits.
+
+    Cost: squared deviation of each split's size from ``want`` plus that of its label
+    counts from ``label_want``, both relative to the total.
+    """
+    rng = np.random.default_rng(seed)
+    k, n = len(want), len(sizes)
+    at = start.copy()
+    load = np.bincount(at, sizes, k)
+    lab = np.zeros((k, labels.shape[1]))
+    np.add.at(lab, at, labels)
+    total = max(1.0, float(sizes.sum()))
+    cost = lambda: float(((load - want) ** 2).sum() + 0.25 * ((lab - label_want) ** 2).sum()) / total**2
+    now = cost()
+    best, kept = now, at.copy()
+    heat = max(now, 1e-9)
+    for step in range(steps):
+        i = int(rng.integers(n))
+        moves = [(i, int(rng.integers(k)))]
+        if n > 1 and rng.random() < 0.5:
+            j = int(rng.integers(n))
+            moves = [(i, int(at[j])), (j, int(at[i]))]
+        before = [(x, int(at[x])) for x, _ in moves]
+        for x, to in moves:
+            load[at[x]] -= sizes[x]
+            lab[at[x]] -= labels[x]
+            at[x] = to
+            load[to] += sizes[x]
+            lab[to] += labels[x]
+        new = cost()
+        if new <= now or rng.random() < math.exp(-(new - now) / max(heat * 0.995**step, 1e-15)):
+            now = new
+            if now < best:
+                best, kept = now, at.copy()
+        else:
+            for x, to in reversed(before):
+                load[at[x]] -= sizes[x]
+                lab[at[x]] -= labels[x]
+                at[x] = to
+                load[to] += sizes[x]
+                lab[to] += labels[x]
+    return best, kept
+
+
+def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[float, ...] = (0.8, 0.1, 0.1), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42, restarts: int = 4, steps: int = 4000) -> DataFrame:
+    """(pair_id, component, split) of every record, all records of a component in one split.
+
+    Hashed start, then moves and exchanges of whole components by simulated annealing:
+    the few components above LARGE of all records in one task, the rest in parallel
+    blocks of about BLOCK components that share what the large ones leave of the
+    proportions; the best of ``restarts`` runs is kept. The label balanced beside the
+    size is whether a record has a usable summary. A component larger than the
+    smallest split lands where it deviates least.
+    """
+    comp = channel_components(pairs, channels).join(channels.select("channel_id", name_key(F.col("source")).alias("source_key")), "channel_id").groupBy("source_key").agg(F.min("component").alias("channel"))
+    comp = stored(comp, "p2-sources")
+    tagged = pairs.select(
+        "pair_id",
+        "id",
+        (F.length(F.trim(F.coalesce("summary", F.lit("")))) > 0).cast("int").alias("label"),
+        F.when(F.col("id").rlike(ID_FORM), name_key(F.regexp_extract("id", ID_FORM, 1))).alias("source_key"),
+    )
+    record = tagged.join(comp, "source_key", "left").select(
+        "pair_id", "label",
+        F.when(F.col("channel").isNotNull(), F.concat(F.lit("c"), F.col("channel")))
+        .when(F.col("source_key").isNotNull(), F.concat(F.lit("s"), F.col("source_key")))
+        .when(F.col("id").isNotNull(), F.concat(F.lit("i"), F.col("id")))
+        .otherwise(F.concat(F.lit("p"), F.col("pair_id"))).alias("component"),
+    )
+    record = stored(record, "p2-records")
+    sizes = stored(record.groupBy("component").agg(F.count("*").alias("n"), F.sum("label").alias("n_label")), "p2-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("n_label"), F.lit(0))).first()
+    limit = max(1, int(total[0] * LARGE))
+    share = np.array(proportions) / sum(proportions)
+    big = sorted(((r["component"], r["n"], r["n_label"]) for r in sizes.where(F.col("n") > limit).collect()), key=lambda r: (-r[1], r[0]))
+    load, label_load, placed = np.zeros(len(share)), np.zeros(len(share)), []
+    for name, n, m in big:
+        to = int(np.argmax(share * total[0] - load))
+        load[to] += n
+        label_load[to] += m
+        placed.append((name, names[to]))
+    blocks = max(1, math.ceil((total[1] - len(big)) / BLOCK))
+    want, label_want = np.maximum(share * total[0] - load, 0), np.maximum(share * total[2] - label_load, 0)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("component").reset_index(drop=True)
+        n, m = pdf["n"].to_numpy(float), pdf["n_label"].to_numpy(float)
+        goal = want / max(want.sum(), 1e-9)
+        edges = np.cumsum(goal)
+        start = np.minimum(np.searchsorted(edges, (pd.util.hash_array(pdf["component"].to_numpy(object)) >> np.uint64(11)).astype(float) / 2.0**53, side="right"), len(goal) - 1)
+        goal_m = label_want / max(label_want.sum(), 1e-9) * m.sum()
+        runs = [anneal(n, np.stack([m, n - m], 1), goal * n.sum(), np.stack([goal_m, goal * n.sum() - goal_m], 1), start, seed + r, steps) for r in range(restarts)]
+        at = min(runs, key=lambda r: r[0])[1]
+        return pd.DataFrame({"component": pdf["component"], "split": [names[i] for i in at]})
+
+    rest = sizes.where(F.col("n") <= limit).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks)))
+    chosen = rest.groupBy("block").applyInPandas(block, "component string, split string")
+    if placed:
+        chosen = chosen.unionByName(pairs.sparkSession.createDataFrame(placed, "component string, split string"))
+    return record.join(chosen, "component").select("pair_id", "component", "split")

@@ -1,0 +1,28 @@
+"""Queries p2, p3, p5 and p6 over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from chatloom.functions.lines import chat_tables
+from chatloom.operators import hidden_duplicates, related_splits, repeated_runs, split_overlap
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/summary_pairs.parquet")
+
+
+def _channels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/channels.parquet")
+
+
+QUERIES = {
+    "p2_found": lambda s, d: related_splits.tied_channels(_pairs(s, d), _channels(s, d)),
+    "p2_splits": lambda s, d: related_splits.assign_splits(_pairs(s, d), _channels(s, d)),
+    "p3_found": lambda s, d: hidden_duplicates.duplicate_pairs(chat_tables(s, d)),
+    "p3_collapsed": lambda s, d: hidden_duplicates.collapse(chat_tables(s, d)),
+    "p5_found": lambda s, d: repeated_runs.repeated_runs(chat_tables(s, d)),
+    "p5_collapsed": lambda s, d: repeated_runs.collapse_runs(chat_tables(s, d)),
+    "p6_found": lambda s, d: split_overlap.overlap_pairs(_pairs(s, d)),
+    "p6_report": lambda s, d: split_overlap.overlap_report(_pairs(s, d)),
+}
