@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chatloom.functions.lines import chat_tables
-from chatloom.llm import abuse, encoding, lookalike, mixing, personal_info
+from chatloom.llm import abuse, broken_pairs, encoding, lookalike, mixing, personal_info
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,13 @@ def _abuse_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(chat_tables(spark, d), _labels(spark, d), {"moment_data": "file_name", "summary_pairs": "id"})
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/summary_pairs.parquet")
+
+
 QUERIES = {
+    "p1_found": lambda s, d: broken_pairs.broken(_pairs(s, d)),
+    "p1_labels": lambda s, d: broken_pairs.labelled(_pairs(s, d)),
     "p4_found": lambda s, d: abuse.flagged(chat_tables(s, d), _labels(s, d)),
     "p4_scores": lambda s, d: abuse.scored(chat_tables(s, d), _labels(s, d)),
     "p4_rates": _abuse_rates,
