@@ -78,17 +78,22 @@ CLOSED = re.compile(r"[.!?。！？…][\"'”’»)\]*]*$")
 SCRIPTS = (("kana", "぀", "ヿ"), ("han", "一", "鿿"), ("hangul", "가", "힯"), ("cyrillic", "Ѐ", "ӿ"), ("arabic", "؀", "ۿ"), ("greek", "Ͱ", "Ͽ"), ("hebrew", "֐", "׿"), ("thai", "฀", "๿"), ("devanagari", "ऀ", "ॿ"))
 
 
+FOREIGN = re.compile("[" + "".join(f"{a}-{b}" for _, a, b in SCRIPTS) + "]")
+LETTER, LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
+
+
 def script(text: str) -> str | None:
     """The script of most letters; None without letters."""
-    if text.isascii():
-        return "latin" if any(map(str.isalpha, text)) else None
+    foreign = [] if text.isascii() else FOREIGN.findall(text)
+    if not foreign:
+        return "latin" if LETTER.search(text) else None
     n: Counter[str] = Counter()
-    for c in text:
-        if c.isalpha():
-            n[next((k for k, a, b in SCRIPTS if a <= c <= b), "latin")] += 1
+    for c, k in Counter(foreign).items():
+        n[next(name for name, a, b in SCRIPTS if a <= c <= b)] += k
     if n["kana"]:
         n["kana"] += n.pop("han", 0)
-    return n.most_common(1)[0][0] if n else None
+    n["latin"] = len(LETTER.findall(text)) - len(foreign)
+    return n.most_common(1)[0][0]
 
 
 def by_words(text: str) -> str | None:
@@ -97,9 +102,9 @@ def by_words(text: str) -> str | None:
     if own:
         return own
     n: Counter[str] = Counter()
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
+    for w, k in Counter(LETTERS.findall(text.lower())).items():
         for lang in _BY_WORD.get(w, ()):
-            n[lang] += 1
+            n[lang] += k
     top = n.most_common(2)
     if not top or top[0][1] < 2 or (len(top) > 1 and top[0][1] < 1.25 * top[1][1]):
         return None
