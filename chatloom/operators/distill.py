@@ -39,9 +39,9 @@ def is_system(user: Column, text: Column) -> Column:
     return (F.length(text) == 0) | F.lower(user).isin(*L.DISTILL_BOTS) | F.lower(text).rlike(f"(?U){L.DISTILL_SYSTEM}")
 
 
-def cleaned(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
-    """(window_id, line_no, raw, user, text, payload, status, runs, key): one row a line, status one of kept, system, noise, empty."""
-    df = lines.select("window_id", "line_no", "raw", T.parsed(F.col("raw")).alias("p")).select("window_id", "line_no", "raw", "p.user", "p.text")
+def cleaned(lines: DataFrame, opts: DistillOptions = DistillOptions(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(window_id, line_no, raw, user, text, payload, status, runs, key): one row a line, status one of kept, system, noise, empty; ``keep`` names columns to carry along."""
+    df = lines.select("window_id", "line_no", "raw", *keep, T.parsed(F.col("raw")).alias("p")).select("window_id", "line_no", "raw", *keep, "p.user", "p.text")
     payload = T.normalized(T.badge_free(F.col("text") if opts.strip_metadata else T.strip(F.col("raw"))))
     system = is_system(F.col("user"), F.col("text")) if opts.drop_system_lines else F.lit(False)
     df = df.withColumn("payload", payload).withColumn(

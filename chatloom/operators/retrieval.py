@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from chatloom import lexicon as L
 from chatloom.functions import text as T
+from chatloom.session import stored
 
 BLOCK = 1024
 
@@ -59,11 +60,12 @@ def nearest(queries: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
     """(moment_id, example_id, score, rank): the k most similar examples of each query but itself, from long vectors."""
     spark = examples.sparkSession
     packed = examples.groupBy("moment_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights"))
-    ids = queries.select("moment_id").distinct().withColumn("block", F.expr("0L"))
-    ids = ids.withColumn("block", F.expr(f"(row_number() OVER (ORDER BY moment_id) - 1) div {BLOCK}"))
-    numbers = [r["block"] for r in ids.select("block").distinct().orderBy("block").collect()]
+    ids = stored(queries.select("moment_id").distinct(), "retrieval-queries")
+    n_blocks = max(1, -(-ids.count() * 5 // (4 * BLOCK)))
+    ids = ids.withColumn("block", F.pmod(F.xxhash64("moment_id"), F.lit(n_blocks)))
     parts = []
-    for b in numbers:
+    for b in range(n_blocks):
+        # a block holds about BLOCK queries at most, whatever the size of the query set
         rows = queries.join(ids.where(F.col("block") == b).select("moment_id"), "moment_id", "left_semi").collect()
         names = sorted({r["moment_id"] for r in rows})
         number = {m: i for i, m in enumerate(names)}

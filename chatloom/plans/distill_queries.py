@@ -9,6 +9,7 @@ from chatloom import lexicon as L
 from chatloom.functions import text as T
 from chatloom.operators import distill
 from chatloom.plans import sqlparts as S
+from chatloom.streaming import live
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +20,12 @@ def _cleaned(s: SparkSession, d: str) -> DataFrame:
     return distill.cleaned(_lines(s, d))
 
 
+def _live(s: SparkSession, d: str) -> DataFrame:
+    return live.run_once(s, live.live_counts(live.log_stream(s, d)), "window_id string, start timestamp, key string, n long", "live")
+
+
 QUERIES = {
+    "live_key_counts": _live,
     "parse_lines": lambda s, d: _lines(s, d).select("window_id", "line_no", T.parsed(F.col("raw")).alias("p")).select("window_id", "line_no", F.col("p.user").alias("user_name"), F.col("p.text").alias("message")),
     "system_filter_counts": lambda s, d: _cleaned(s, d).groupBy("window_id").agg(F.count("*").alias("lines"), F.count_if(F.col("status") == "system").alias("system_lines")),
     "normalize_messages": lambda s, d: _lines(s, d).select("window_id", "line_no", T.normalized(T.badge_free(T.parsed(F.col("raw"))["text"])).alias("payload")),

@@ -1,0 +1,180 @@
+import itertools
+import random
+
+import pytest
+
+from chatloom.functions.lines import lines_of, parse_line, seconds
+from chatloom.operators import hidden_duplicates as dup
+from chatloom.operators import related_splits as rel
+from chatloom.operators import repeated_runs as runs
+from chatloom.operators import split_overlap as over
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("[00:01:02] ann: hi: all", ("00:01:02", "ann", "hi: all")),
+        ("\tann [00:01:02]: hi", ("00:01:02", "ann", "hi")),
+        ("ann: hi", (None, "ann", "hi")),
+        ('{"user": "ann", "text": "hi \\u00e9", "time": "1:02:03"}', ("1:02:03", "ann", "hi é")),
+        ("  text=a | b | user=ann | time=00:00:01 ", ("00:00:01", "ann", "a | b")),
+        ("user=ann|time=00:00:01|text=x=y", ("00:00:01", "ann", "x=y")),
+        ("look at https://a.b/c", (None, None, "look at https://a.b/c")),
+        ("https://a.b/c", (None, None, "https://a.b/c")),
+        ('{"broken', (None, None, '{"broken')),
+        ("[not a time] x", (None, None, "[not a time] x")),
+    ],
+)
+def test_line_shapes(raw, want):
+    assert parse_line(raw) == want
+
+
+def test_lines_and_times():
+    assert lines_of("a\n\n \n b") == ["a", " b"] and lines_of([None, "", "x"]) == ["x"] and lines_of(None) == []
+    assert (seconds("0:01:02"), seconds("01:02"), seconds("x"), seconds(None)) == (62, 3720, None, None)
+
+
+CHANNELS = "channel_id long, source string, owner string, rep string"
+PAIRS = "pair_id long, id string, chat string, summary string, split string, band int"
+
+
+def pairs_of(spark, rows):
+    return spark.createDataFrame(rows, PAIRS)
+
+
+def test_ties_against_brute_force(spark):
+    rng = random.Random(5)
+    channels = [(i, f"Chan_{i}", rng.choice([None, " ", f"Own {i % 7}", f"own  {i % 7}"]), "x") for i in range(40)]
+    rows = []
+    for k in range(120):
+        c = rng.randrange(45)
+        name = rng.choice([f"Chan_{c}", f"CHAN {c}", f" chan-{c}"])
+        rows.append((k, rng.choice([f"{name}_s{rng.randrange(60):08x}_{k}", f"{name}_S{rng.randrange(60):08X}_1 ", None, f"row_{k}"]), "c", "s", None, 1))
+    got = {tuple(r) for r in rel.tied_channels(pairs_of(spark, rows), spark.createDataFrame(channels, CHANNELS)).collect()}
+    boss = {}
+
+    def root(x):
+        while boss.setdefault(x, x) != x:
+            x = boss[x]
+        return x
+
+    used = {}
+    for _, i, *_ in rows:
+        if i and "row_" not in i:
+            n, s, _ = i.strip().rsplit("_", 2)
+            c = int("".join(ch for ch in n if ch.isdigit()))
+            if c < 40:
+                used[c] = True
+                boss[root(("c", c))] = root(("s", s.lower()))
+    for c, _, o, _ in channels:
+        if c in used and o and o.strip():
+            boss[root(("c", c))] = root(("o", o.lower().replace(" ", "")))
+    want = {(a, b) for a, b in itertools.combinations(sorted(used), 2) if root(("c", a)) == root(("c", b))}
+    assert got == want and want
+
+
+def test_splits_keep_components_and_proportions(spark, data):
+    pairs, channels = spark.read.parquet(f"{data}/summary_pairs.parquet"), spark.read.parquet(f"{data}/channels.parquet")
+    out = rel.assign_splits(pairs, channels)
+    assert out.count() == pairs.count()
+    assert out.groupBy("component").agg({"split": "min", "*": "count"}).count() == out.select("component", "split").distinct().count()
+    synth = pairs_of(spark, [(i, f"x{i // 3}", "c", "s", None, 1) for i in range(3000)])
+    n = {r["split"]: r["count"] for r in rel.assign_splits(synth, channels).groupBy("split").count().collect()}
+    assert abs(n["train"] - 2400) <= 30 and abs(n["val"] - 300) <= 30
+    assert rel.assign_splits(pairs_of(spark, []), channels).count() == 0
+    assert rel.tied_channels(pairs, channels.limit(0)).count() == 0
+
+
+def moments_of(spark, rows):
+    return ("moment_data", spark.createDataFrame(rows, "moment_id long, messages array<string>, rep long"), "moment_id", "messages")
+
+
+def test_hidden_duplicates(spark, rows):
+    a = ["[00:00:01] ann: Hello, you", "[00:00:02] bob: second"]
+    b = ['{"text":"hello YOU!","time":"00:00:01","user":"Ann"}', None, "", "user=bob | text=SECOND | time=00:00:02"]
+    t = moments_of(spark, [(1, a, 0), (2, b, 0), (3, a[::-1], 0), (4, ["ann: Hello, you", "bob: second"], 0), (5, None, 0), (6, [], 0), (7, [" "], 0), (8, b, 0)])
+    assert rows(dup.duplicate_pairs([t])) == [("moment_data", 1, 2), ("moment_data", 1, 8), ("moment_data", 2, 8)]
+    assert {r["rec_id"]: r["copies"] for r in dup.collapse([t]).collect()} == {1: 3, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert dup.duplicate_pairs([moments_of(spark, [])]).count() == 0
+
+
+def test_colliding_fingerprints_are_told_apart(spark, rows, monkeypatch):
+    monkeypatch.setattr(dup, "_prints", lambda key, messages: iter([(key, 1, 0, 0)]))
+    t = moments_of(spark, [(1, ["a"], 0), (2, ["a"], 0), (3, ["b"], 0), (4, ["b"], 0), (5, ["c"], 0)])
+    assert rows(dup.duplicate_pairs([t])) == [("moment_data", 1, 2), ("moment_data", 3, 4)]
+
+
+def test_fingerprint_ignores_order():
+    f = ["0|a|x", "1|b|y", "2|c|z"]
+    assert dup.fingerprint(iter(f)) == dup.fingerprint(iter(f[::-1])) != dup.fingerprint(iter(f[:2]))
+
+
+@pytest.mark.parametrize(
+    "texts, want",
+    [
+        (["hello there everyone", "hello there everyone", "x"], [(0, 2)]),
+        (["hello there everyone", "Hello  there, everyone!!", "helllllo there everyone"], [(0, 3)]),
+        (["hello there everyone", "hello tehre everyone", "hello there everyone lol"], [(0, 3)]),
+        (["hello tehre everyone", "hello there evreyone"], [(0, 2)]),
+        (["hello there", "hello thre"], []),  # fewer than 14 letters
+        (["lol", "LOL!", "loool"], [(0, 3)]),
+        (["we need six more votes", "we need ten more votes"], []),
+        (["subscribed at Tier 1 today", "subscribed at Tier 2 today"], []),
+        (["🔥🔥🔥", "🔥🔥🔥", "😂"], [(0, 2)]),
+        (["a", "b", "a"], []),
+        (["same text right here"] * 2 + ["other text right there"] * 3, [(0, 2), (2, 5)]),
+        (["do you ever cook on stream", "do you eer cook on stream"], [(0, 2)]),
+        ([], []),
+        (["one"], []),
+    ],
+)
+def test_runs(texts, want):
+    assert runs.spans(texts) == want
+
+
+def test_collapsed_runs(spark, rows):
+    t = moments_of(spark, [(1, ["[23:59:59] a: hello there everyone", "[00:00:09] b: hello there everyone", None, "[00:00:10] c: bye"], 0), (2, ["x"], 0), (3, None, 0)])
+    assert rows(runs.repeated_runs([t])) == [("moment_data", 1, 1, 2)]
+    assert rows(runs.collapse_runs([t])) == [("moment_data", 1, 1, "a", "hello there everyone", 2, 10), ("moment_data", 1, 3, "c", "bye", 1, 0), ("moment_data", 2, 1, None, "x", 1, None)]
+
+
+def test_runs_of_very_long_records():
+    assert runs.spans(["message number %d of many" % (i // 2) for i in range(4000)]) == [(i, i + 2) for i in range(0, 4000, 2)]
+
+
+def overlap_brute(rows):
+    from collections import Counter
+
+    bags = {k: (s, Counter(over.words_of(c))) for k, _, c, _, s, _ in rows if c and over.words_of(c)}
+    out = set()
+    for (a, (sa, x)), (b, (sb, y)) in itertools.combinations(sorted(bags.items()), 2):
+        if (sa == "train") != (sb == "train") and {sa, sb} <= {"train", "val", "test"} and sum((x & y).values()) >= 0.8 * max(x.total(), y.total()):
+            out.add((a, b))
+    return out
+
+
+def test_overlap_against_brute_force(spark):
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(40)]
+    rows = []
+    for k in range(300):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 3, 20])):
+            words[rng.randrange(len(words))] = f"z{rng.randrange(999)}"
+        chat = "\n".join(f"u{k}: " + " ".join(words[i : i + 10]).capitalize() for i in range(0, 60, 10))
+        rows.append((k, None, chat, "s", rng.choice(["train", "train", "val", "test", None]), 1))
+    rows += [(900, None, None, "s", "train", 1), (901, None, " ", "s", "val", 1), (902, None, "u: GG", "s", "train", 1), (903, None, "[00:00:01] v: gg!", "s", "test", 1), (904, None, "🔥", "s", "val", 1)]
+    got = {tuple(r) for r in over.overlap_pairs(pairs_of(spark, rows)).collect()}
+    want = overlap_brute(rows)
+    assert got <= want and len(got) >= 0.99 * len(want) and (902, 903) in got
+    report = over.overlap_report(pairs_of(spark, rows)).collect()
+    assert sum(r["pairs"] for r in report) == len(got)
+    assert over.overlap_pairs(pairs_of(spark, [])).count() == 0
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    hot = "a: " + " ".join(f"k{i}" for i in range(30))
+    rows = [(i, None, hot if i % 3 == 0 else f"b: other {i} " + " ".join(f"q{i}_{j}" for j in range(20)), "s", "train" if i % 2 else "val", 1) for i in range(600)]
+    df = pairs_of(spark, rows)
+    assert over.overlap_pairs(df).count() == 100 * 100
+    assert dup.collapse([("summary_pairs", df, "pair_id", "chat")]).where("copies = 200").count() == 1
