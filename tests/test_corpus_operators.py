@@ -166,7 +166,13 @@ def test_overlap_against_brute_force(spark):
     rows += [(900, None, None, "s", "train", 1), (901, None, " ", "s", "val", 1), (902, None, "u: GG", "s", "train", 1), (903, None, "[00:00:01] v: gg!", "s", "test", 1), (904, None, "🔥", "s", "val", 1)]
     got = {tuple(r) for r in over.overlap_pairs(pairs_of(spark, rows)).collect()}
     want = overlap_brute(rows)
-    assert got <= want and len(got) >= 0.99 * len(want) and (902, 903) in got
+    assert got <= want and (902, 903) in got
+    # what is promised: links by the share of 5-grams in common; edits spread over all of a text lower that share most
+    text = {k: over.words_of(c) for k, _, c, *_ in rows}
+    grams = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in text.items()}
+    share = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    near = {p for p in want if share(*p) >= 0.6}
+    assert len(got & near) >= 0.99 * len(near) and len(got) >= 0.93 * len(want) and len(near) > 50
     report = over.overlap_report(pairs_of(spark, rows)).collect()
     assert sum(r["pairs"] for r in report) == len(got)
     assert over.overlap_pairs(pairs_of(spark, [])).count() == 0
