@@ -282,7 +282,7 @@ def labelled(pairs: DataFrame, cutoffs: dict[str, float] | None = None) -> DataF
         .otherwise(F.array(
             F.when(F.col("known").isNull(), -1).when(ratio < 0.12, 1).when(ratio > 0.3, 0).otherwise(-1),
             F.when(F.coalesce("word", F.lit(0)) == 0, 1).otherwise(-1),
-            F.when(F.col("dangling") == 1, 1).otherwise(-1),
+            F.when((F.col("dangling") == 1) & ~F.coalesce(ratio > 0.3, F.lit(False)), 1).otherwise(-1),
         )),
     )
     rows = stored(rows.select("pair_id", *DEFECTS), "p1-patterns")
