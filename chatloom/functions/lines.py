@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.session import table
+
 BRACKET = re.compile(r"\[(\d{1,2}:\d\d(?::\d\d)?)\]\s*(?:-\s*)?(?:([^\s:\[\]]{1,40}):(?!//)\s*)?(.*)", re.S)
 USER_BRACKET = re.compile(r"([^\s:\[\]]{1,40})\s*\[(\d{1,2}:\d\d(?::\d\d)?)\]\s*:?\s*(.*)", re.S)
 PLAIN = re.compile(r"([^\s:\[\]]{1,40}):(?!//)\s+(.*)", re.S)
@@ -118,6 +120,6 @@ def over_records(
 def chat_tables(spark, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
     """The two tables with chat records, in the form that over_records takes."""
     return [
-        ("moment_data", spark.read.parquet(f"{sf_dir}/moment_data.parquet"), "moment_id", "messages"),
-        ("summary_pairs", spark.read.parquet(f"{sf_dir}/summary_pairs.parquet"), "pair_id", "chat"),
+        ("moment_data", table(spark, sf_dir, "moment_data"), "moment_id", "messages"),
+        ("summary_pairs", table(spark, sf_dir, "summary_pairs"), "pair_id", "chat"),
     ]

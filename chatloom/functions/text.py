@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom import lexicon as L
@@ -100,6 +100,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def computed(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``df`` with only ``keep`` and the given columns, each computed once a row.
+
+    A plain projection may be copied into every filter and projection above it, regex
+    chains and all; the result of a generator can't be.
+    """
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def flood(text: Column, threshold: int) -> Column:
     """struct(line, runs): the text with token floods compressed, and how many.
 

@@ -18,7 +18,8 @@ from chatloom.operators.ranking import hash_bucket, ranked
 
 def valid(pairs: DataFrame) -> DataFrame:
     """(pair_id, id, chat, target) of pairs with both fields, stripped."""
-    return pairs.select("pair_id", "id", T.strip(F.col("chat")).alias("chat"), T.strip(F.col("summary")).alias("target")).where((F.length("chat") > 0) & (F.length("target") > 0))
+    df = T.computed(pairs, "pair_id", "id", c=T.strip(F.col("chat")), target=T.strip(F.col("summary")))
+    return df.where((F.length("c") > 0) & (F.length("target") > 0)).select("pair_id", "id", F.col("c").alias("chat"), "target")
 
 
 def source_of(c: Column) -> Column:

@@ -41,22 +41,18 @@ def is_system(user: Column, text: Column) -> Column:
 
 def cleaned(lines: DataFrame, opts: DistillOptions = DistillOptions(), keep: tuple[str, ...] = ()) -> DataFrame:
     """(window_id, line_no, raw, user, text, payload, status, runs, key): one row a line, status one of kept, system, noise, empty; ``keep`` names columns to carry along."""
-    df = lines.select("window_id", "line_no", "raw", *keep, T.parsed(F.col("raw")).alias("p")).select("window_id", "line_no", "raw", *keep, "p.user", "p.text")
-    payload = T.normalized(T.badge_free(F.col("text") if opts.strip_metadata else T.strip(F.col("raw"))))
-    system = is_system(F.col("user"), F.col("text")) if opts.drop_system_lines else F.lit(False)
-    df = df.withColumn("payload", payload).withColumn(
-        "status",
-        F.when(system, "system").when(F.length("payload") < opts.min_message_chars, F.when(F.col("raw").rlike(L.BADGE), "noise").otherwise("empty")).otherwise("kept"),
-    )
-    if opts.collapse_token_floods:
-        df = df.withColumn("_flood", F.when(F.col("status") == "kept", T.flood(F.col("payload"), max(2, opts.token_flood_threshold))))
-        df = df.withColumn("runs", F.coalesce("_flood.runs", F.lit(0))).withColumn("payload", F.coalesce("_flood.line", "payload")).drop("_flood")
-    else:
-        df = df.withColumn("runs", F.lit(0))
-    if opts.collapse_duplicate_messages:
-        df = df.withColumn("key", T.dedup_key(F.col("payload")))
-        return df.withColumn("status", F.when((F.col("status") == "kept") & (F.col("key") == ""), "empty").otherwise(F.col("status")))
-    return df.withColumn("key", F.col("line_no").cast("string"))
+    has = ("window_id", "line_no", "raw", *keep)
+    df = T.computed(lines, *has, p=T.parsed(F.col("raw")))
+    df = T.computed(df, *has, "p", payload=T.normalized(T.badge_free(F.col("p.text") if opts.strip_metadata else T.strip(F.col("raw")))))
+    system = is_system(F.col("p.user"), F.col("p.text")) if opts.drop_system_lines else F.lit(False)
+    short = F.length("payload") < opts.min_message_chars
+    status = F.when(system, "system").when(short, F.when(F.col("raw").rlike(L.BADGE), "noise").otherwise("empty")).otherwise("kept")
+    df = T.computed(df, *has, "p", "payload", status=status)
+    plain = F.struct(F.col("payload").alias("line"), F.lit(0).alias("runs"))
+    flood = F.when(F.col("status") == "kept", T.flood(F.col("payload"), max(2, opts.token_flood_threshold))).otherwise(plain) if opts.collapse_token_floods else plain
+    df = T.computed(df, *has, "p", "status", f=flood)
+    df = T.computed(df, *has, "p", "status", "f", key=T.dedup_key(F.col("f.line")) if opts.collapse_duplicate_messages else F.col("line_no").cast("string"))
+    return df.select(*has, "p.user", "p.text", F.col("f.line").alias("payload"), F.when((F.col("status") == "kept") & (F.col("key") == ""), "empty").otherwise(F.col("status")).alias("status"), "f.runs", "key")
 
 
 def key_counts(df: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def messages(moments: DataFrame) -> DataFrame:
     said = F.filter(F.transform(F.filter(F.coalesce("messages", F.array()), lambda x: x.isNotNull()), T.parsed_bracket), lambda p: (F.length(p["text"]) > 0) & ~_system(p["user"], p["text"]))
     key = F.filter(F.coalesce(F.col("extractive_summary.key_messages"), F.array()), lambda x: x.isNotNull())
     keys = F.filter(F.transform(key, lambda x: T.normalized(T.parsed_bracket(x)["text"], False)), lambda x: (F.length(x) > 0) & ~_system(F.lit(""), x))
-    df = moments.select("moment_id", "file_name", F.coalesce("window_id", F.lit("x")).alias("window_id"), F.transform(said, lambda p: T.normalized(p["text"], False)).alias("messages"), keys.alias("keys"))
-    return df.withColumn("combined", F.concat("messages", "keys"))
+    df = T.computed(moments, "moment_id", "file_name", window_id_=F.coalesce("window_id", F.lit("x")), said=F.transform(said, lambda p: T.normalized(p["text"], False)), keys=keys)
+    return df.select("moment_id", "file_name", F.col("window_id_").alias("window_id"), F.col("said").alias("messages"), "keys", F.concat("said", "keys").alias("combined"))
 
 
 def tone_scores(m: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def _substrings(low: Column, ws: tuple[str, ...]) -> Column:
 
 def concept_counts(m: DataFrame) -> DataFrame:
     """(moment_id, call_name, counts): map of every concept's count; ``call`` is one more than the hits of the name called most."""
-    df = m.select("moment_id", F.array_join("combined", "\n").alias("t")).withColumn("low", F.lower("t"))
+    df = T.computed(m, "moment_id", t=F.array_join("combined", "\n"), low=F.lower(F.array_join("combined", "\n")))
     names = F.filter(F.transform(F.regexp_extract_all("t", F.lit(f"(?i)(?U){L.CALL_PATTERN}"), F.lit(1)), F.lower), lambda x: ~x.isin(*L.GENERIC_CALL_NAMES) & (F.length(x) >= 4))
     tally = lambda ns: F.array_sort(F.transform(F.array_distinct(ns), lambda x: F.struct((-F.size(F.filter(ns, lambda y: y == x))).alias("n"), F.array_position(ns, x).alias("at"), x.alias("name"))))
     top = T.let(names, lambda ns: F.try_element_at(tally(ns), F.lit(1)))
@@ -77,14 +77,14 @@ def concept_counts(m: DataFrame) -> DataFrame:
     counts = {k: F.regexp_count("t", F.lit(f"(?i)(?U)(?d){p}")) for k, p in L.CONCEPTS.items()} | {
         "death": death, "teamplay": _substrings(F.col("low"), L.TEAMPLAY_WORDS), "looks": _substrings(F.col("low"), L.LOOK_WORDS), "argument": _substrings(F.col("low"), L.ARGUMENT_WORDS),
     }
-    df = df.select("moment_id", top.alias("call"), *(v.alias(f"c{i}") for i, v in enumerate(counts.values())))
+    df = T.computed(df, "moment_id", call=top, **{f"c{i}": v for i, v in enumerate(counts.values())})
     entries = [x for i, k in enumerate(counts) for x in (F.lit(k), F.col(f"c{i}"))] + [F.lit("call"), F.coalesce(1 - F.col("call.n"), F.lit(0))]
-    return df.select("moment_id", F.col("call.name").alias("call_name"), F.map_filter(F.create_map(*entries), lambda k, v: v > 0).alias("counts"))
+    return T.computed(df, "moment_id", call_name=F.col("call.name"), counts=F.map_filter(F.create_map(*entries), lambda k, v: v > 0))
 
 
 def phrases(m: DataFrame) -> DataFrame:
     """(moment_id, phrase, n): word pairs and triples that can stand for a topic, by the number of messages with them."""
-    toks = m.select("moment_id", F.posexplode("combined").alias("p", "x")).select("moment_id", "p", T.words(F.col("x"), "[a-z][a-z0-9']+").alias("t"))
+    toks = T.computed(m.select("moment_id", F.explode("combined").alias("x")), "moment_id", t=T.words(F.col("x"), "[a-z][a-z0-9']+"))
 
     def of(n: int) -> Column:
         all_ = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.slice("t", i, n))).otherwise(F.array().cast("array<array<string>>"))

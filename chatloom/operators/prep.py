@@ -17,7 +17,7 @@ from chatloom.functions import text as T
 def clean_lines(rows: DataFrame, max_lines: int = 140) -> DataFrame:
     """(row_no, pos, line): the first ``max_lines`` distinct cleaned lines of each row, at their original positions."""
     raw = rows.select("row_no", "input_text").distinct().select("row_no", F.posexplode(F.split(F.coalesce("input_text", F.lit("")), L.LINE_BREAK, -1)).alias("pos", "raw"))
-    lines = raw.select("row_no", "pos", T.prep_line(F.col("raw")).alias("line")).where((F.length("line") > 0) & ~T.prep_noise(F.col("line")))
+    lines = T.computed(raw, "row_no", "pos", line=T.prep_line(F.col("raw"))).where((F.length("line") > 0) & ~T.prep_noise(F.col("line")))
     first = lines.groupBy("row_no", F.lower("line").alias("key")).agg(F.min(F.struct("pos", "line")).alias("first")).select("row_no", "first.pos", "first.line")
     rank = F.row_number().over(Window.partitionBy("row_no").orderBy("pos"))
     return first.withColumn("rank", rank).where(F.col("rank") <= max_lines).drop("rank")
@@ -26,7 +26,7 @@ def clean_lines(rows: DataFrame, max_lines: int = 140) -> DataFrame:
 def grams(lines: DataFrame) -> DataFrame:
     """(row_no, gram, pair, occurrences, at): words and neighbouring word pairs without noise, with the number of lines they occur in and their first place."""
     kept = F.filter(T.words(F.col("line"), "[a-z]{3,}"), lambda t: ~T.noise_token(t))
-    toks = lines.select("row_no", "pos", kept.alias("t"))
+    toks = T.computed(lines, "row_no", "pos", t=kept)
     single = toks.select("row_no", "pos", F.posexplode("t").alias("i", "gram"), F.lit(False).alias("pair"))
     pairs = toks.where(F.size("t") > 1).select(
         "row_no", "pos", F.posexplode(F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("i", "gram"), F.lit(True).alias("pair")

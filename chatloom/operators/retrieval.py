@@ -36,7 +36,7 @@ def documents(moments: DataFrame, first: int = 40) -> DataFrame:
     keys = known(F.col("extractive_summary.key_messages"))
     text = F.array_join(F.concat(keys, keys, F.transform(F.slice(known(F.col("messages")), 1, first), T.message_text)), "\n")
     summary = F.col("abstractive_summary.summary")
-    return moments.select("moment_id", T.nonblank(summary).alias("labelled"), summary.alias("summary"), tokens(text).alias("tokens"))
+    return T.computed(moments, "moment_id", labelled=T.nonblank(summary), summary=summary, tokens=tokens(text))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

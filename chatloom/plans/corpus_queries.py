@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chatloom.functions.lines import chat_tables
 from chatloom.operators import hidden_duplicates, related_splits, repeated_runs, split_overlap
+from chatloom.session import table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/summary_pairs.parquet")
+    return table(spark, d, "summary_pairs")
 
 
 def _channels(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/channels.parquet")
+    return table(spark, d, "channels")
 
 
 QUERIES = {

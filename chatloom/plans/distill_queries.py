@@ -9,11 +9,12 @@ from chatloom import lexicon as L
 from chatloom.functions import text as T
 from chatloom.operators import distill
 from chatloom.plans import sqlparts as S
+from chatloom.session import table
 from chatloom.streaming import live
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return distill.delivered(spark.read.parquet(f"{d}/chat_log.parquet"))
+    return distill.delivered(table(spark, d, "chat_log"))
 
 
 def _cleaned(s: SparkSession, d: str) -> DataFrame:
@@ -34,7 +35,7 @@ QUERIES = {
     "distill_stats": lambda s, d: distill.stats(_lines(s, d)),
     "distilled_lines": lambda s, d: distill.distilled(_lines(s, d)),
     "distilled_top": lambda s, d: distill.distilled(_lines(s, d), distill.DistillOptions(max_messages=20)),
-    "distilled_pairs": lambda s, d: distill.texts(distill.pair_lines(s.read.parquet(f"{d}/summary_pairs.parquet"))).select(F.col("window_id").alias("pair_id"), F.col("text").alias("distilled")),
+    "distilled_pairs": lambda s, d: distill.texts(distill.pair_lines(table(s, d, "summary_pairs"))).select(F.col("window_id").alias("pair_id"), F.col("text").alias("distilled")),
 }
 
 _C = S.cleaned(S.delivered())

@@ -8,10 +8,11 @@ from chatloom import lexicon as L
 from chatloom.functions import text as T
 from chatloom.operators import corpus, distill, pack, retrieval, select
 from chatloom.plans import sqlparts as S
+from chatloom.session import table
 
 
 def _docs(s, d):
-    return retrieval.documents(s.read.parquet(f"{d}/moment_data.parquet"))
+    return retrieval.documents(table(s, d, "moment_data"))
 
 
 def _vectors(s, d):
@@ -34,15 +35,15 @@ def _idf(s, d):
 
 
 def _pairs(s, d):
-    return corpus.valid(s.read.parquet(f"{d}/summary_pairs.parquet"))
+    return corpus.valid(table(s, d, "summary_pairs"))
 
 
 def _raw_pairs(s, d):
-    return s.read.parquet(f"{d}/summary_pairs.parquet")
+    return table(s, d, "summary_pairs")
 
 
 def _embeddings(s, d):
-    return s.read.parquet(f"{d}/embeddings.parquet")
+    return table(s, d, "embeddings")
 
 
 def _distilled(s, d):
@@ -51,7 +52,7 @@ def _distilled(s, d):
 
 def _few(s, d):
     near = _nearest(s, d)
-    m = s.read.parquet(f"{d}/moment_data.parquet").select("moment_id", F.array_join(F.coalesce("messages", F.array()), "\n").alias("chat"), F.col("abstractive_summary.summary").alias("summary"))
+    m = table(s, d, "moment_data").select("moment_id", F.array_join(F.coalesce("messages", F.array()), "\n").alias("chat"), F.col("abstractive_summary.summary").alias("summary"))
     shown = near.join(m.withColumnRenamed("moment_id", "example_id"), "example_id").groupBy("moment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chat", "summary"))), lambda x: F.struct(x["chat"].alias("chat"), x["summary"].alias("summary"))).alias("examples"))
     return shown.join(m.select("moment_id", "chat"), "moment_id").select("moment_id", pack.few_prompt(F.col("examples"), F.col("chat")).alias("prompt"))
 
@@ -83,7 +84,7 @@ QUERIES = {
     "train_val_split": lambda s, d: corpus.train_val(_pairs(s, d)).select("pair_id", "part"),
     "stratified_split": lambda s, d: corpus.stratified(_raw_pairs(s, d)),
     "split_totals": lambda s, d: corpus.stratified(_raw_pairs(s, d)).groupBy("part").agg(F.count("*").alias("n")),
-    "contiguous_window": lambda s, d: corpus.contiguous(distill.delivered(s.read.parquet(f"{d}/chat_log.parquet")), 5, 10),
+    "contiguous_window": lambda s, d: corpus.contiguous(distill.delivered(table(s, d, "chat_log")), 5, 10),
     "opener_diversity": lambda s, d: corpus.opener_diversity(_pairs(s, d)),
     "system_leakage": lambda s, d: corpus.system_leakage(_pairs(s, d)),
 }

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from chatloom import lexicon as L
 from chatloom.operators import moments
 from chatloom.plans import sqlparts as S
+from chatloom.session import table
 
 
 def _m(s, d):
-    return moments.messages(s.read.parquet(f"{d}/moment_data.parquet"))
+    return moments.messages(table(s, d, "moment_data"))
 
 
 QUERIES = {
@@ -21,7 +22,7 @@ QUERIES = {
     "moment_ngrams": lambda s, d: moments.phrases(_m(s, d)).where("n >= 2"),
     "moment_phrase": lambda s, d: moments.best_phrases(_m(s, d)),
     "moment_topic": lambda s, d: moments.topics(_m(s, d)),
-    "moment_summary": lambda s, d: moments.summaries(s.read.parquet(f"{d}/moment_data.parquet")),
+    "moment_summary": lambda s, d: moments.summaries(table(s, d, "moment_data")),
 }
 
 _sys = lambda u, t: f"({'' if u is None else f'lower({u}) IN ({S.listed(L.DISTILL_BOTS)}) OR '}{' OR '.join(f'contains(lower({t}), {S.q(p)})' for p in L.MOMENT_SYSTEM)})"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from chatloom import lexicon as L
 from chatloom.operators import prep
 from chatloom.plans import sqlparts as S
+from chatloom.session import table
 
 
 def _rows(s, d):
-    return s.read.parquet(f"{d}/prep_input.parquet")
+    return table(s, d, "prep_input")
 
 
 def _quotes(s, d):

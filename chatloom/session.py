@@ -35,3 +35,14 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Mark a stored table for broadcast if its counted size is within the bound; else leave the join to AQE."""
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as the cluster has cores: a single small file would leave all work to one. Scans that have enough are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A table of the driver's directory, spread over the cores."""
+    return spread(spark.read.parquet(f"{directory}/{name}.parquet"))

@@ -70,7 +70,7 @@ def prep_rows(spark: SparkSession, path: str) -> DataFrame:
 def moments(spark: SparkSession, path: str) -> DataFrame:
     """Moments of JSON array files, with their file's name; a root that is no array raises."""
     df = spark.read.schema(f"{MOMENT}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
-    if not df.where(F.col("_corrupt_record").isNotNull()).isEmpty():
+    if df.select("window_id", "messages", "_corrupt_record").where(F.col("_corrupt_record").isNotNull()).limit(1).collect():
         raise ValueError(f"no JSON array of moments in {path}")
     return df.drop("_corrupt_record")
 
