@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chatloom.functions.lines import chat_tables
 from chatloom.llm import abuse, broken_pairs, encoding, lookalike, mixing, personal_info
+from chatloom.session import table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return table(spark, d, "documents")
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +26,7 @@ def _abuse_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/summary_pairs.parquet")
+    return table(spark, d, "summary_pairs")
 
 
 QUERIES = {
