@@ -27,3 +27,13 @@ QUERIES = {
     "p6_found": lambda s, d: split_overlap.overlap_pairs(_pairs(s, d)),
     "p6_report": lambda s, d: split_overlap.overlap_report(_pairs(s, d)),
 }
+
+_FORM = r"(?i)^(.+)_(s[0-9a-f]{8})_([0-9]+)[\s\pZ]*$"
+_key = lambda c: rf"regexp_replace(lower({c}), '[\s\pZ\-_]+', '', 'g')"
+ORACLES = {
+    "p2_found": f"""WITH RECURSIVE rec AS (SELECT {_key(f"regexp_extract(id, '{_FORM}', 1)")} AS k, lower(regexp_extract(id, '{_FORM}', 2)) AS s FROM summary_pairs WHERE regexp_matches(id, '{_FORM}')),
+      u AS (SELECT DISTINCT channel_id, s, regexp_replace(lower(owner), '[\\s\\pZ]+', '', 'g') AS o FROM rec JOIN (SELECT channel_id, owner, {_key('source')} AS k FROM channels) USING (k)),
+      e AS (SELECT DISTINCT x.channel_id AS a, y.channel_id AS b FROM u x JOIN u y ON x.s = y.s OR (x.o = y.o AND x.o <> '')),
+      r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+      SELECT DISTINCT a AS channel_a, b AS channel_b FROM r WHERE a < b""",
+}
