@@ -14,6 +14,7 @@ from chatloom import lexicon as L
 from chatloom.functions import text as T
 from chatloom.operators import distill
 from chatloom.operators.ranking import hash_bucket, ranked
+from chatloom.session import stored
 
 
 def valid(pairs: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def load_stats(pairs: DataFrame, drop_low_info: bool = True) -> DataFrame:
     """One row of counters: what was seen, dropped and kept, words and lines before and after distillation, and their averages."""
     seen = pairs.agg(F.count(F.when(F.col("chat").isNotNull() & F.col("summary").isNotNull(), 1)).alias("examples_seen"))
     ok = valid(pairs)
-    lines = distill.pair_lines(ok)
-    stats = distill.stats(lines).withColumnRenamed("window_id", "pair_id")
-    text = distill.distilled(lines).groupBy(F.col("window_id").alias("pair_id")).agg(F.sum(T.count_words(F.col("line"))).alias("words_after"), F.count("*").alias("lines_after"))
+    per = stored(distill.messages(distill.pair_lines(ok)), "load-messages")
+    stats = distill.counters(per).withColumnRenamed("window_id", "pair_id")
+    text = distill.output_lines(per).groupBy(F.col("window_id").alias("pair_id")).agg(F.sum(T.count_words(F.col("line"))).alias("words_after"), F.count("*").alias("lines_after"))
     rows = ok.select("pair_id", T.count_words(F.col("chat")).alias("words_before"), F.size(T.split_lines(F.col("chat"))).alias("lines_before"), low_info(F.col("target")).alias("low")).join(stats, "pair_id", "left").join(text, "pair_id", "left")
     empty = F.col("words_after").isNull()
     low = ~empty & F.col("low") if drop_low_info else F.lit(False)

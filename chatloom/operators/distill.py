@@ -55,30 +55,42 @@ def cleaned(lines: DataFrame, opts: DistillOptions = DistillOptions(), keep: tup
     return df.select(*has, "p.user", "p.text", F.col("f.line").alias("payload"), F.when((F.col("status") == "kept") & (F.col("key") == ""), "empty").otherwise(F.col("status")).alias("status"), "f.runs", "key")
 
 
-def key_counts(df: DataFrame) -> DataFrame:
-    """(window_id, key, n, first_line, line): per message the count and the first form of it; partial counts before the shuffle."""
-    kept = df.where("status = 'kept'").groupBy("window_id", "key")
-    return kept.agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.min_by("payload", "line_no").alias("line"))
+def messages(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
+    """(window_id, status, key, n, runs, first_line, line): lines counted per message, lines that are not kept per status; partial counts before the shuffle."""
+    kept = F.col("status") == "kept"
+    per = cleaned(lines, opts).groupBy("window_id", "status", F.when(kept, F.col("key")).alias("key"))
+    return per.agg(F.count("*").alias("n"), F.sum("runs").alias("runs"), F.min("line_no").alias("first_line"), F.min_by("payload", "line_no").alias("line"))
 
 
-def distilled(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
-    """(window_id, first_line, copy, line): output lines; (first_line, copy) is their order within a window."""
-    least = max(2, opts.duplicate_count_threshold) if opts.collapse_duplicate_messages else 1 << 60
-    counts = key_counts(cleaned(lines, opts))
-    many = F.col("n") >= least
+def key_counts(per: DataFrame) -> DataFrame:
+    """(window_id, key, n, first_line, line) of kept messages: their count and the first form of them."""
+    return per.where("status = 'kept'").select("window_id", "key", "n", "first_line", "line")
+
+
+def _least(opts: DistillOptions) -> int:
+    return max(2, opts.duplicate_count_threshold) if opts.collapse_duplicate_messages else 1 << 60
+
+
+def output_lines(per: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
+    """(window_id, first_line, copy, line) from counted messages; (first_line, copy) is their order within a window."""
+    counts = key_counts(per)
+    many = F.col("n") >= _least(opts)
     out = counts.select("window_id", "first_line", F.explode(F.sequence(F.lit(1), F.when(many, F.lit(1)).otherwise(F.col("n").cast("int")))).alias("copy"), F.when(many, F.concat("line", F.lit(" x"), F.col("n").cast("string"))).otherwise(F.col("line")).alias("line"))
     if opts.max_messages > 0:
         out = ranked(out, ["window_id"], [F.col("first_line"), F.col("copy")], F.expr("first_line div 4096")).where(F.col("rank") <= opts.max_messages).drop("rank")
     return out
 
 
-def stats(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
-    """The nine counters of every window, from counts per message so that no window passes through one task whole."""
-    least = max(2, opts.duplicate_count_threshold) if opts.collapse_duplicate_messages else 1 << 60
-    per_key = cleaned(lines, opts).groupBy("window_id", "status", F.when(F.col("status") == "kept", F.col("key")).alias("key")).agg(F.count("*").alias("n"), F.sum("runs").alias("runs"))
-    kept, many = F.col("status") == "kept", (F.col("status") == "kept") & (F.col("n") >= least)
+def distilled(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
+    """(window_id, first_line, copy, line): the output lines of every window."""
+    return output_lines(messages(lines, opts), opts)
+
+
+def counters(per: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
+    """The nine counters of every window, from counted messages so that no window passes through one task whole."""
+    kept, many = F.col("status") == "kept", (F.col("status") == "kept") & (F.col("n") >= _least(opts))
     total = lambda c, x="n": F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
-    out = per_key.groupBy("window_id").agg(
+    out = per.groupBy("window_id").agg(
         F.sum("n").alias("input_lines"),
         (total(kept & ~many) + F.count_if(many)).alias("out"),
         total(F.col("status") == "empty").alias("removed_empty_lines"),
@@ -95,6 +107,10 @@ def stats(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFram
     )
 
 
+def stats(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
+    return counters(messages(lines, opts), opts)
+
+
 def pair_lines(pairs: DataFrame, key: str = "pair_id", chat: str = "chat") -> DataFrame:
     """(window_id, line_no, raw) of chats held in one column."""
     return pairs.select(F.col(key).alias("window_id"), F.posexplode(T.split_lines(F.col(chat))).alias("p", "raw")).select("window_id", (F.col("p") + 1).cast("long").alias("line_no"), "raw")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chatloom import lexicon as L
 from chatloom.functions import text as T
+from chatloom.session import stored
 
 
 def clean_lines(rows: DataFrame, max_lines: int = 140) -> DataFrame:
@@ -92,7 +93,7 @@ def hex_mod6(h: Column) -> Column:
 
 def summaries(rows: DataFrame, min_occurrences: int = 3, min_lines: int = 4, max_lines: int = 140) -> DataFrame:
     """(row_no, id, input_text, target_text) of rows with enough cleaned lines."""
-    lines = clean_lines(rows, max_lines)
+    lines = stored(clean_lines(rows, max_lines), "prep-lines")
     topic = topics(lines, min_occurrences, min_lines)
     named = rows.select("row_no", F.coalesce("id", F.concat(F.lit("row_"), F.col("row_no"))).alias("id")).distinct()
     joined = lines.groupBy("row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("input_text"))
@@ -105,7 +106,7 @@ def summaries(rows: DataFrame, min_occurrences: int = 3, min_lines: int = 4, max
 
 def totals(rows: DataFrame, min_lines: int = 4) -> DataFrame:
     """One row: rows in, rows out, rows dropped for too few lines, and rows without a topic."""
-    lines = clean_lines(rows)
+    lines = stored(clean_lines(rows), "prep-lines")
     kept = topics(lines, min_lines=min_lines)
     n_in = rows.select("row_no", "input_text").distinct().where(T.nonblank(F.col("input_text"))).agg(F.count("*").alias("rows_in"))
     n_out = kept.agg(F.count("*").alias("rows_out"), F.count_if(F.col("topic") == L.NO_TOPIC).alias("fallback_topics"))

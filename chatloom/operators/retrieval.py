@@ -52,8 +52,8 @@ def idf(docs: DataFrame, tf: DataFrame) -> DataFrame:
 def vectors(tf: DataFrame, weights: DataFrame) -> DataFrame:
     """(moment_id, token, weight): log-scaled counts by idf, of unit length per document."""
     w = tf.join(weights.select("token", "idf"), "token", "left").select("moment_id", "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norm = w.groupBy("moment_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "moment_id").select("moment_id", "token", (F.col("w") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("moment_id")))  # a document's tokens fit a task
+    return w.withColumn("norm", norm).select("moment_id", "token", (F.col("w") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("weight"))
 
 
 def nearest(queries: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:

@@ -31,7 +31,7 @@ QUERIES = {
     "system_filter_counts": lambda s, d: _cleaned(s, d).groupBy("window_id").agg(F.count("*").alias("lines"), F.count_if(F.col("status") == "system").alias("system_lines")),
     "normalize_messages": lambda s, d: _lines(s, d).select("window_id", "line_no", T.normalized(T.badge_free(T.parsed(F.col("raw"))["text"])).alias("payload")),
     "token_flood": lambda s, d: _cleaned(s, d).where("runs > 0").select("window_id", "line_no", "payload", F.col("runs").cast("long").alias("runs")),
-    "dedup_key_counts": lambda s, d: distill.key_counts(_cleaned(s, d)),
+    "dedup_key_counts": lambda s, d: distill.key_counts(distill.messages(_lines(s, d))),
     "distill_stats": lambda s, d: distill.stats(_lines(s, d)),
     "distilled_lines": lambda s, d: distill.distilled(_lines(s, d)),
     "distilled_top": lambda s, d: distill.distilled(_lines(s, d), distill.DistillOptions(max_messages=20)),

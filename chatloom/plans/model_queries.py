@@ -8,15 +8,19 @@ from chatloom import lexicon as L
 from chatloom.functions import text as T
 from chatloom.operators import corpus, distill, pack, retrieval, select
 from chatloom.plans import sqlparts as S
-from chatloom.session import table
+from chatloom.session import stored, table
 
 
 def _docs(s, d):
     return retrieval.documents(table(s, d, "moment_data"))
 
 
+def _stored_docs(s, d):
+    return stored(_docs(s, d), "retrieval-documents")
+
+
 def _vectors(s, d):
-    docs = _docs(s, d)
+    docs = _stored_docs(s, d)
     known = docs.where("labelled")
     tf = retrieval.term_counts(known)
     weights = retrieval.idf(known, tf)
@@ -30,7 +34,7 @@ def _nearest(s, d):
 
 
 def _idf(s, d):
-    known = _docs(s, d).where("labelled")
+    known = _stored_docs(s, d).where("labelled")
     return retrieval.idf(known, retrieval.term_counts(known)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 

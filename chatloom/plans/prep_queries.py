@@ -5,7 +5,7 @@ from __future__ import annotations
 from chatloom import lexicon as L
 from chatloom.operators import prep
 from chatloom.plans import sqlparts as S
-from chatloom.session import table
+from chatloom.session import stored, table
 
 
 def _rows(s, d):
@@ -13,14 +13,14 @@ def _rows(s, d):
 
 
 def _quotes(s, d):
-    lines = prep.clean_lines(_rows(s, d))
+    lines = stored(prep.clean_lines(_rows(s, d)), "prep-lines")
     return prep.quotes(lines, prep.topics(lines))
 
 
 QUERIES = {
     "prep_clean_lines": lambda s, d: prep.clean_lines(_rows(s, d)),
     "prep_topic_grams": lambda s, d: prep.grams(prep.clean_lines(_rows(s, d))).where("occurrences >= 3").select("row_no", "gram", "occurrences"),
-    "prep_topic": lambda s, d: prep.topics(prep.clean_lines(_rows(s, d))),
+    "prep_topic": lambda s, d: prep.topics(stored(prep.clean_lines(_rows(s, d)), "prep-lines")),
     "prep_sentiment": lambda s, d: prep.sentiments(prep.clean_lines(_rows(s, d))),
     "prep_quotes": _quotes,
     "prep_summaries": lambda s, d: prep.summaries(_rows(s, d)),
