@@ -141,7 +141,7 @@ def found(text: str, mask: int = 31) -> list[tuple[int, int, int]]:
             if 8 <= digits <= 15 and not any(a < m.end() and m.start() < b for a, b in taken) and not (digits == len(m[0]) and NO_PHONE.search(low)):
                 out.append((*m.span(), PHONE))
     letters = [c for c in text if c.isalpha()]
-    flat = text == low or text.isupper() or sum(w[0].isupper() for w in text.split() if w[0].isalpha()) >= 0.9 * max(1, sum(w[0].isalpha() for w in text.split()))
+    flat = text == low or sum(map(str.isupper, letters)) > 0.6 * len(letters) or sum(w[0].isupper() for w in text.split() if w[0].isalpha()) >= 0.9 * max(1, sum(w[0].isalpha() for w in text.split()))
     if letters and mask & 1 << NAME:
         for p, g in ((LED, 1), (TAILED, 1), (TITLED, 0)):
             out += [(*m.span(g), NAME) for m in p.finditer(low) if _name_ok(text[m.start(g) : m.end(g)], flat)]
