@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -137,6 +138,32 @@ def test_flow_and_largest_total():
     assert flow == {(0, "a"): 100, (1, "b"): 100}
 
 
+def test_flow_is_cheapest():
+    """Against all integer flows of small instances: most tokens first, then least cost."""
+
+    def cost_of(used, patterns):
+        return sum(k for p, x in used.items() for k in (i // patterns[p][1] for i in range(x)))
+
+    rng = random.Random(3)
+    for _ in range(30):
+        patterns = [(("a",), rng.randrange(1, 3)), (("a", "b"), rng.randrange(1, 3)), (("b",), rng.randrange(1, 3))]
+        repeats, total = {"a": rng.randrange(1, 3), "b": rng.randrange(1, 3)}, rng.randrange(2, 9)
+        arcs = [(p, s) for p, (m, _) in enumerate(patterns) for s in m]
+        best = None
+        for flow in itertools.product(*(range(patterns[p][1] * repeats[s] + 1) for p, s in arcs)):
+            quota, used = {}, {}
+            for (p, s), x in zip(arcs, flow):
+                quota[s], used[p] = quota.get(s, 0) + x, used.get(p, 0) + x
+            if all(x <= round(0.5 * total) for x in quota.values()) and all(x <= patterns[p][1] * max(repeats[s] for s in patterns[p][0]) for p, x in used.items()):
+                key = (-sum(quota.values()), cost_of(used, patterns))
+                best = key if best is None else min(best, key)
+        done, got = mixing.route(patterns, {"a": 0.5, "b": 0.5}, repeats, total)
+        used = {}
+        for (p, _), x in got.items():
+            used[p] = used.get(p, 0) + x
+        assert (-done, cost_of(used, patterns)) == best
+
+
 def test_mixture_meets_shares_and_caps(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 40))), rng.choice(["big"] * 6 + ["small", "other"]), 0) for i in range(3000)]
