@@ -131,6 +131,8 @@ def topics(m: DataFrame) -> DataFrame:
 OPENERS = ("Chat gathers around {topic}, and the messages come across as {tone} for most of this window.", "Most of the window turns on {topic}, which viewers meet with {tone} from one message to the next.", "{topic} keeps coming up in chat, and the overall response reads as {tone} throughout the window.")
 NO_TOPIC = "several things at once"
 TONE_WORDS = {"laughter": "laughter", "hype": "excitement", "approval": "approval", "confusion": "confusion", "frustration": "frustration", "chaotic": "scattered reactions", "mixed": "mixed feelings"}
+# An unordered pair of tones, by names in alphabetical order.
+PAIRS = {"confusion,laughter": "disbelief and laughter at once", "frustration,laughter": "mockery with an edge", "confusion,hype": "excitement and confusion at once", "approval,confusion": "support and doubt at once", "approval,frustration": "approval and criticism side by side"}
 SECOND = " Beside that there is a clear strand of {second}."
 FILL = " No other subject holds the attention of viewers for long."
 
@@ -144,13 +146,20 @@ def summary_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\{streamer\}|[A-Za-z0-9']+"))
 
 
+def pair_tone(secondary: Column) -> Column:
+    """Wording for two tones that lead together, whatever their order."""
+    names = F.array_sort(F.split(secondary, ","))
+    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in PAIRS.items() for x in kv)), F.array_join(names, ","))
+    return F.coalesce(known, F.array_join(F.split(secondary, ","), " mixed with "))
+
+
 def summaries(moments: DataFrame) -> DataFrame:
     """(moment_id, tone, secondary, topic, kind, summary): a templated summary, its wording chosen by a hash of file and window."""
     m = messages(moments)
     df = m.select("moment_id", "file_name", "window_id").join(tones(tone_scores(m)), "moment_id").join(topics(m), "moment_id")
     pick = F.conv(F.substring(F.sha1(F.concat_ws(":", F.coalesce("file_name", F.lit("")), "window_id").cast("binary")), 1, 8), 16, 10).cast("long") % len(OPENERS)
     word = lambda c: F.element_at(F.create_map(*(F.lit(x) for kv in TONE_WORDS.items() for x in kv)), c)
-    text = F.replace(F.replace(F.element_at(F.array(*map(F.lit, OPENERS)), (pick + 1).cast("int")), F.lit("{topic}"), F.coalesce("topic", F.lit(NO_TOPIC))), F.lit("{tone}"), word(F.col("tone")))
+    text = F.replace(F.replace(F.element_at(F.array(*map(F.lit, OPENERS)), (pick + 1).cast("int")), F.lit("{topic}"), F.coalesce("topic", F.lit(NO_TOPIC))), F.lit("{tone}"), F.when(F.col("tone") == "mixed", pair_tone(F.col("secondary"))).otherwise(word(F.col("tone"))))
     second = F.when((F.col("tone") != "mixed") & F.col("secondary").isNotNull(), F.replace(F.lit(SECOND), F.lit("{second}"), word(F.col("secondary")))).otherwise("")
     full = streamerized(T.squeeze(F.concat(text, second)))
     full = F.when(summary_words(full) < 20, F.concat(full, F.lit(FILL))).otherwise(full)

@@ -23,14 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, and every executor can reread it."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, and every executor can reread it. Kept until ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what ``stored`` wrote in this process, once the results that read it are written; the number of tables."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Mark a stored table for broadcast if its counted size is within the bound; else leave the join to AQE."""
     rows = df.count() if rows is None else rows

@@ -71,6 +71,22 @@ def test_tone_rules(spark, scores, want):
     assert tuple(moments.tones(df).first())[1:] == want
 
 
+def test_pair_tone(spark):
+    assert one(spark, moments.pair_tone, "laughter,confusion") == one(spark, moments.pair_tone, "confusion,laughter")
+    assert one(spark, moments.pair_tone, "hype,frustration") == "hype mixed with frustration"
+
+
+def test_stored_tables_are_released(spark):
+    import os
+
+    from chatloom import session
+
+    t = session.stored(spark.range(3), "test")
+    path = session._written[-1].removeprefix("file://")
+    assert t.count() == 3 and os.path.exists(path)
+    assert session.release(spark) >= 1 and not os.path.exists(path)
+
+
 def test_moments(spark):
     schema = "moment_id long, file_name string, window_id string, messages array<string>, extractive_summary struct<key_messages: array<string>>, abstractive_summary struct<summary: string>"
     df = spark.createDataFrame([(1, "A.json", "w", ["[00:00:01] a: ocean man", "[00:00:02] b: ocean man", None, " "], None, None), (2, None, None, None, None, None), (3, "Vinesauce.json", "x", ["hello vinny"], None, ("s",))], schema)
