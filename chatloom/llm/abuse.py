@@ -54,7 +54,8 @@ SEEDS = (
 
 WORD = re.compile(r"(?<![\w@/])[^\W\d_]+(?:['’][^\W\d_]+)?(?!\w)")  # no part of a handle
 URL = re.compile(r"https?://\S+")
-ODD = re.compile(r"[*@$!|0-9]|\b\w[ .\-_]\w[ .\-_]\w\b|\w[.\-]\w|(\w)\1\1")
+ODD_SIGNS = frozenset("*@$!|0123456789")
+ODD = re.compile(r"\b\w[ .\-_]\w[ .\-_]\w\b|\w[.\-]\w|(\w)\1\1")
 SPACED = re.compile(r"(?<![\w*])(?:[^\W_](?:[ ]|[.\-_])){2,}[^\W_](?![\w*])")
 MASKED = re.compile(r"(?<![\w*])([^\W\d_]{1,3})(\*{1,24})([^\W\d_]{1,3})(?![\w*])")
 LEET_WORD = re.compile(r"(?<![\w@])[^\W_0-9]*[0-9@$!|4][\w@$!|]*")
@@ -64,8 +65,22 @@ REPEAT = re.compile(r"(.)\1+")
 STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 
 
+_EDGES = ".,!?;:\"'()[]{}<>«»“”‘’…*-–—"
+
+
 def words(text: str) -> list[str]:
-    return WORD.findall(text)
+    """Words that are no part of a handle; the pattern is only needed where a piece isn't all letters."""
+    out: list[str] = []
+    for w in text.split():
+        if w.isalpha():
+            out.append(w)
+        else:
+            w = w.strip(_EDGES)
+            if w.isalpha():
+                out.append(w)
+            elif w:
+                out += WORD.findall(w)
+    return out
 
 
 def level(text: str) -> str:
@@ -175,17 +190,22 @@ class Model:
         return min(max(low, 0.3), 3.0)
 
     def token_scores(self, tokens: list[str]) -> list[float]:
-        get = self.scores.get
-        out, met = [], set()
-        for p, t in zip([None, *tokens], tokens):
+        get, phrases = self.scores.get, self.phrases
+        out: list[float] = []
+        met: set[str] = set()
+        before = ""
+        for i, t in enumerate(tokens):
+            score = get(t, UNKNOWN)
             if t in met:  # a token says as much once as many times
-                out.append(min(UNKNOWN, get(t, UNKNOWN)))
+                score = min(UNKNOWN, score)
             else:
                 met.add(t)
-                out.append(get(t, UNKNOWN) + (get(f"{p} {t}", 0.0) if p else 0.0))
-        for i, t in enumerate(tokens):
-            if t in self.phrases:
-                out[i] += max((w for p, w in self.phrases[t] if tuple(tokens[max(0, i + 1 - len(p)) : i + 1]) == p), default=0.0)
+                if score != UNKNOWN and before:
+                    score += get(f"{before} {t}", 0.0)
+            if t in phrases:
+                score += max((w for p, w in phrases[t] if tuple(tokens[max(0, i + 1 - len(p)) : i + 1]) == p), default=0.0)
+            out.append(score)
+            before = t
         return out
 
     def strength(self, score: float, length: int) -> float:
@@ -219,7 +239,7 @@ def message_strength(text: str, model: Model, spelling: Spelling) -> float:
     """Strength of the strongest toxic passage of a message, 0 without one."""
     low = level(text)
     tokens = words(low)
-    if ODD.search(low):
+    if not ODD_SIGNS.isdisjoint(low) or ODD.search(low):
         again = words(spelling.plain(low))
         if again != tokens:
             tokens = again
@@ -232,7 +252,7 @@ def message_strength(text: str, model: Model, spelling: Spelling) -> float:
 class Remembered:
     """A function of a text with its last results kept: most messages of a chat occur many times."""
 
-    def __init__(self, f: Callable, size: int = 100_000):
+    def __init__(self, f: Callable, size: int = 150_000):
         self.f, self.size, self.kept = f, size, {}
 
     def __call__(self, text: str):
