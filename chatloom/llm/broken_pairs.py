@@ -126,11 +126,14 @@ def _differ(a: str | None, b: str | None) -> int:
 
 def covered(key: str, parts: list[str]) -> float:
     """The share of ``key`` that is made of whole ``parts``, read from the left with one sign skipped where nothing fits."""
-    parts = sorted({p for p in parts if p}, key=len, reverse=True)
+    by_start: dict[str, list[str]] = {}
+    for p in sorted({p for p in parts if p}, key=len, reverse=True):
+        by_start.setdefault(p[:4], []).append(p)
     at = hit = 0
     while at < len(key):
-        for p in parts:
-            if key.startswith(p, at) and (len(p) > 3 or hit or len(p) == len(key)):
+        for k in (4, 3, 2, 1):
+            p = next((p for p in by_start.get(key[at : at + k], ()) if (len(p) > 3 or k == len(p)) and key.startswith(p, at) and (len(p) > 3 or hit or len(p) == len(key))), None)
+            if p:
                 at += len(p)
                 hit += len(p)
                 break

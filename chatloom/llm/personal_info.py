@@ -45,9 +45,9 @@ W = r"[^\W\d_]"
 SPACE = "[ \t\u00a0\u2000-\u200a\u202f]"
 S, O = SPACE + "{1,3}", SPACE + "{0,3}"  # a gap, and an optional one
 DOT = rf"(?:\.|{O}[\[({{]{O}dot{O}[\])}}]{O}|{S}dot{S})"
-LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-EMAIL_PLAIN = re.compile(rf"[a-z0-9_](?:[a-z0-9_.+%-]*[a-z0-9_])?(?:@|{O}[\[({{]{O}at{O}[\])}}]{O}){LABEL}(?:{DOT}{LABEL})*{DOT}[a-z]{{2,24}}\b")
-EMAIL_WORDS = re.compile(rf"[a-z0-9_](?:[a-z0-9_.+%-]*[a-z0-9_])?{S}at{S}{LABEL}(?:{S}dot{S}{LABEL})*{S}dot{S}[a-z]{{2,24}}\b")
+LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+EMAIL_PLAIN = re.compile(rf"(?<![a-z0-9_])[a-z0-9_](?:[a-z0-9_.+%-]{{0,62}}[a-z0-9_])?(?:@|{O}[\[({{]{O}at{O}[\])}}]{O}){LABEL}(?:{DOT}{LABEL})*{DOT}[a-z]{{2,24}}\b")
+EMAIL_WORDS = re.compile(rf"(?<![a-z0-9_])[a-z0-9_](?:[a-z0-9_.+%-]{{0,62}}[a-z0-9_])?{S}at{S}{LABEL}(?:{S}dot{S}{LABEL})*{S}dot{S}[a-z]{{2,24}}\b")
 PHONES = re.compile(
     rf"(?<![\w.+-])(?:\+\d{{1,3}}(?:(?:{S}|[.-])?\(?\d{{1,5}}\)?){{2,6}}|00\d{{2}}(?:{S}|[.-])?\d{{2,4}}(?:{S}|[.-])?\d{{5,9}}|\(\d{{3}}\){O}\d{{3}}(?:{S}|[.-])\d{{4}}|\d{{3}}([.-])\d{{3}}\1\d{{4}}|\d{{3}}{S}\d{{3}}{S}\d{{4}}"
     rf"|0\d{{4}}{S}\d{{3}}{O}\d{{3}}|0\d(?:(?:{S}|[.-])\d{{2}}){{4}}|0\d{{9,10}}|\d{{10}}|\d{{11}})(?![\w-]|[.:]\d)"
@@ -69,9 +69,9 @@ INITIAL = rf"(?:{W}\.?{S})?"
 NAME_BODY = rf"(?:(?:{'|'.join(TITLES)})\b\.?{S}(?:{NAME_WORD}{S}{INITIAL})?{NAME_WORD}|{NAME_WORD}{S}{INITIAL}{NAME_WORD}|{NAME_WORD},{S}{NAME_WORD})"
 LED = re.compile(rf"\b(?:{'|'.join(map(re.escape, LEADS))})(?::|,)?{S}({NAME_BODY})")
 CALLED = re.compile(rf"\b(?:{'|'.join(PERSONS)})(?:{S}{W}+){{0,3}}{S}(?:is|was){S}({NAME_BODY})")
-TAILED = re.compile(rf"({NAME_BODY})(?=(?:{S}and{S}.{{5,60}}?)?{S}(?:{'|'.join(map(re.escape, TAILS))}))")
+TAILED = re.compile(rf"(?<!\w)({NAME_BODY})(?=(?:{S}and{S}.{{5,60}}?)?{S}(?:{'|'.join(map(re.escape, TAILS))}))")
 TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?{S}(?:{NAME_WORD}{S}{INITIAL})?{NAME_WORD}")
-PAIRED = re.compile(rf"({NAME_BODY})(?={S}(?:then|and(?:{S}the{S}contact{S}is)?){S}\S)")
+PAIRED = re.compile(rf"(?<!\w)({NAME_BODY})(?={S}(?:then|and(?:{S}the{S}contact{S}is)?){S}\S)")
 
 
 def _automaton() -> ahocorasick.Automaton:

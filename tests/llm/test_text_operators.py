@@ -65,6 +65,8 @@ def test_redaction(spark, rows):
     assert [r["messages"] for r in personal_info.redacted([t]).collect()] == [["u: mail me at <EMAIL>", "u: hi"]]
     long = "x " * 200_000 + "a@b.example"
     assert [k for _, _, k in personal_info.found(long)] == [personal_info.EMAIL]
+    for text in ("a" * 200_000 + " @ b", "a." * 100_000 + "@", "a1 " * 60_000 + "street", "ab" * 100_000 + " and x from my school", "1" * 200_000, "1 " * 100_000, "a b " * 50_000):
+        personal_info.found(text)
 
 
 # tokens
@@ -276,4 +278,6 @@ def test_label_model_recovers_accuracies():
 
 def test_very_long_texts_are_read_whole():
     assert broken_pairs.votes("a" * 300_000, "I can " * 50_000)
+    many = "\n".join(f"u: message number {i} of a long chat" for i in range(5000))
+    assert broken_pairs.votes(many, ". ".join(f"Message number {i} of a long chat" for i in range(2000)))["copy"][0] == 1
     assert broken_pairs.ending("word " * 50_000 + "the")[1][-1] == "the"
