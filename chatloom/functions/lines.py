@@ -37,7 +37,7 @@ def parse_line(raw: str) -> tuple[str | None, str | None, str]:
     elif first == "{" and s[-1] == "}":
         try:
             o = json.loads(s)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None, None, s
         if isinstance(o, dict) and "text" in o:
             t, u, x = o.get("time"), o.get("user"), o["text"]

@@ -22,6 +22,7 @@ from chatloom.operators import split_overlap as over
         ("look at https://a.b/c", (None, None, "look at https://a.b/c")),
         ("https://a.b/c", (None, None, "https://a.b/c")),
         ('{"broken', (None, None, '{"broken')),
+        ('{"a":' * 5000 + "}", (None, None, '{"a":' * 5000 + "}")),
         ("[not a time] x", (None, None, "[not a time] x")),
     ],
 )
