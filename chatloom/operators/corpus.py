@@ -45,7 +45,7 @@ def seeded(seed: int, key: str = "pair_id") -> Column:
 
 def load_stats(pairs: DataFrame, drop_low_info: bool = True) -> DataFrame:
     """One row of counters: what was seen, dropped and kept, words and lines before and after distillation, and their averages."""
-    seen = pairs.agg(F.count(F.when(F.col("chat").isNotNull() & F.col("summary").isNotNull(), 1)).alias("examples_seen"))
+    seen = pairs.agg(F.count(F.when(F.col("chat").isNotNull() & F.col("summary").isNotNull(), 1))).scalar()
     ok = valid(pairs)
     per = stored(distill.messages(distill.pair_lines(ok)), "load-messages")
     stats = distill.counters(per).withColumnRenamed("window_id", "pair_id")
@@ -62,7 +62,7 @@ def load_stats(pairs: DataFrame, drop_low_info: bool = True) -> DataFrame:
         total(F.when(kept, F.col("words_after"))).alias("source_words_after"), total(F.when(kept, F.col("lines_after"))).alias("source_lines_after"),
     )
     per = lambda c: F.round(F.col(c) / F.greatest("kept_pairs", F.lit(1)), 6)
-    return seen.join(out).select("*", per("source_words_after").alias("mean_words_after"), per("source_lines_after").alias("mean_lines_after"))
+    return out.withColumn("examples_seen", seen).select("*", per("source_words_after").alias("mean_words_after"), per("source_lines_after").alias("mean_lines_after"))
 
 
 def capped(pairs: DataFrame, key: Column, most: int, seed: int = 42) -> DataFrame:
@@ -93,10 +93,10 @@ def train_val(pairs: DataFrame, val_ratio: float = 0.1, seed: int = 42) -> DataF
         raise ValueError("val_ratio must be in [0, 1)")
     if val_ratio == 0:
         return pairs.withColumn("part", F.lit("train"))
-    n = F.broadcast(pairs.agg(F.count("*").alias("_n")))
+    n = pairs.agg(F.count("*")).scalar()
     size = F.when(F.col("_n") < 2, 0).otherwise(F.least(F.greatest(F.floor(F.col("_n") * F.lit(val_ratio)), F.lit(1)), F.col("_n") - 1))
     df = ranked(pairs.withColumn("_h", seeded(seed)).withColumn("_all", F.lit(0)), ["_all"], [F.col("_h"), F.col("pair_id")], hash_bucket(F.col("_h")), "_rank")
-    return df.join(n).withColumn("part", F.when(F.col("_rank") <= size, "val").otherwise("train")).drop("_h", "_all", "_rank", "_n")
+    return df.withColumn("_n", n).withColumn("part", F.when(F.col("_rank") <= size, "val").otherwise("train")).drop("_h", "_all", "_rank", "_n")
 
 
 def stratified(pairs: DataFrame, train_ratio: float = 0.85, val_ratio: float = 0.10, seed: int = 42) -> DataFrame:

@@ -108,9 +108,9 @@ def totals(rows: DataFrame, min_lines: int = 4) -> DataFrame:
     """One row: rows in, rows out, rows dropped for too few lines, and rows without a topic."""
     lines = stored(clean_lines(rows), "prep-lines")
     kept = topics(lines, min_lines=min_lines)
-    n_in = rows.select("row_no", "input_text").distinct().where(T.nonblank(F.col("input_text"))).agg(F.count("*").alias("rows_in"))
+    n_in = rows.select("row_no", "input_text").distinct().where(T.nonblank(F.col("input_text"))).agg(F.count("*")).scalar()
     n_out = kept.agg(F.count("*").alias("rows_out"), F.count_if(F.col("topic") == L.NO_TOPIC).alias("fallback_topics"))
-    return n_in.join(n_out).select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("rows_dropped"), "fallback_topics")
+    return n_out.withColumn("rows_in", n_in).select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("rows_dropped"), "fallback_topics")
 
 
 def label_histogram(summaries_: DataFrame, column: str) -> DataFrame:

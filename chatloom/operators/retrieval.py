@@ -45,8 +45,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def idf(docs: DataFrame, tf: DataFrame) -> DataFrame:
     """(token, df, idf) over the documents."""
-    n = docs.agg(F.count("*").alias("docs"))
-    return tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = docs.agg(F.count("*").alias("docs")).scalar()
+    return tf.groupBy("token").agg(F.count("*").alias("df")).select("token", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def vectors(tf: DataFrame, weights: DataFrame) -> DataFrame:
@@ -125,9 +125,10 @@ def overlap(docs: DataFrame, summary: str = "summary") -> DataFrame:
 def coverage(docs: DataFrame) -> DataFrame:
     """One row: moments, labelled ones, their share, mean summary length and mean overlap."""
     o = docs.where("labelled").join(overlap(docs.where("labelled")), "moment_id")
-    return docs.agg(F.count("*").alias("moments"), F.count_if("labelled").alias("labelled")).join(o.agg(F.avg(F.length("summary")).alias("l"), F.avg("overlap").alias("o"))).select(
-        "moments", "labelled", F.round(F.col("labelled") / F.greatest("moments", F.lit(1)), 6).alias("coverage"), F.round(F.coalesce("l", F.lit(0.0)), 6).alias("mean_length"), F.round(F.coalesce("o", F.lit(0.0)), 6).alias("mean_overlap")
-    )
+    means = o.agg(F.struct(F.avg(F.length("summary")).alias("l"), F.avg("overlap").alias("o"))).scalar()
+    out = docs.agg(F.count("*").alias("moments"), F.count_if("labelled").alias("labelled")).withColumn("m", means)
+    mean = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return out.select("moments", "labelled", F.round(F.col("labelled") / F.greatest("moments", F.lit(1)), 6).alias("coverage"), mean("m.l").alias("mean_length"), mean("m.o").alias("mean_overlap"))
 
 
 def summaries(docs: DataFrame, overwrite: bool = False) -> DataFrame:
