@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from chatloom.session import stored
 
 ID_FORM = r"(?iU)^(.+)_(s[0-9a-f]{8})_(\d+)\s*$"
-#: Components above this share of all records are placed first, in one task: there are at most 1 / LARGE of them.
+#: Components above this share of all records are annealed first, whole in every restart: there are at most 1 / LARGE of them.
 LARGE = 0.001
 #: Components annealed together in one task.
 BLOCK = 4096
@@ -133,11 +133,33 @@ def anneal(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, label_want:
     return best, kept
 
 
+def hashed_start(component: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """A split for each component by its hash, in the proportions of ``goal``."""
+    u = (pd.util.hash_array(component) >> np.uint64(11)).astype(float) / 2.0**53
+    return np.minimum(np.searchsorted(np.cumsum(goal), u, side="right"), len(goal) - 1)
+
+
+def largest_first(sizes: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Components by falling size, each to the split that lacks most."""
+    at, lack = np.zeros(len(sizes), int), want.copy()
+    for i in np.argsort(-sizes, kind="stable"):
+        at[i] = int(np.argmax(lack))
+        lack[at[i]] -= sizes[i]
+    return at
+
+
+def swapped(n: np.ndarray, m: np.ndarray, goal: np.ndarray, goal_m: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
+    """``anneal`` over components of ``n`` records, ``m`` of them labelled, towards the proportions ``goal`` of records and ``goal_m`` of labels."""
+    want, want_m = goal * n.sum(), goal_m * m.sum()
+    return anneal(n, np.stack([m, n - m], 1), want, np.stack([want_m, want - want_m], 1), start, seed, steps)
+
+
 def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[float, ...] = (0.8, 0.1, 0.1), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42, restarts: int = 4, steps: int = 4000) -> DataFrame:
     """(pair_id, component, split) of every record, all records of a component in one split.
 
     Hashed start, then moves and exchanges of whole components by simulated annealing:
-    the few components above LARGE of all records in one task, the rest in parallel
+    first the few components above LARGE of all records, each restart in a task of its
+    own and one more restart from the largest-first placement, then the rest in parallel
     blocks of about BLOCK components that share what the large ones leave of the
     proportions; the best of ``restarts`` runs is kept. The label balanced beside the
     size is whether a record has a usable summary. A component larger than the
@@ -165,22 +187,30 @@ def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[floa
     share = np.array(proportions) / sum(proportions)
     big = sorted(((r["component"], r["n"], r["n_label"]) for r in sizes.where(F.col("n") > limit).collect()), key=lambda r: (-r[1], r[0]))
     load, label_load, placed = np.zeros(len(share)), np.zeros(len(share)), []
-    for name, n, m in big:
-        to = int(np.argmax(share * total[0] - load))
-        load[to] += n
-        label_load[to] += m
-        placed.append((name, names[to]))
+    if big:
+        component = np.array([r[0] for r in big], object)
+        big_n, big_m = np.array([r[1] for r in big], float), np.array([r[2] for r in big], float)
+
+        def restart(it):
+            for pdf in it:
+                for r in pdf["id"]:
+                    start = hashed_start(component, share) if r < restarts else largest_first(big_n, share * big_n.sum())
+                    cost, at = swapped(big_n, big_m, share, share, start, seed + r, steps)
+                    yield pd.DataFrame({"r": [r], "cost": [cost], "at": [at.tolist()]})
+
+        runs = pairs.sparkSession.range(0, restarts + 1, 1, restarts + 1).mapInPandas(restart, "r long, cost double, at array<long>").collect()
+        at = np.array(min(runs, key=lambda r: (r["cost"], r["r"]))["at"])
+        load, label_load = np.bincount(at, big_n, len(share)), np.bincount(at, big_m, len(share))
+        placed = [(c, names[i]) for c, i in zip(component, at)]
     blocks = max(1, math.ceil((total[1] - len(big)) / BLOCK))
     want, label_want = np.maximum(share * total[0] - load, 0), np.maximum(share * total[2] - label_load, 0)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("component").reset_index(drop=True)
         n, m = pdf["n"].to_numpy(float), pdf["n_label"].to_numpy(float)
-        goal = want / max(want.sum(), 1e-9)
-        edges = np.cumsum(goal)
-        start = np.minimum(np.searchsorted(edges, (pd.util.hash_array(pdf["component"].to_numpy(object)) >> np.uint64(11)).astype(float) / 2.0**53, side="right"), len(goal) - 1)
-        goal_m = label_want / max(label_want.sum(), 1e-9) * m.sum()
-        runs = [anneal(n, np.stack([m, n - m], 1), goal * n.sum(), np.stack([goal_m, goal * n.sum() - goal_m], 1), start, seed + r, steps) for r in range(restarts)]
+        goal, goal_m = want / max(want.sum(), 1e-9), label_want / max(label_want.sum(), 1e-9)
+        start = hashed_start(pdf["component"].to_numpy(object), goal)
+        runs = [swapped(n, m, goal, goal_m, start, seed + r, steps) for r in range(restarts)]
         at = min(runs, key=lambda r: r[0])[1]
         return pd.DataFrame({"component": pdf["component"], "split": [names[i] for i in at]})
 

@@ -86,6 +86,19 @@ def test_splits_keep_components_and_proportions(spark, data):
     assert rel.tied_channels(pairs, channels.limit(0)).count() == 0
 
 
+def test_large_components_are_annealed_with_their_labels(spark, data):
+    """Half of the components have no summaries: largest first alone leaves their share in the splits to chance."""
+    rng = random.Random(5)
+    sizes = [rng.randrange(20, 60) for _ in range(60)]
+    rows = [(i * 1000 + j, f"x{i}", "c", "s" if i % 2 else None, None, 1) for i, n in enumerate(sizes) for j in range(n)]
+    out = rel.assign_splits(pairs_of(spark, rows), spark.read.parquet(f"{data}/channels.parquet")).collect()
+    label = {r[0]: r[3] is not None for r in rows}
+    for name, share in (("train", 0.8), ("val", 0.1), ("test", 0.1)):
+        of = [label[r["pair_id"]] for r in out if r["split"] == name]
+        assert abs(len(of) - share * len(rows)) <= 0.005 * len(rows)
+        assert abs(sum(of) - share * sum(label.values())) <= 0.005 * len(rows)
+
+
 def moments_of(spark, rows):
     return ("moment_data", spark.createDataFrame(rows, "moment_id long, messages array<string>, rep long"), "moment_id", "messages")
 
