@@ -1,22 +1,22 @@
 """The same or nearly the same records across splits.
 
 Records with the same bag of words form a class; only one record a class goes on.
-Word 5-gram hashes of evaluation classes are partitioned, training classes are
-scanned for hits, and the containment of the bags is computed for every pair with a
-hit. To keep the hits of common phrases from growing with the square of the
-corpus, n-gram hashes meet in bands of ROWS of their minima instead of one by one:
-a pair with the share J of its 5-grams in common is found with probability
-1 - (1 - J^ROWS)^BANDS (over 0.95 from J = 0.5, over 0.998 from J = 0.6).
+A class is its bag: the set of (word, how often it came before). Two bags that share
+SIMILARITY of the longer one share one of their rarest len - ceil(SIMILARITY * len) + 1
+tokens, so these prefixes of evaluation classes are partitioned by token and those of
+training classes are scanned for hits. A hit goes on if length and position of the
+token and the parities of the bags leave SIMILARITY possible; the intersection of the
+bags is then exact. No filter drops a case. Hits of common tokens grow with the square
+of the corpus.
 
 Defined cases: null and blank chats and chats without words make no case; null
-splits are neither training nor evaluation; chats of fewer than five words count
-as one n-gram.
+splits are neither training nor evaluation.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.lines import NOT_ALNUM, lines_of, parse_line
 from chatloom.operators.related_splits import ID_FORM, name_key
-from chatloom.session import small, stored
+from chatloom.session import stored
 
-SHINGLE, ROWS, BANDS, SIMILARITY = 5, 4, 48, 0.8
-_rng = np.random.default_rng(20240229)
-MULTIPLY = _rng.integers(1, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
-ADD = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
+#: SIMILARITY in whole numbers, so that no rounding decides a case.
+PART, WHOLE = 4, 5
+SIMILARITY = PART / WHOLE
+#: Tokens whose counts order the prefixes; the rest, rarer ones, come first by hash. A bound changes the work, not the result.
+RANKED = 1 << 18
+#: Longs of the parity signature of a bag.
+LONGS = 3
 
 
 def words_of(chat: str | None) -> list[str]:
@@ -68,27 +71,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """One long a band: ROWS minima of permuted 5-gram hashes."""
-    with np.errstate(over="ignore"):
-        if len(h) >= SHINGLE:
-            g = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-            for k in range(SHINGLE):
-                g = g * np.uint64(0x100000001B3) + h[k : k + len(g)]
-        else:
-            g = np.array([np.add.reduce(h * np.arange(1, len(h) + 1, dtype=np.uint64))], np.uint64)
-        # the upper half of the mixed hash: its permutations are 32-bit products, folded in place over blocks of n-grams
-        g = (mix(g) >> np.uint64(32)).astype(np.uint32)
-        low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-        for k in range(0, len(g), 64):
-            x = g[k : k + 64, None] * MULTIPLY
-            x += ADD
-            np.minimum(low, x.min(0), out=low)
-        low = low.astype(np.uint64).reshape(BANDS, ROWS)
-        key = np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
-    return key.view(np.int64)
+def parities(b: np.ndarray) -> np.ndarray:
+    """LONGS longs: for each bit, whether an odd number of tokens falls on it. Bags differ in at least as many tokens as these in bits."""
+    odd = np.bincount((mix(b) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix(b: np.ndarray, ranked: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The rarest len - ceil(SIMILARITY * len) + 1 tokens of a bag, rarest first; ``rank`` grows with the count of the tokens ``ranked``, which are sorted."""
+    if len(ranked):
+        i = np.minimum(np.searchsorted(ranked, b), len(ranked) - 1)
+        order = np.lexsort((b, np.where(ranked[i] == b, rank[i], -1)))
+    else:
+        order = np.argsort(b)
+    return b[order[: len(b) - -(-PART * len(b) // WHOLE) + 1]]
 
 
 def _sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,36 +97,48 @@ def _sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = word_hashes(words, known)
                 b = np.sort(bag(h))
                 d = xxhash.xxh3_128_digest(b.tobytes())
-                for o, v in zip(out, (key, split == "train", int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), bands(h))):
+                for o, v in zip(out, (key, split == "train", int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), b.view(np.int64))):
                     o.append(v)
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], ["pair_id", "train", "f1", "f2", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], ["pair_id", "train", "f1", "f2", "bag"])
 
 
-def _bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        known: dict[str, int] = {}
-        bags = [bag(word_hashes(words_of(c), known)).view(np.int64) for c in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(bags, pa.list_(pa.int64()))], ["pair_id", "bag"])
+def _prefixes(ranked: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            bags = [np.asarray(x.values, np.int64) for x in batch.column(1)]
+            signs = np.stack([parities(b.view(np.uint64)) for b in bags]) if bags else np.empty((0, LONGS), np.int64)
+            out = [batch.column(0), pa.array([len(b) for b in bags], pa.int32()), pa.array([prefix(b, ranked, rank) for b in bags], pa.list_(pa.int64())), *(pa.array(signs[:, k]) for k in range(LONGS)), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(out, ["id", "n", "tokens", *(f"s{k}" for k in range(LONGS)), "in_train", "in_eval"])
+
+    return run
 
 
 def overlap_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: pair_id, train, rep), (links: eval_rep, train_rep, similarity) between records and between class representatives."""
     src = pairs.where("chat IS NOT NULL AND split IN ('train', 'val', 'test')")
-    sketches = stored(src.select("pair_id", "split", "chat").mapInArrow(_sketches, "pair_id long, train boolean, f1 long, f2 long, bands array<long>"), "p6-sketches")
+    sketches = stored(src.select("pair_id", "split", "chat").mapInArrow(_sketches, "pair_id long, train boolean, f1 long, f2 long, bag array<long>"), "p6-sketches")
     groups = sketches.groupBy("f1", "f2").agg(F.min("pair_id").alias("rep"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"))
-    members = stored(sketches.drop("bands").join(groups, ["f1", "f2"]).select("pair_id", "train", "rep", "in_train", "in_eval"), "p6-members")
-    reps = stored(sketches.select("pair_id", "bands").join(members.where("pair_id = rep").drop("rep", "train"), "pair_id"), "p6-classes")
-    ev = reps.where("in_eval").select(F.explode("bands").alias("band"), F.col("pair_id").alias("e"))
-    tr = reps.where("in_train").select(F.explode("bands").alias("band"), F.col("pair_id").alias("t"))
-    candidates = stored(ev.join(tr, "band").where("e <> t").select("e", "t").distinct(), "p6-candidates")
-    ids = stored(candidates.select(F.col("e").alias("pair_id")).union(candidates.select("t")).distinct(), "p6-ids")
-    bags = stored(src.select("pair_id", "chat").join(small(ids, 16), "pair_id", "left_semi").mapInArrow(_bags, "pair_id long, bag array<long>"), "p6-bags")
+    members = stored(sketches.drop("bag").join(groups, ["f1", "f2"]).select("pair_id", "train", "rep", "in_train", "in_eval"), "p6-members")
+    reps = sketches.select("pair_id", "bag").join(members.where("pair_id = rep").drop("rep", "train"), "pair_id")
+    counts = reps.select(F.explode("bag").alias("token")).groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(RANKED).toPandas()
+    ranked = counts["token"].to_numpy(np.int64)
+    order = np.argsort(ranked)
+    head = "id long, n int, tokens array<long>, " + ", ".join(f"s{k} long" for k in range(LONGS)) + ", in_train boolean, in_eval boolean"
+    heads = stored(reps.select("pair_id", "bag", "in_train", "in_eval").mapInArrow(_prefixes(ranked[order], len(ranked) - order), head), "p6-prefixes")
+    posts = heads.select("*", F.posexplode("tokens").alias("pos", "token")).drop("tokens")
+    ev, tr = posts.where("in_eval").alias("e"), posts.where("in_train").alias("t")
+    shared = f"(({PART} * greatest(e.n, t.n) + {WHOLE - 1}) div {WHOLE})"
+    differ = " + ".join(f"bit_count(e.s{k} ^ t.s{k})" for k in range(LONGS))
+    hit = F.expr(f"e.token = t.token AND e.id <> t.id AND least(e.n - e.pos, t.n - t.pos) >= {shared} AND {differ} <= e.n + t.n - 2 * {shared}")
+    candidates = stored(ev.join(tr, hit).select(F.col("e.id").alias("e"), F.col("t.id").alias("t")).distinct(), "p6-candidates")
+    bags = sketches.select("pair_id", "bag")
     links = (
         candidates.join(bags.select(F.col("pair_id").alias("e"), F.col("bag").alias("eb")), "e")
         .join(bags.select(F.col("pair_id").alias("t"), F.col("bag").alias("tb")), "t")
-        .select("e", "t", (F.size(F.array_intersect("eb", "tb")) / F.greatest(F.size("eb"), F.size("tb"))).alias("similarity"))
-        .where(f"similarity >= {SIMILARITY}")
+        .select("e", "t", F.size(F.array_intersect("eb", "tb")).alias("both"), F.greatest(F.size("eb"), F.size("tb")).alias("longer"))
+        .where(f"{WHOLE} * both >= {PART} * longer")
+        .select("e", "t", (F.col("both") / F.col("longer")).alias("similarity"))
     )
     same = reps.where("in_eval AND in_train").select(F.col("pair_id").alias("e"), F.col("pair_id").alias("t"), F.lit(1.0).alias("similarity"))
     return members, stored(links.union(same), "p6-links")

@@ -192,6 +192,24 @@ def test_overlap_against_brute_force(spark):
     assert over.overlap_pairs(pairs_of(spark, [])).count() == 0
 
 
+def test_overlap_is_exact_under_scattered_edits(spark):
+    """Edits over every line, moved lines and chats of a few words: few or no 5-grams are left in common."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (4, 5, 5, 6, 9, 10, 25, 60, 60, 110) for _ in range(3)]
+    rows = []
+    for k in range(400):
+        words = list(rng.choice(base))
+        for i in rng.sample(range(len(words)), int(len(words) * rng.choice([0, 0.1, 0.15, 0.2, 0.21, 0.25]))):
+            words[i] = f"z{rng.randrange(99)}"
+        words = words[: len(words) - rng.randrange(2)] if k % 3 == 0 else words
+        lines = [words[i : i + 4] for i in range(0, len(words), 4)]
+        rng.shuffle(lines)
+        rows.append((k, None, "\n".join(f"u{k}: " + " ".join(x) for x in lines), "s", rng.choice(["train", "train", "val", "test"]), 1))
+    rows += [(900, None, "u: we all saw the owl", "s", "train", 1), (901, None, "u: we all met the owl", "s", "val", 1), (902, None, "u: we all the owl", "s", "test", 1)]
+    got = [tuple(r) for r in over.overlap_pairs(pairs_of(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == overlap_brute(rows) and {(900, 901), (900, 902)} <= set(got)
+
+
 def test_a_third_of_all_rows_in_one_group(spark):
     hot = "a: " + " ".join(f"k{i}" for i in range(30))
     rows = [(i, None, hot if i % 3 == 0 else f"b: other {i} " + " ".join(f"q{i}_{j}" for j in range(20)), "s", "train" if i % 2 else "val", 1) for i in range(600)]
