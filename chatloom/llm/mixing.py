@@ -9,7 +9,8 @@ histogram reach the driver.
 Defined cases: null and empty texts and unlisted sources get no copies; copies of a
 text count once for each source and pattern, represented by the least id; a target
 without documents cannot be met and is reported with share 0, the others keep their
-proportions; without ``total`` the mix is as large as all targets together allow.
+proportions; without ``total`` the mix is as large as all targets together allow, with
+``CORPUS`` as large as the listed sources, and sources whose repeats run out fall short.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from chatloom.session import stored
 
 #: Patterns beyond this number (the smallest ones) are split back to their single sources.
 MAX_PATTERNS = 4096
+#: As ``total``: the tokens of all distinct texts of the listed sources.
+CORPUS = "corpus"
 #: Buckets of each of two histogram levels: selections are exact to one part in BUCKETS squared of a pattern, and one document.
 BUCKETS = 1024
 
@@ -130,7 +133,7 @@ def largest_total(patterns: list[tuple[tuple[str, ...], int]], shares: dict[str,
     return low
 
 
-def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = RANKS) -> DataFrame:
+def mixed(docs: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 42, path: str = RANKS) -> DataFrame:
     """(doc_id, source, n_tokens, copies): the documents of the mix, each with how often it is to be used for its source."""
     spark = docs.sparkSession
     want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("target_share > 0 AND max_repeats > 0").collect()}
@@ -152,7 +155,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     weight = sum(want[s][0] for s in present) or 1.0
     shares = {s: want[s][0] / weight for s in present}
     repeats = {s: int(want[s][1]) for s in present}
-    size = largest_total(patterns, shares, repeats) if total is None else total
+    size = largest_total(patterns, shares, repeats) if total is None else sum(t for _, t in patterns) if total == CORPUS else total
     flows = route(patterns, shares, repeats, size)[1] if patterns else {}
 
     # Each (pattern, source) flow is a number of whole repetitions and a rest; rests of a pattern take adjoining ranges of the seeded hash.
@@ -205,7 +208,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     return held.join(used, ["hash", "source"]).select("doc_id", "source", "n_tokens", "copies")
 
 
-def shares(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = RANKS) -> DataFrame:
+def shares(docs: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 42, path: str = RANKS) -> DataFrame:
     """(source, target_share, max_repeats, tokens, actual_share, documents, most_copies) of every listed source."""
     m = stored(mixed(docs, targets, total, seed, path), "p9-mix").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     m = m.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # a row per listed source

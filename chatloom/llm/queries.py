@@ -39,8 +39,8 @@ QUERIES = {
     "p7_redacted": lambda s, d: personal_info.redacted(chat_tables(s, d)),
     "p8_ids": lambda s, d: encoding.encoded(_docs(s, d)),
     "p8_decoded": lambda s, d: encoding.decoded(encoding.encoded(_docs(s, d))),
-    "p9_mix": lambda s, d: mixing.mixed(_docs(s, d), _targets(s, d)),
-    "p9_shares": lambda s, d: mixing.shares(_docs(s, d), _targets(s, d)),
+    "p9_mix": lambda s, d: mixing.mixed(_docs(s, d), _targets(s, d), mixing.CORPUS),
+    "p9_shares": lambda s, d: mixing.shares(_docs(s, d), _targets(s, d), mixing.CORPUS),
     "p10_found": lambda s, d: lookalike.lookalike_pairs(_docs(s, d)),
     "p10_forms": lambda s, d: lookalike.consistent(_docs(s, d)),
 }

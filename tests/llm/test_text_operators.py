@@ -183,6 +183,19 @@ def test_mixture_meets_shares_and_caps(spark):
     assert 900 <= fixed <= 1100
 
 
+def test_registered_mix_follows_the_corpus(spark, tmp_path):
+    """A source of one short text falls short; it doesn't shrink the mix to a few documents."""
+    from chatloom.llm.queries import QUERIES
+
+    docs = [(i, f"text number {i} of a long list of texts", "big" if i % 2 else "other") for i in range(400)] + [(900, "one", "scarce")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.5, 2), ("other", 0.4, 2), ("scarce", 0.1, 3)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    s = {r["source"]: r for r in QUERIES["p9_shares"](spark, str(tmp_path)).collect()}
+    assert s["scarce"]["most_copies"] == 3 and s["scarce"]["actual_share"] < 0.01
+    assert s["big"]["documents"] == 200 and s["other"]["documents"] >= 150 and abs(s["big"]["actual_share"] / s["other"]["actual_share"] - 1.25) < 0.02
+    assert {r["source"] for r in QUERIES["p9_mix"](spark, str(tmp_path)).collect()} == set(s)
+
+
 # abuse
 
 
