@@ -2,7 +2,7 @@
 
 One automaton pass over the texts of a record finds at-signs, pairs of digits,
 address words, titles and introducing phrases; only messages with an anchor are
-parsed, each by the parsers of its anchors' kinds. Parsers are local and bounded:
+parsed, each by all parsers. Parsers are local and bounded:
 they look at one message and expand from the anchor to the whole boundary.
 
 Defined cases: records without messages give no rows; user handles, times, scores,
@@ -27,7 +27,14 @@ PLACEHOLDERS = tuple(f"<{k.upper()}>" for k in KINDS)
 
 # Anchors and the words the parsers rely on.
 EMAIL_ANCHORS = ("@", "(at)", "[at]", " at ", "{at}")
-ADDRESS_ANCHORS = ("p.o.", "po box", "strasse", "straße", "gasse", "allee", "platz ", "calle ", "avenida ", "plaza ", "paseo ", "rua ", "rue ", "chemin ", "impasse ", "street", " st.", " st,", " st ", "road", " rd", " ave", "drive", "lane", "boulevard", "blvd", "court", "terrace", " close", " way", "crescent", "square", "apt", "flat ", "postfach", "apartado")
+STREET_WORDS = ("street", "st", "road", "rd", "avenue", "ave", "drive", "lane", "ln", "boulevard", "blvd", "court", "ct", "terrace", "close", "crescent", "square", "way")
+BEFORE_NAMES = ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "allée")  # a number, the word, a name
+ENDINGS = ("strasse", "straße", "gasse", "allee", "platz")
+BEFORE_NUMBERS = ("calle", "avenida", "plaza", "paseo", "rua", "via")  # the word, a name, a number
+SPACES = " \t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f"
+# Every form of ADDRESSES has one of these and a digit; what stands around them is left to the parser.
+ADDRESS_ANCHORS = (*(c + w for c in SPACES for w in STREET_WORDS + BEFORE_NAMES), *(w + c for c in SPACES for w in ENDINGS + BEFORE_NUMBERS + ("box",)))
+DIGIT = re.compile(r"\d")
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "señor", "señora", "mme", "monsieur", "madame", "г-н", "г-жа")
 LEADS = (
     "name is", "name's", "named", "i am called", "teacher", "neighbor", "neighbour", "colleague", "coworker", "landlord", "signed", "sincerely", "regards", "work with", "works with", "worked with", "live with", "lives with",
@@ -35,14 +42,14 @@ LEADS = (
 )
 PERSONS = ("guy", "girl", "man", "woman", "person", "dude", "kid")
 TAILS = ("from my school", "from our school", "from my work", "from my office", "from my class", "in case you need", "said hi")
-STREETS = r"(?:street|st|road|rd|avenue|ave|drive|lane|ln|boulevard|blvd|court|ct|terrace|close|crescent|square|way)"
+STREETS = rf"(?:{'|'.join(STREET_WORDS)})"
 NOT_NAMES = frozenset("a an the my your his her our their this that these those he she it we they you i and or but then with from in on at to of for is was are has have not no so all every who what when where".split())
 CHARACTERS = frozenset("sir captain baron baroness queen king prince princess lord lady mother father brother sister doctor iron old count duke saint aunt auntie uncle general admiral grand great dark the chat".split())
 NOT_STREETS = NOT_NAMES | frozenset("take left right next last first so too more points times left coins keys hours minutes months viewers only just level".split())
 NO_PHONE = re.compile(r"\b(?:score|points|seed|coins|coordinates|code|build|version|record|bits|id is)\b")
 
 W = r"[^\W\d_]"
-SPACE = "[ \t\u00a0\u2000-\u200a\u202f]"
+SPACE = f"[{SPACES}]"
 S, O = SPACE + "{1,3}", SPACE + "{0,3}"  # a gap, and an optional one
 DOT = rf"(?:\.|{O}[\[({{]{O}dot{O}[\])}}]{O}|{S}dot{S})"
 LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
@@ -59,9 +66,9 @@ IDS = re.compile(
 ADDRESSES = re.compile(
     rf"\bp\.?{O}o\.?{O}box{S}\d{{1,6}}\b"
     rf"|(?:\b(?:apt|flat|unit|suite)\.?{S}\d{{1,4}}{W}?,?{S})?(?<![\w.+-])\d{{1,5}}{W}?,?{S}(?:{W}+{S}){{1,2}}?{STREETS}\b\.?"
-    rf"|(?<![\w.+-])\d{{1,5}},?{S}(?:rue|avenue|boulevard|place|chemin|impasse|allée){S}(?:(?:du|de la|de l['’]|des|de|d['’]){O})?{W}+"
-    rf"|\b{W}+(?:strasse|straße|gasse|allee|platz){S}\d{{1,4}}{W}?\b"
-    rf"|\b(?:calle|avenida|plaza|paseo|rua|via){S}(?:(?:de|del|la|las|los|do|da){S}){{0,2}}{W}+,?{S}\d{{1,5}}\b"
+    rf"|(?<![\w.+-])\d{{1,5}},?{S}(?:{'|'.join(BEFORE_NAMES)}){S}(?:(?:du|de la|de l['’]|des|de|d['’]){O})?{W}+"
+    rf"|\b{W}+(?:{'|'.join(ENDINGS)}){S}\d{{1,4}}{W}?\b"
+    rf"|\b(?:{'|'.join(BEFORE_NUMBERS)}){S}(?:(?:de|del|la|las|los|do|da){S}){{0,2}}{W}+,?{S}\d{{1,5}}\b"
 )
 NAME_WORD = rf"(?!(?:{'|'.join(sorted(NOT_NAMES | {'plays', 'play', 'said', 'by', 'please', 'lol', 'chat', 'too'}))})\b){W}[\w'’-]+"
 TOWN = re.compile(rf",{S}[A-ZÀ-ÞА-Я][\w'’-]+(?:{S}[A-ZÀ-ÞА-Я][\w'’-]+)?")
@@ -121,28 +128,25 @@ def _name_ok(m: str, low_cased: bool) -> bool:
     return low_cased or all(w[0].isupper() for w in words)
 
 
-def found(text: str, mask: int = 31) -> list[tuple[int, int, int]]:
+def found(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of every case in one message, longest first where they overlap."""
     low = level(text)
     out: list[tuple[int, int, int]] = []
-    if mask & 1 << EMAIL:
-        out += [(*m.span(), EMAIL) for p in (EMAIL_PLAIN, EMAIL_WORDS) for m in p.finditer(low)]
-    if mask & 1 << ADDRESS:
-        for m in ADDRESSES.finditer(low):
-            words = re.findall(rf"{W}+", m[0])
-            if not any(w in NOT_STREETS for w in words):
-                town = TOWN.match(text, m.end())
-                out.append((m.start(), town.end() if town else m.end(), ADDRESS))
-    if mask & (1 << PHONE | 1 << ID):
-        taken = [(m.start(), m.end()) for m in IDS.finditer(low) if _id_ok(m[0])]
-        out += [(*t, ID) for t in taken]
-        for m in PHONES.finditer(low):
-            digits = sum(map(str.isdigit, m[0]))
-            if 8 <= digits <= 15 and not any(a < m.end() and m.start() < b for a, b in taken) and not (digits == len(m[0]) and NO_PHONE.search(low)):
-                out.append((*m.span(), PHONE))
+    out += [(*m.span(), EMAIL) for p in (EMAIL_PLAIN, EMAIL_WORDS) for m in p.finditer(low)]
+    for m in ADDRESSES.finditer(low):
+        words = re.findall(rf"{W}+", m[0])
+        if not any(w in NOT_STREETS for w in words):
+            town = TOWN.match(text, m.end())
+            out.append((m.start(), town.end() if town else m.end(), ADDRESS))
+    taken = [(m.start(), m.end()) for m in IDS.finditer(low) if _id_ok(m[0])]
+    out += [(*t, ID) for t in taken]
+    for m in PHONES.finditer(low):
+        digits = sum(map(str.isdigit, m[0]))
+        if 8 <= digits <= 15 and not any(a < m.end() and m.start() < b for a, b in taken) and not (digits == len(m[0]) and NO_PHONE.search(low)):
+            out.append((*m.span(), PHONE))
     letters = [c for c in text if c.isalpha()]
     flat = text == low or sum(map(str.isupper, letters)) > 0.6 * len(letters) or sum(w[0].isupper() for w in text.split() if w[0].isalpha()) >= 0.9 * max(1, sum(w[0].isalpha() for w in text.split()))
-    if letters and mask & 1 << NAME:
+    if letters:
         for p, g in ((LED, 1), (TAILED, 1), (TITLED, 0)):
             out += [(*m.span(g), NAME) for m in p.finditer(low) if _name_ok(text[m.start(g) : m.end(g)], flat)]
         out += [(*m.span(1), NAME) for m in CALLED.finditer(low) if not flat and _name_ok(text[m.start(1) : m.end(1)], False)]
@@ -171,13 +175,13 @@ def anchors(texts: list[str]) -> dict[int, int]:
         while ends[i] < end:
             i += 1
         marks[i] = marks.get(i, 0) | kind
-    return marks
+    return {i: kind for i, kind in marks.items() if kind != 1 << ADDRESS or DIGIT.search(texts[i])}
 
 
 def _found(key: int, messages: list[str]) -> Iterator[tuple]:
     texts = [parse_line(m)[2].replace("\n", " ") for m in messages]
-    for i, mask in anchors(texts).items():
-        for k in sorted({k for _, _, k in found(texts[i], mask)}):
+    for i in anchors(texts):
+        for k in sorted({k for _, _, k in found(texts[i])}):
             yield key, i + 1, KINDS[k]
 
 

@@ -69,6 +69,24 @@ def test_redaction(spark, rows):
         personal_info.found(text)
 
 
+ADDRESS_FORMS = [
+    *(f"12 Oak {w.title()}" for w in "street st road rd avenue ave drive lane ln boulevard blvd court ct terrace close crescent square way".split()),
+    *(f"3 {w} des Lilas" for w in "rue avenue boulevard place chemin impasse allée".split()),
+    *(f"Linden{w} 9" for w in "strasse straße gasse allee platz".split()),
+    *(f"{w} Roma 7" for w in "calle avenida plaza paseo rua via".split()),
+    "po box 5", "P O Box 5", "PO. Box 5", "P.O. Box  5",
+]
+
+
+def test_every_address_form_has_an_anchor():
+    """At a message's end, before marks and alone, and in both queries."""
+    for text in ADDRESS_FORMS:
+        for end in ("", "!", "?", ".", ", ok"):
+            got = [k for _, _, k in personal_info._found(1, ["u: hi", f"u: {text}{end}", "u: bye"])]
+            assert got == ["address"], (text, end)
+            assert "<ADDRESS>" in next(personal_info._redacted(1, ["u: hi", f"u: {text}{end}"]))[1][1], (text, end)
+
+
 # tokens
 
 
