@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.lines import over_records, parse_line
-from chatloom.operators.related_splits import ID_FORM, name_key
+from chatloom.llm.lines import over_records, parse_line
+from chatloom.llm.related_splits import ID_FORM, name_key
 
 #: At most this many labelled rows are used, the least label_ids first.
 LABELS_MAX = 50_000

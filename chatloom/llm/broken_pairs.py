@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.lines import alnum_key, lines_of, parse_line
+from chatloom.llm.lines import alnum_key, lines_of, parse_line
 from chatloom.session import stored
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")

@@ -19,7 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chatloom.functions.lines import over_records, parse_line
+from chatloom.llm.lines import over_records, parse_line
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 EMAIL, PHONE, ID, ADDRESS, NAME = range(5)
