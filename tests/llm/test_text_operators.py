@@ -251,6 +251,28 @@ def test_abuse_spellings(spark, labels, text):
     assert abuse.message_strength(text, model, spelling) > 1
 
 
+@pytest.mark.parametrize(
+    "text, toxic",
+    [
+        ("the boss will kill you in two hits", False), ("I will kill you and your family", True), ("that boss is a bastard", False), ("marmot is a bastard", True), ("you absolute bastard", True),
+        ("this controller is a piece of shit", False), ("I am such an idiot, forgot the key again", False), ("what an idiot you are", True), ("saying kys gets you banned here", False), ("kys", True),
+        ("the rats in the sewer carry diseases", False), ("those immigrants carry diseases", True), ("my whole party is going to be wiped out", False), ("he kicked her ass in the final round", False),
+        ("loser of the bet buys pizza", False), ("my save file disappeared forever", False), ("nobody would miss you", True), ("you are such a good healer, never stop", False), ("imagine being this good at jumping", False),
+        ("Ich bring dich um", True), ("i hope he gets cancer", True), ("tu es une merde", True),
+    ],
+)
+def test_abuse_needs_somebody_it_is_aimed_at(spark, labels, text, toxic):
+    """Wordings of neither the sample nor the tables: harmless senses, things, oneself and moderation are no cases."""
+    key = "model"
+    if key not in _trained:
+        bg = moments_of(spark, [(1, "a", [f"u: {r['message']}" for r in labels.where("label = 'none'").collect()], 0)])
+        _trained[key] = abuse.trained([bg], labels)
+    assert (abuse.message_strength(text, *_trained[key]) >= 4) is toxic
+
+
+_trained = {}
+
+
 def test_abuse_records_and_rates(spark, labels, rows):
     t = moments_of(spark, [(1, "Chan_A.json", ["u: you are such a moron, uninstall and never come back", "u: hi"], 0), (2, "chan-a.JSON ", ["u: kill the boss already, shoot him in the head", "u: the vermin quest in the bakery is so annoying"], 0), (3, None, None, 0)])
     assert rows(abuse.flagged([t], labels)) == [("moment_data", 1)]
