@@ -108,6 +108,13 @@ def consistent(docs: DataFrame, fold_case: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_forms(fold_case), "doc_id long, form string")
 
 
+def look_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, look, copies, texts): per document with a visible text the class of its look, how many documents have it and how many different texts they are. Nothing is expanded, whatever the size of a class."""
+    h = stored(docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_hashes, "doc_id long, look binary, raw binary"), "p10-looks")
+    texts = h.groupBy("look", "raw").agg(F.count("*").alias("n")).groupBy("look").agg(F.sum("n").alias("copies"), F.count("*").alias("texts"))
+    return h.select("doc_id", "look").join(texts, "look").select("doc_id", F.hex("look").alias("look"), "copies", "texts")
+
+
 def lookalike_pairs(docs: DataFrame) -> DataFrame:
     """(doc_a, doc_b), smaller first: documents whose texts differ but have the same form.
 

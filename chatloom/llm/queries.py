@@ -37,6 +37,7 @@ QUERIES = {
     "p1_found": lambda s, d: broken_pairs.broken(_pairs(s, d)),
     "p1_labels": lambda s, d: broken_pairs.labelled(_pairs(s, d)),
     "p2_found": lambda s, d: related_splits.tied_channels(_pairs(s, d), _channels(s, d)),
+    "p2_components": lambda s, d: related_splits.channel_components(_pairs(s, d), _channels(s, d)),
     "p2_splits": lambda s, d: related_splits.assign_splits(_pairs(s, d), _channels(s, d)),
     "p3_found": lambda s, d: hidden_duplicates.duplicate_pairs(chat_tables(s, d)),
     "p3_collapsed": lambda s, d: hidden_duplicates.collapse(chat_tables(s, d)),
@@ -54,16 +55,19 @@ QUERIES = {
     "p9_mix": lambda s, d: mixing.mixed(_docs(s, d), _targets(s, d), mixing.CORPUS),
     "p9_shares": lambda s, d: mixing.shares(_docs(s, d), _targets(s, d), mixing.CORPUS),
     "p10_found": lambda s, d: lookalike.lookalike_pairs(_docs(s, d)),
+    "p10_classes": lambda s, d: lookalike.look_classes(_docs(s, d)),
     "p10_forms": lambda s, d: lookalike.consistent(_docs(s, d)),
+    "p10_folded": lambda s, d: lookalike.consistent(_docs(s, d), fold_case=True),
 }
 
 _FORM = r"(?i)^(.+)_(s[0-9a-f]{8})_([0-9]+)[\s\pZ]*$"
 _key = lambda c: rf"regexp_replace(lower({c}), '[\s\pZ\-_]+', '', 'g')"
-ORACLES: dict[str, str] = {
-    "p2_found": f"""WITH RECURSIVE rec AS (SELECT {_key(f"regexp_extract(id, '{_FORM}', 1)")} AS k, lower(regexp_extract(id, '{_FORM}', 2)) AS s FROM summary_pairs WHERE regexp_matches(id, '{_FORM}')),
+_TIES = f"""WITH RECURSIVE rec AS (SELECT {_key(f"regexp_extract(id, '{_FORM}', 1)")} AS k, lower(regexp_extract(id, '{_FORM}', 2)) AS s FROM summary_pairs WHERE regexp_matches(id, '{_FORM}')),
       u AS (SELECT DISTINCT channel_id, s, regexp_replace(lower(owner), '[\\s\\pZ]+', '', 'g') AS o FROM rec JOIN (SELECT channel_id, owner, {_key('source')} AS k FROM channels) USING (k)),
       e AS (SELECT DISTINCT x.channel_id AS a, y.channel_id AS b FROM u x JOIN u y ON x.s = y.s OR (x.o = y.o AND x.o <> '')),
-      r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-      SELECT DISTINCT a AS channel_a, b AS channel_b FROM r WHERE a < b""",
+      r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
+ORACLES: dict[str, str] = {
+    "p2_found": f"{_TIES} SELECT DISTINCT a AS channel_a, b AS channel_b FROM r WHERE a < b",
+    "p2_components": f"{_TIES} SELECT a AS channel_id, min(b) AS component FROM r GROUP BY a",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

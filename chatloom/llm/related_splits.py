@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.session import stored
+from chatloom.session import small, stored
 
 ID_FORM = r"(?iU)^(.+)_(s[0-9a-f]{8})_(\d+)\s*$"
 #: Components above this share of all records are annealed first, whole in every restart: there are at most 1 / LARGE of them.
@@ -88,49 +88,53 @@ def tied_channels(pairs: DataFrame, channels: DataFrame) -> DataFrame:
     return a.join(b, "component").where("channel_a < channel_b").select("channel_a", "channel_b")
 
 
-def anneal(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, label_want: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
-    """Best (cost, assignment) met while moving and exchanging whole components between splits.
+def anneal(n: np.ndarray, m: np.ndarray, goal: np.ndarray, goal_m: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
+    """Best (cost, assignment) met while moving and exchanging whole components of ``n`` records, ``m`` of them labelled, between splits.
 
-    Cost: squared deviation of each split's size from ``want`` plus that of its label
-    counts from ``label_want``, both relative to the total.
+    Cost: squared deviation of each split's size from its share ``goal``, and a quarter of
+    that of its labelled and of its other records from ``goal_m`` and the rest, relative to
+    the total.
     """
     rng = np.random.default_rng(seed)
-    k, n = len(want), len(sizes)
-    at = start.copy()
-    load = np.bincount(at, sizes, k)
-    lab = np.zeros((k, labels.shape[1]))
-    np.add.at(lab, at, labels)
-    total = max(1.0, float(sizes.sum()))
-    cost = lambda: float(((load - want) ** 2).sum() + 0.25 * ((lab - label_want) ** 2).sum()) / total**2
-    now = cost()
-    best, kept = now, at.copy()
+    k, total = len(goal), max(1.0, float(n.sum()))
+    size, lab = (n / total).tolist(), (m / total).tolist()
+    want, want_m = (goal * n.sum() / total).tolist(), (goal_m * m.sum() / total).tolist()
+    at = start.tolist()
+    over, over_m = [-x for x in want], [-x for x in want_m]
+    for i, s in enumerate(at):
+        over[s] += size[i]
+        over_m[s] += lab[i]
+
+    def part(s: int, dn: float = 0.0, dm: float = 0.0) -> float:
+        a, b = over[s] + dn, over_m[s] + dm
+        return a * a + 0.25 * (b * b + (a - b) * (a - b))
+
+    now = sum(part(s) for s in range(k))
+    best, kept = now, list(at)
     heat = max(now, 1e-9)
+    first, second, to = (rng.integers(0, x, steps).tolist() for x in (len(size), len(size), k))
+    swap, chance = (rng.random(steps) < 0.5).tolist(), rng.random(steps).tolist()
+    cool = 1e-6 ** (1 / max(steps, 1))
     for step in range(steps):
-        i = int(rng.integers(n))
-        moves = [(i, int(rng.integers(k)))]
-        if n > 1 and rng.random() < 0.5:
-            j = int(rng.integers(n))
-            moves = [(i, int(at[j])), (j, int(at[i]))]
-        before = [(x, int(at[x])) for x, _ in moves]
-        for x, to in moves:
-            load[at[x]] -= sizes[x]
-            lab[at[x]] -= labels[x]
-            at[x] = to
-            load[to] += sizes[x]
-            lab[to] += labels[x]
-        new = cost()
-        if new <= now or rng.random() < math.exp(-(new - now) / max(heat * 0.995**step, 1e-15)):
-            now = new
-            if now < best:
-                best, kept = now, at.copy()
-        else:
-            for x, to in reversed(before):
-                load[at[x]] -= sizes[x]
-                lab[at[x]] -= labels[x]
-                at[x] = to
-                load[to] += sizes[x]
-                lab[to] += labels[x]
-    return best, kept
+        heat *= cool
+        i, j = first[step], second[step]
+        x = at[i]
+        y = at[j] if swap[step] else to[step]
+        if x == y:
+            continue
+        dn, dm = (size[i] - size[j], lab[i] - lab[j]) if swap[step] else (size[i], lab[i])
+        change = part(x, -dn, -dm) + part(y, dn, dm) - part(x) - part(y)
+        if change <= 0 or chance[step] < math.exp(max(-700.0, -change / heat)):
+            at[i] = y
+            if swap[step]:
+                at[j] = x
+            for s, sign in ((x, -1), (y, 1)):
+                over[s] += sign * dn
+                over_m[s] += sign * dm
+            now += change
+            if now < best - 1e-15:
+                best, kept = now, list(at)
+    return best, np.array(kept)
 
 
 def hashed_start(component: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -148,22 +152,16 @@ def largest_first(sizes: np.ndarray, want: np.ndarray) -> np.ndarray:
     return at
 
 
-def swapped(n: np.ndarray, m: np.ndarray, goal: np.ndarray, goal_m: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
-    """``anneal`` over components of ``n`` records, ``m`` of them labelled, towards the proportions ``goal`` of records and ``goal_m`` of labels."""
-    want, want_m = goal * n.sum(), goal_m * m.sum()
-    return anneal(n, np.stack([m, n - m], 1), want, np.stack([want_m, want - want_m], 1), start, seed, steps)
-
-
-def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[float, ...] = (0.8, 0.1, 0.1), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42, restarts: int = 4, steps: int = 4000) -> DataFrame:
+def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[float, ...] = (0.8, 0.1, 0.1), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42, restarts: int = 4, steps: int = 4000, moves: int = 20) -> DataFrame:
     """(pair_id, component, split) of every record, all records of a component in one split.
 
-    Hashed start, then moves and exchanges of whole components by simulated annealing:
-    first the few components above LARGE of all records, each restart in a task of its
-    own and one more restart from the largest-first placement, then the rest in parallel
-    blocks of about BLOCK components that share what the large ones leave of the
-    proportions; the best of ``restarts`` runs is kept. The label balanced beside the
-    size is whether a record has a usable summary. A component larger than the
-    smallest split lands where it deviates least.
+    Hashed start, then moves and exchanges of whole components by simulated annealing of
+    ``moves`` steps a component and ``steps`` at least, in parallel: the few components
+    above LARGE of all records first, from the hash and from the largest-first placement;
+    then the rest in blocks of about BLOCK components that share what the large ones leave
+    of the proportions. Each restart of each block is a task of its own, and the best of a
+    block is kept. The label balanced beside the size is whether a record has a usable
+    summary. A component larger than the smallest split lands where it deviates least.
     """
     comp = channel_components(pairs, channels).join(channels.select("channel_id", name_key(F.col("source")).alias("source_key")), "channel_id").groupBy("source_key").agg(F.min("component").alias("channel"))
     comp = stored(comp, "p2-sources")
@@ -173,7 +171,8 @@ def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[floa
         (F.length(F.trim(F.coalesce("summary", F.lit("")))) > 0).cast("int").alias("label"),
         F.when(F.col("id").rlike(ID_FORM), name_key(F.regexp_extract("id", ID_FORM, 1))).alias("source_key"),
     )
-    record = tagged.join(comp, "source_key", "left").select(
+    # A source with a third of all records would be one task of a shuffled join; the sources are few, so they are broadcast once counted.
+    record = tagged.join(small(comp, 64), "source_key", "left").select(
         "pair_id", "label",
         F.when(F.col("channel").isNotNull(), F.concat(F.lit("c"), F.col("channel")))
         .when(F.col("source_key").isNotNull(), F.concat(F.lit("s"), F.col("source_key")))
@@ -185,37 +184,42 @@ def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[floa
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("n_label"), F.lit(0))).first()
     limit = max(1, int(total[0] * LARGE))
     share = np.array(proportions) / sum(proportions)
-    big = sorted(((r["component"], r["n"], r["n_label"]) for r in sizes.where(F.col("n") > limit).collect()), key=lambda r: (-r[1], r[0]))
-    load, label_load, placed = np.zeros(len(share)), np.zeros(len(share)), []
-    if big:
-        component = np.array([r[0] for r in big], object)
-        big_n, big_m = np.array([r[1] for r in big], float), np.array([r[2] for r in big], float)
-
-        def restart(it):
-            for pdf in it:
-                for r in pdf["id"]:
-                    start = hashed_start(component, share) if r < restarts else largest_first(big_n, share * big_n.sum())
-                    cost, at = swapped(big_n, big_m, share, share, start, seed + r, steps)
-                    yield pd.DataFrame({"r": [r], "cost": [cost], "at": [at.tolist()]})
-
-        runs = pairs.sparkSession.range(0, restarts + 1, 1, restarts + 1).mapInPandas(restart, "r long, cost double, at array<long>").collect()
-        at = np.array(min(runs, key=lambda r: (r["cost"], r["r"]))["at"])
-        load, label_load = np.bincount(at, big_n, len(share)), np.bincount(at, big_m, len(share))
-        placed = [(c, names[i]) for c, i in zip(component, at)]
-    blocks = max(1, math.ceil((total[1] - len(big)) / BLOCK))
+    searched = _searched(names, restarts, steps, moves, seed)
+    big = sizes.where(F.col("n") > limit).withColumn("block", F.lit(-1).cast("long"))
+    placed = stored(_best(big, restarts + 1, searched(share, share, largest=True)), "p2-large")
+    at = {r["split"]: r for r in placed.join(big, "component").groupBy("split").agg(F.sum("n").alias("n"), F.sum("n_label").alias("m"), F.count("*").alias("c")).collect()}
+    load, label_load = (np.array([float(at[x][c]) if x in at else 0.0 for x in names]) for c in ("n", "m"))
     want, label_want = np.maximum(share * total[0] - load, 0), np.maximum(share * total[2] - label_load, 0)
+    goal, goal_m = want / max(want.sum(), 1e-9), label_want / max(label_want.sum(), 1e-9)
+    blocks = max(1, math.ceil((total[1] - sum(r["c"] for r in at.values())) / BLOCK))
+    rest = sizes.where(F.col("n") <= limit).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks)))
+    others = _best(rest, restarts, searched(goal, goal_m, largest=False))
+    # A component above the limit may hold a third of all records: they are few and looked up without a shuffle.
+    large = small(placed, 64)
+    out = record.join(large, "component").unionByName(record.join(large, "component", "left_anti").join(others, "component"))
+    return out.select("pair_id", "component", "split")
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("component").reset_index(drop=True)
-        n, m = pdf["n"].to_numpy(float), pdf["n_label"].to_numpy(float)
-        goal, goal_m = want / max(want.sum(), 1e-9), label_want / max(label_want.sum(), 1e-9)
-        start = hashed_start(pdf["component"].to_numpy(object), goal)
-        runs = [swapped(n, m, goal, goal_m, start, seed + r, steps) for r in range(restarts)]
-        at = min(runs, key=lambda r: r[0])[1]
-        return pd.DataFrame({"component": pdf["component"], "split": [names[i] for i in at]})
 
-    rest = sizes.where(F.col("n") <= limit).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks)))
-    chosen = rest.groupBy("block").applyInPandas(block, "component string, split string")
-    if placed:
-        chosen = chosen.unionByName(pairs.sparkSession.createDataFrame(placed, "component string, split string"))
-    return record.join(chosen, "component").select("pair_id", "component", "split")
+def _searched(names: tuple[str, ...], restarts: int, steps: int, moves: int, seed: int):
+    """Makes the search of one restart of one block, towards given shares of records and of labels."""
+
+    def towards(goal: np.ndarray, goal_m: np.ndarray, largest: bool):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("component")
+            n, m, component = pdf["n"].to_numpy(float), pdf["n_label"].to_numpy(float), pdf["component"].to_numpy(object)
+            r = int(pdf["r"].iloc[0])
+            start = largest_first(n, goal * n.sum()) if largest and r == restarts else hashed_start(component, goal)
+            cost, at = anneal(n, m, goal, goal_m, start, seed + r, max(steps, moves * len(n)))
+            return pd.DataFrame({"block": pdf["block"].iloc[:1], "r": [r], "cost": [cost], "component": [component.tolist()], "split": [[names[i] for i in at]]})
+
+        return run
+
+    return towards
+
+
+def _best(components: DataFrame, restarts: int, search) -> DataFrame:
+    """(component, split) by the best restart of each block."""
+    each = components.withColumn("r", F.explode(F.array(*map(F.lit, range(restarts)))))
+    runs = each.groupBy("block", "r").applyInPandas(search, "block long, r int, cost double, component array<string>, split array<string>")
+    best = runs.groupBy("block").agg(F.min_by(F.struct("component", "split"), F.struct("cost", "r")).alias("b"))
+    return best.select(F.explode(F.arrays_zip("b.component", "b.split")).alias("x")).select("x.component", "x.split")

@@ -86,6 +86,28 @@ def test_splits_keep_components_and_proportions(spark, data):
     assert rel.tied_channels(pairs, channels.limit(0)).count() == 0
 
 
+def test_search_beats_its_starts_on_the_tables(spark):
+    """All components of the driver's tables take part: size and label deviation are no worse than those of either start."""
+    import numpy as np
+
+    d = "/root/testdata/sf0.01"
+    pairs, channels = spark.read.parquet(f"{d}/summary_pairs.parquet"), spark.read.parquet(f"{d}/channels.parquet")
+    out = rel.assign_splits(pairs, channels).join(pairs.selectExpr("pair_id", "CAST(length(trim(coalesce(summary, ''))) > 0 AS INT) AS label"), "pair_id").toPandas()
+    assert len(out) == pairs.count() and out.groupby("component")["split"].nunique().max() == 1
+    c = out.groupby("component").agg(n=("pair_id", "size"), m=("label", "sum"), split=("split", "first")).reset_index()
+    share, names = np.array([0.8, 0.1, 0.1]), ["train", "val", "test"]
+
+    def cost(at):
+        n, m = (np.bincount(at, c[x], 3) / len(out) for x in ("n", "m"))
+        over, over_m = n - share, m - share * c["m"].sum() / len(out)
+        return float((over**2 + 0.25 * (over_m**2 + (over - over_m) ** 2)).sum())
+
+    got = cost(c["split"].map(names.index).to_numpy())
+    starts = [rel.hashed_start(c["component"].to_numpy(object), share), rel.largest_first(c["n"].to_numpy(float), share * len(out))]
+    assert got <= min(map(cost, starts)) and got < 1e-4
+    assert max(abs((c["n"][c["split"] == x].sum()) / len(out) - p) for x, p in zip(names, share)) < 0.005
+
+
 def test_large_components_are_annealed_with_their_labels(spark, data):
     """Half of the components have no summaries: largest first alone leaves their share in the splits to chance."""
     rng = random.Random(5)

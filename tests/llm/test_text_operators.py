@@ -139,6 +139,7 @@ def test_lookalike_pairs(spark, rows):
     df = spark.createDataFrame([(1, "Chat", 0), (2, "Ｃhat", 0), (3, "Chat", 0), (4, "chat", 0), (5, None, 0), (6, " ", 0), (7, " ", 0), (8, "", 0), (9, "Сhat", 0)], "doc_id long, text string, raw int")
     assert rows(lookalike.lookalike_pairs(df)) == [(1, 2), (1, 9), (2, 3), (2, 9), (3, 9)]
     assert lookalike.consistent(df).count() == 9 and lookalike.form("ÀB", True) == "àb"
+    assert sorted((r["doc_id"], r["copies"], r["texts"]) for r in lookalike.look_classes(df).collect()) == [(1, 4, 3), (2, 4, 3), (3, 4, 3), (4, 1, 1), (9, 4, 3)]
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
     hot = spark.range(3000).selectExpr("id AS doc_id", "IF(id = 7, 'ｘ', 'x') AS text")
     assert lookalike.lookalike_pairs(hot).count() == 2999
@@ -214,6 +215,23 @@ def test_registered_mix_follows_the_corpus(spark, tmp_path):
     assert {r["source"] for r in QUERIES["p9_mix"](spark, str(tmp_path)).collect()} == set(s)
 
 
+def test_more_patterns_than_any_cap(spark):
+    """Thousands of membership patterns: a source that only has shared texts still gets its share."""
+    rng = random.Random(8)
+    names = [f"s{i:02d}" for i in range(14)]
+    sets = {tuple(sorted(rng.sample(names, rng.randrange(2, 9)))) for _ in range(7000)}
+    patterns = [(m, rng.randrange(1, 50)) for m in sorted(sets)]
+    shares = {s: 0.05 for s in names} | {"s13": 0.35}
+    total = sum(t for _, t in patterns)
+    done, flow = mixing.route(patterns, shares, dict.fromkeys(names, 1), total)
+    assert len(patterns) > 4096 and done == min(total, sum(round(x * total) for x in shares.values())) == sum(flow.values())
+    assert all(s in patterns[p][0] for p, s in flow)
+    used = {}
+    for (p, _), x in flow.items():
+        used[p] = used.get(p, 0) + x
+    assert all(x <= patterns[p][1] for p, x in used.items())
+
+
 # abuse
 
 
