@@ -1,0 +1,238 @@
+"""The prep and moment profiles of one row in plain Python, for one Arrow pass over whole rows.
+
+A row's lines, tokens, grams and counts depend on each other; as column expressions
+they would be nested lambdas, interpreted token by token and worked out again for
+every result. White space, line breaks and word characters are Python's own.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from chatloom import lexicon as L
+
+
+def compiled(pattern: str, flags: int = 0) -> re.Pattern:
+    """A pattern of the lexicon for Python: its white space class is ``\\s`` here."""
+    return re.compile(pattern.replace(L.WS, r"\s").replace(L.WS[1:-1], r"\s").replace(r"[\pL\pN_]", r"\w"), flags)
+
+
+BRACKET_LINE, URL_CASED, MENTION = compiled(L.BRACKET_LINE), compiled(L.URL_CASED.replace("[^\\t-\\r\\x1c-\\x20\\x85\\pZ]", r"\S")), compiled(L.MENTION)
+STAMP, SHORT_PREFIX, REPEATED = re.compile(r"^\[[0-9]{1,2}:[0-9]{2}:[0-9]{2}\]\s*"), re.compile(r"^[^:]{1,40}:\s*"), re.compile(r"(.)\1{3,}")
+METADATA, BOTS, NOISE_LINE = compiled(L.PREP_METADATA), compiled(L.PREP_BOTS), compiled(L.PREP_NOISE_LINE)
+WORD3, WORD_MARKS, NOT_LETTER, LETTER = re.compile("[a-z]{3,}"), re.compile("[a-z']+"), re.compile("[^a-z]"), re.compile("[A-Za-z]")
+MOMENT_WORD = re.compile("[a-z][a-z0-9']+")
+NOISE_WORDS, NOISE_PREFIXES = frozenset([*L.PREP_STOPWORDS, *L.PREP_NOISE_EXACT]), tuple(L.PREP_NOISE_PREFIXES)
+CHARGED = re.compile("|".join(sorted({w for ws in L.PREP_SENTIMENT.values() for w in ws})))
+SENTIMENT = {k: frozenset(ws) for k, ws in L.PREP_SENTIMENT.items()}
+STOP, WEAK = frozenset(L.MOMENT_STOPWORDS), frozenset([*L.MOMENT_STOPWORDS, *L.MOMENT_NOISE])
+TONES = {k: compiled(p) for k, p in L.TONES.items()}
+CONCEPTS = {k: compiled(p, re.I) for k, p in L.CONCEPTS.items()}
+CALL = compiled(L.CALL_PATTERN, re.I)
+
+
+# Prep profile
+
+
+def prep_line(raw: str) -> str:
+    """Without time stamp, metadata and prefix; signs at most three, tokens at most two in a row."""
+    s = STAMP.sub("", raw.strip()).strip()
+    left, colon, right = s.partition(":")
+    if colon and len(left) <= 160 and METADATA.search(left.lower()):
+        s = right.strip()
+    s = REPEATED.sub(r"\1\1\1", SHORT_PREFIX.sub("", s).strip())
+    out: list[str] = []
+    low: list[str] = []
+    for x in s.split():
+        y = x.lower()
+        if low[-2:] != [y, y]:
+            out.append(x)
+        low.append(y)
+    return " ".join(out)
+
+
+def prep_noise(line: str) -> bool:
+    low = line.lower()
+    t = low.split()
+    return len(t) >= 5 and len(set(t)) == 1 or not any(map(str.isalpha, line)) or bool(NOISE_LINE.search(low) or BOTS.search(low))
+
+
+def noise_token(t: str) -> bool:
+    return t in NOISE_WORDS or len(t) > 12 or t.startswith(NOISE_PREFIXES)
+
+
+def prep_lines(text: str | None, most: int) -> list[tuple[int, str]]:
+    """(position, line): the first ``most`` distinct cleaned lines."""
+    out: dict[str, tuple[int, str]] = {}
+    for pos, raw in enumerate((text or "").splitlines()):
+        line = prep_line(raw)
+        if line and line.lower() not in out and not prep_noise(line):
+            out[line.lower()] = pos, line
+            if len(out) == most:
+                break
+    return list(out.values())
+
+
+class Gram(NamedTuple):
+    gram: str
+    pair: bool
+    occurrences: int
+    pos: int
+    i: int
+
+
+def prep_grams(lines: list[tuple[int, str]]) -> list[Gram]:
+    """Words and neighbouring word pairs without noise: in how many lines they are, and where first."""
+    n: Counter[tuple[str, bool]] = Counter()
+    first: dict[tuple[str, bool], tuple[int, int]] = {}
+    for pos, line in lines:
+        t = [w for w in WORD3.findall(line.lower()) if not noise_token(w)]
+        seen: dict[tuple[str, bool], int] = {}
+        for i, w in enumerate(t):
+            seen.setdefault((w, False), i)
+            if i + 1 < len(t):
+                seen.setdefault((f"{w} {t[i + 1]}", True), i)
+        for k, i in seen.items():
+            n[k] += 1
+            first.setdefault(k, (pos, i))
+    return [Gram(g, p, c, *first[g, p]) for (g, p), c in n.items()]
+
+
+def prep_topic(grams: list[Gram], least: int) -> str:
+    many = [g for g in grams if g.occurrences >= least]
+    two = min((g for g in many if g.pair), key=lambda g: (-g.occurrences, -len(g.gram), g.pos, g.i, g.gram), default=None)
+    one = min((g for g in many if not g.pair), key=lambda g: (-g.occurrences, len(g.gram), g.gram), default=None)
+    return two.gram if two else one.gram if one else L.NO_TOPIC
+
+
+def prep_sentiment(lines: list[tuple[int, str]]) -> tuple[int, int, int, int, str]:
+    words = [w for _, line in lines for w in WORD_MARKS.findall(line.lower())]
+    a, b, p, m = (sum(w in ws for w in words) for ws in SENTIMENT.values())
+    if a >= 2 and a >= max(b, p, m):
+        label = "laughter"
+    elif b >= 2 and b >= max(a, p, m):
+        label = "confusion"
+    else:
+        label = "approval" if p - m >= 2 else "disapproval" if m - p >= 2 else "mixed"
+    return a, b, p, m, label
+
+
+def readable(line: str) -> bool:
+    """At least four tokens with a letter, at most half of them emote-like."""
+    lettered = [w for w in line.split() if LETTER.search(w)]
+    if len(lettered) < 4:
+        return False
+    bare = [NOT_LETTER.sub("", w.lower()) for w in lettered]
+    return 2 * sum(b != "" and noise_token(b) for b in bare) <= len(lettered)
+
+
+def prep_quotes(lines: list[tuple[int, str]], topic: str, words: int) -> tuple[str, str]:
+    """The two best lines by topic words, charged words and readability; ties by position."""
+    good = [readable(line) for _, line in lines]
+    few = sum(good) < 2
+
+    def score(k: int) -> int:
+        low = lines[k][1].lower()
+        about = 2 * (topic in low) + sum(w in low for w in topic.split(" ")) if topic != L.NO_TOPIC else 0
+        return about + bool(CHARGED.search(low)) + 2 * good[k]
+
+    best = sorted((k for k in range(len(lines)) if good[k] or few), key=lambda k: (-score(k), lines[k][0]))[:2]
+    short = [line if len(t := line.split()) <= words else " ".join(t[:words]) for line in (lines[k][1] for k in best)]
+    return short[0], short[-1]
+
+
+# Moment profile
+
+
+def bracket_parts(raw: str) -> tuple[str, str]:
+    """(user, text): bracket form only, else the whole line as text."""
+    m = BRACKET_LINE.match(raw)
+    return (m[1].strip(), m[2].strip()) if m else ("", raw.strip())
+
+
+def moment_system(user: str, text: str) -> bool:
+    low = text.lower()
+    return user.lower() in L.DISTILL_BOTS or any(p in low for p in L.MOMENT_SYSTEM)
+
+
+def moment_normalized(text: str) -> str:
+    return " ".join(MENTION.sub(" ", URL_CASED.sub(" ", text)).split())
+
+
+def moment_messages(raw: list[str | None] | None) -> list[str]:
+    parts = [bracket_parts(x) for x in raw or () if x is not None]
+    return [moment_normalized(t) for u, t in parts if t and not moment_system(u, t)]
+
+
+def moment_keys(raw: list[str | None] | None) -> list[str]:
+    texts = [moment_normalized(bracket_parts(x)[1]) for x in raw or () if x is not None]
+    return [t for t in texts if t and not moment_system("", t)]
+
+
+def tone_scores(combined: list[str]) -> tuple[float, ...]:
+    """Laughter, hype, approval, confusion, frustration: pattern hits, question marks and mockery weighted in."""
+    low = [x.lower() for x in combined]
+    n = {k: sum(len(p.findall(x)) for x in low) for k, p in TONES.items()}
+    questions = sum(x.count("?") for x in combined)
+    return round(n["laughter"] + L.MOCKERY_WEIGHT * n["mockery"], 6), float(n["hype"]), float(n["approval"]), round(n["confusion"] + L.QUESTION_WEIGHT * questions, 6), float(n["frustration"])
+
+
+def concepts(combined: list[str]) -> tuple[dict[str, int], str | None, str | None]:
+    """(counts above 0, the name called most, the person named most); ``call`` counts one more than the hits, ties go to the name called first and to the person alphabetically last."""
+    text = "\n".join(combined)
+    low = text.lower()
+    tokens = Counter(MOMENT_WORD.findall(low))
+    n = {k: len(p.findall(text)) for k, p in CONCEPTS.items()}
+    n["death"] = sum(tokens[w] for w in L.DEATH_WORDS)
+    for k, ws in (("teamplay", L.TEAMPLAY_WORDS), ("looks", L.LOOK_WORDS), ("argument", L.ARGUMENT_WORDS)):
+        n[k] = sum(low.count(w) for w in ws)
+    names = Counter(x for x in map(str.lower, CALL.findall(text)) if x not in L.GENERIC_CALL_NAMES and len(x) >= 4)
+    call = None
+    if names:
+        call, hits = names.most_common(1)[0]
+        n["call"] = hits + 1
+    many = [(c, t) for t, c in tokens.items() if c >= L.PERSON_LEAST and len(t) >= 4 and t not in WEAK and t not in L.NO_PERSONS]
+    if many:
+        n["person"] = max(many)[0]
+    return {k: v for k, v in n.items() if v > 0}, call, max(many)[1] if many else None
+
+
+def moment_phrases(combined: list[str]) -> Counter[str]:
+    """Word pairs and triples that can stand for a topic, by the number of messages with them."""
+    out: Counter[str] = Counter()
+    for x in combined:
+        t = MOMENT_WORD.findall(x.lower())
+        strong = [w not in WEAK for w in t]
+        of: set[str] = set()
+        for k in (2, 3):
+            for i in range(len(t) - k + 1):
+                g = t[i : i + k]
+                if sum(strong[i : i + k]) >= 2 and g[0] not in STOP and g[-1] not in STOP and len(set(g)) > 1:
+                    of.add(" ".join(g))
+        out.update(of)
+    return out
+
+
+def best_phrase(phrases: Counter[str], least: int = 2) -> tuple[str, int] | None:
+    """The phrase with the highest weighted count, ties to the alphabetically last."""
+    many = [(round(n * (2.4 if p.count(" ") == 1 else 3.0), 6), p, n) for p, n in phrases.items() if n >= least]
+    return max(many)[1:] if many else None
+
+
+def over_rows(df: DataFrame, run: Callable[..., Iterator[tuple]], schema: str, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """``run(*values of a row)`` yields tuples of the ``schema``. Narrow: one Arrow pass."""
+    arrow = pa.schema(fields)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = [r for values in zip(*(c.to_pylist() for c in batch.columns)) for r in run(*values)]
+            cols = list(zip(*out)) if out else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return df.mapInArrow(batches, schema)

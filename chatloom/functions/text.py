@@ -142,44 +142,11 @@ def flood(text: Column, threshold: int) -> Column:
 
         return let(run_starts(t), lambda s: let(sized(s), by_run))
 
-    return let(tokens(text), lambda t: F.when(F.size(t) < max(2, threshold), out(text, lit(0))).otherwise(folded(t)))
-
-
-def capped_chars(c: Column) -> Column:
-    """Runs of four or more of one sign to three."""
-    return F.regexp_replace(c, r"(.)\1{3,}", "$1$1$1")
-
-
-def capped_tokens(c: Column) -> Column:
-    """At most two of one token in a row, case apart."""
-
-    def capped(t: Column) -> Column:
-        return let(F.transform(t, F.lower), lambda low: F.filter(t, lambda x, i: (i < 2) | (F.element_at(low, F.greatest(i, lit(1))) != F.element_at(low, i + 1)) | (F.element_at(low, F.greatest(i - 1, lit(1))) != F.element_at(low, i + 1))))
-
-    return F.array_join(let(tokens(c), capped), " ")
-
-
-def without_prefixes(c: Column) -> Column:
-    """Without time stamp, metadata before the first colon, and one short ``x:`` prefix."""
-    line = strip(F.regexp_replace(c, rf"^\[[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}\]{L.WS}*", ""))
-    left = F.substring_index(line, ":", 1)
-    meta = line.contains(":") & (F.length(left) <= 160) & F.lower(left).rlike(L.PREP_METADATA)
-    line = F.when(meta, strip(F.regexp_replace(line, r"(?s)^[^:]*:(.*)$", "$1"))).otherwise(line)
-    return strip(F.regexp_replace(line, rf"^[^:]{{1,40}}:{L.WS}*", ""))
-
-
-def prep_line(raw: Column) -> Column:
-    return squeeze(capped_tokens(capped_chars(without_prefixes(strip(raw)))))
-
-
-def prep_noise(line: Column) -> Column:
-    low = F.lower(line)
-    t = tokens(low)
-    return low.rlike(f"(?U)(?:{L.PREP_BOTS})") | low.rlike(L.PREP_NOISE_LINE) | ((F.size(t) >= 5) & (F.size(F.array_distinct(t)) == 1)) | ~line.rlike(r"\pL")
-
-
-def noise_token(t: Column) -> Column:
-    return t.isin([*L.PREP_STOPWORDS, *L.PREP_NOISE_EXACT]) | (F.length(t) > 12) | t.rlike(f"^(?:{'|'.join(L.PREP_NOISE_PREFIXES)})")
+    # Few lines have a flood: a run shows as a back reference, two kinds of tokens in the distinct ones; only such lines are folded.
+    low = F.lower(text)
+    run = low.rlike(rf"(?:^|{L.WS})({L.WS.replace('[', '[^', 1)}+)(?:{L.WS}+\1){{{max(2, threshold) - 1},}}(?:{L.WS}|$)")
+    may = run | (F.size(F.array_distinct(F.array_remove(F.split(low, f"{L.WS}+", -1), ""))) <= 2)
+    return F.when(may, let(tokens(text), lambda t: F.when(F.size(t) < max(2, threshold), out(text, lit(0))).otherwise(folded(t)))).otherwise(out(text, lit(0)))
 
 
 def sentences(c: Column) -> Column:

@@ -63,6 +63,8 @@ DEATH_WORDS = ("dead", "died", "dies", "kill", "killed", "shot", "rip", "o7", "e
 ARGUMENT_WORDS = ("liar", "lying", "cap", "fraud", "accountability", "story", "both sides", "arguing")
 TEAMPLAY_WORDS = ("teammate", "comms", "baiting", "throw", "self promo", "modz")
 LOOK_WORDS = ("look", "looks", "cute", "ugly", "weird", "fish", "chopped", "derpy")
+# Tokens that name no person, and how often a person has to be named.
+NO_PERSONS, PERSON_LEAST = ("alert", "bullshit", "kitty", "throop", "glue"), 4
 CALL_PATTERN, GENERIC_CALL_NAMES = rf"\bcall{WS}+([A-Za-z][A-Za-z0-9_']+)\b", ("someone", "somebody", "him", "her", "them", "bro", "guy", "girl", "chat")
 # Topic by concept counts, first match wins: ((concept, least count), ...), topic, kind; "{call}" is the name called most.
 TOPIC_RULES = (

@@ -1,106 +1,76 @@
 """Moments: filtered messages, tones, concepts, surface phrases, topics and templated summaries of each window.
 
-All counting is by array functions within a row; only phrases are shuffled, after a
-count per window and phrase on the map side. Defined cases: null structs, lists and
-elements are skipped; a moment without messages is chaotic and has no topic.
+Everything that is counted inside a moment comes from one Arrow pass over its row;
+nothing is shuffled. Defined cases: null structs, lists and elements are skipped; a
+moment without messages is chaotic and has no topic; copied moments each give a row.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom import lexicon as L
+from chatloom.functions import rows as R
 from chatloom.functions import text as T
 
 TONE_ORDER = ("laughter", "hype", "approval", "confusion", "frustration")
+_FIELDS = {
+    "moment_id": ("long", pa.int64()), "file_name": ("string", pa.string()), "window_id": ("string", pa.string()), "messages": ("array<string>", pa.list_(pa.string())), "keys": ("array<string>", pa.list_(pa.string())),
+    **{k: ("double", pa.float64()) for k in TONE_ORDER}, "counts": ("map<string,long>", pa.map_(pa.string(), pa.int64())), "call_name": ("string", pa.string()), "person": ("string", pa.string()),
+    "phrase": ("string", pa.string()), "n": ("long", pa.int64()),
+}
+_IN = ("moment_id", "file_name", "window_id", "messages", "extractive_summary.key_messages")
 
 
-def _system(user: Column, text: Column) -> Column:
-    low = F.lower(text)
-    hit = F.lower(user).isin(*L.DISTILL_BOTS)
-    for p in L.MOMENT_SYSTEM:
-        hit = hit | low.contains(p)
-    return hit
+def messages(moments: DataFrame) -> DataFrame:
+    """(moment_id, file_name, window_id, messages, keys): filtered and normalised texts, key lines apart."""
 
+    def run(key, file, window, raw, keys):
+        yield key, file, "x" if window is None else window, R.moment_messages(raw), R.moment_keys(keys)
 
-def messages(moments: DataFrame) -> DataFrame:
-    """(moment_id, file_name, window_id, messages, keys, combined): filtered and normalised texts; key lines count again in ``combined``."""
-    said = F.filter(F.transform(F.filter(F.coalesce("messages", F.array()), lambda x: x.isNotNull()), T.parsed_bracket), lambda p: (F.length(p["text"]) > 0) & ~_system(p["user"], p["text"]))
-    key = F.filter(F.coalesce(F.col("extractive_summary.key_messages"), F.array()), lambda x: x.isNotNull())
-    keys = F.filter(F.transform(key, lambda x: T.normalized(T.parsed_bracket(x)["text"], False)), lambda x: (F.length(x) > 0) & ~_system(F.lit(""), x))
-    df = T.computed(moments, "moment_id", "file_name", window_id_=F.coalesce("window_id", F.lit("x")), said=F.transform(said, lambda p: T.normalized(p["text"], False)), keys=keys)
-    return df.select("moment_id", "file_name", F.col("window_id_").alias("window_id"), F.col("said").alias("messages"), "keys", F.concat("said", "keys").alias("combined"))
-
-
-def tone_scores(m: DataFrame) -> DataFrame:
-    """(moment_id, five tone scores): pattern hits of all messages, question marks and mockery weighted in."""
-    count = lambda p: F.aggregate(F.transform("combined", lambda x: F.regexp_count(F.lower(x), F.lit(f"(?U){p}"))), F.lit(0), lambda a, n: a + n)
-    n = m.select("moment_id", *(count(p).alias(k) for k, p in L.TONES.items()), F.aggregate(F.transform("combined", lambda x: F.regexp_count(x, F.lit("[?]"))), F.lit(0), lambda a, k: a + k).alias("questions"))
-    return n.select(
-        "moment_id",
-        F.round(F.col("laughter") + L.MOCKERY_WEIGHT * F.col("mockery"), 6).alias("laughter"),
-        F.col("hype").cast("double").alias("hype"),
-        F.col("approval").cast("double").alias("approval"),
-        F.round(F.col("confusion") + L.QUESTION_WEIGHT * F.col("questions"), 6).alias("confusion"),
-        F.col("frustration").cast("double").alias("frustration"),
-    )
+    return _pass(moments, run, list(_FIELDS)[:5])
 
 
-def tones(scores: DataFrame) -> DataFrame:
-    """(moment_id, tone, secondary): the leading tone; ``mixed`` has both leaders as secondary."""
-    order = F.array_sort(F.array(*(F.struct((-F.col(k)).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(TONE_ORDER))))
-    df = scores.select("moment_id", order.alias("o")).select("moment_id", F.col("o")[0].alias("a"), F.col("o")[1].alias("b"))
-    a, b = -F.col("a.s"), -F.col("b.s")
-    mixed, beside = (b >= 2.4) & (b >= a * 0.78), (b >= 2.8) & (b >= a * 0.6)
-    return df.select(
-        "moment_id",
-        F.when(a < 2.2, "chaotic").when(mixed, "mixed").otherwise(F.col("a.k")).alias("tone"),
-        F.when(a < 2.2, F.lit(None)).when(mixed, F.concat_ws(",", "a.k", "b.k")).when(beside, F.col("b.k")).alias("secondary"),
-    )
+def profile(moments: DataFrame) -> DataFrame:
+    """``messages`` with five tone scores, counts of every concept found, the name called and the person named most, and the best phrase with its messages; key lines count like messages."""
 
+    def run(key, file, window, raw, keys):
+        said, marked = R.moment_messages(raw), R.moment_keys(keys)
+        combined = said + marked
+        counts, call, person = R.concepts(combined)
+        yield key, file, "x" if window is None else window, said, marked, *R.tone_scores(combined), list(counts.items()), call, person, *(R.best_phrase(R.moment_phrases(combined)) or (None, None))
 
-def _substrings(low: Column, ws: tuple[str, ...]) -> Column:
-    out = F.lit(0)
-    for w in ws:
-        out = out + ((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("int")
-    return out
+    return _pass(moments, run, list(_FIELDS))
 
 
-def concept_counts(m: DataFrame) -> DataFrame:
-    """(moment_id, call_name, counts): map of every concept's count; ``call`` is one more than the hits of the name called most."""
-    df = T.computed(m, "moment_id", t=F.array_join("combined", "\n"), low=F.lower(F.array_join("combined", "\n")))
-    names = F.filter(F.transform(F.regexp_extract_all("t", F.lit(f"(?i)(?U){L.CALL_PATTERN}"), F.lit(1)), F.lower), lambda x: ~x.isin(*L.GENERIC_CALL_NAMES) & (F.length(x) >= 4))
-    tally = lambda ns: F.array_sort(F.transform(F.array_distinct(ns), lambda x: F.struct((-F.size(F.filter(ns, lambda y: y == x))).alias("n"), F.array_position(ns, x).alias("at"), x.alias("name"))))
-    top = T.let(names, lambda ns: F.try_element_at(tally(ns), F.lit(1)))
-    death = F.size(F.filter(T.words(F.col("t"), "[a-z][a-z0-9']+"), lambda w: w.isin(*L.DEATH_WORDS)))
-    counts = {k: F.regexp_count("t", F.lit(f"(?i)(?U)(?d){p}")) for k, p in L.CONCEPTS.items()} | {
-        "death": death, "teamplay": _substrings(F.col("low"), L.TEAMPLAY_WORDS), "looks": _substrings(F.col("low"), L.LOOK_WORDS), "argument": _substrings(F.col("low"), L.ARGUMENT_WORDS),
-    }
-    df = T.computed(df, "moment_id", call=top, **{f"c{i}": v for i, v in enumerate(counts.values())})
-    entries = [x for i, k in enumerate(counts) for x in (F.lit(k), F.col(f"c{i}"))] + [F.lit("call"), F.coalesce(1 - F.col("call.n"), F.lit(0))]
-    return T.computed(df, "moment_id", call_name=F.col("call.name"), counts=F.map_filter(F.create_map(*entries), lambda k, v: v > 0))
+def _pass(moments: DataFrame, run, names: list[str]) -> DataFrame:
+    return R.over_rows(moments.select(*_IN), run, ", ".join(f"{n} {_FIELDS[n][0]}" for n in names), [(n, _FIELDS[n][1]) for n in names])
 
 
-def phrases(m: DataFrame) -> DataFrame:
+def phrases(moments: DataFrame) -> DataFrame:
     """(moment_id, phrase, n): word pairs and triples that can stand for a topic, by the number of messages with them."""
-    toks = T.computed(m.select("moment_id", F.explode("combined").alias("x")), "moment_id", t=T.words(F.col("x"), "[a-z][a-z0-9']+"))
 
-    def of(n: int) -> Column:
-        all_ = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.slice("t", i, n))).otherwise(F.array().cast("array<array<string>>"))
-        weak = [*L.MOMENT_STOPWORDS, *L.MOMENT_NOISE]
-        ok = lambda g: (F.size(F.array_distinct(g)) > 1) & (F.size(F.filter(g, lambda w: ~w.isin(weak))) >= 2) & ~F.element_at(g, 1).isin(L.MOMENT_STOPWORDS) & ~F.element_at(g, -1).isin(L.MOMENT_STOPWORDS)
-        return F.transform(F.filter(all_, ok), lambda g: F.array_join(g, " "))
+    def run(key, _file, _window, raw, keys):
+        for p, n in R.moment_phrases(R.moment_messages(raw) + R.moment_keys(keys)).items():
+            yield key, p, n
 
-    rows = toks.select("moment_id", F.explode(F.array_distinct(F.concat(of(2), of(3)))).alias("phrase"))
-    return rows.groupBy("moment_id", "phrase").agg(F.count("*").alias("n"))
+    return _pass(moments, run, ["moment_id", "phrase", "n"])
 
 
-def best_phrases(m: DataFrame, least: int = 2) -> DataFrame:
-    """(moment_id, phrase, n): the phrase with the highest weighted count, ties to the alphabetically last."""
-    n = phrases(m).where(F.col("n") >= least)
-    weight = F.round(F.col("n") * F.when(F.size(F.split("phrase", " ")) == 2, 2.4).otherwise(3.0), 6)
-    return n.groupBy("moment_id").agg(F.max(F.struct(weight.alias("w"), "phrase", "n")).alias("b")).select("moment_id", "b.phrase", "b.n")
+def tones(scores: DataFrame, *keep: str) -> DataFrame:
+    """(moment_id, tone, secondary) and what is to be kept: the leading tone; ``mixed`` has both leaders as secondary."""
+    order = F.array_sort(F.array(*(F.struct((-F.col(k)).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(TONE_ORDER))))
+    df = scores.select("moment_id", *keep, order.alias("o")).select("moment_id", *keep, F.col("o")[0].alias("a"), F.col("o")[1].alias("b"))
+    a, b = -F.col("a.s"), -F.col("b.s")
+    mixed, beside = (b >= 2.4) & (b >= a * 0.78), (b >= 2.8) & (b >= a * 0.6)
+    return df.select(
+        "moment_id",
+        *keep,
+        F.when(a < 2.2, "chaotic").when(mixed, "mixed").otherwise(F.col("a.k")).alias("tone"),
+        F.when(a < 2.2, F.lit(None)).when(mixed, F.concat_ws(",", "a.k", "b.k")).when(beside, F.col("b.k")).alias("secondary"),
+    )
 
 
 def cased(phrase: Column) -> Column:
@@ -109,9 +79,9 @@ def cased(phrase: Column) -> Column:
     return F.array_join(F.transform(F.split(phrase, " "), word), " ")
 
 
-def topics(m: DataFrame) -> DataFrame:
-    """(moment_id, topic, kind): the first concept rule that holds, else the best phrase, else the host where named; null if none."""
-    df = m.select("moment_id", F.lower("file_name").alias("file"), F.lower(F.array_join("messages", " ")).alias("said")).join(concept_counts(m), "moment_id").join(best_phrases(m), "moment_id", "left")
+def topics(profiled: DataFrame) -> DataFrame:
+    """(moment_id, topic, kind): the first concept rule that holds, else the best phrase, else the host where named; null if none. From ``profile``."""
+    df = profiled.select("*", F.lower("file_name").alias("file"), F.lower(F.array_join("messages", " ")).alias("said"))
     n = lambda k: F.coalesce(F.try_element_at("counts", F.lit(k)), F.lit(0))
     aliases = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in L.ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("file")), F.array().cast("array<string>"))
     topic = kind = None
@@ -124,17 +94,79 @@ def topics(m: DataFrame) -> DataFrame:
         kind = F.when(hit, what) if kind is None else kind.when(hit, what)
     good = F.col("phrase").isNotNull() & ~F.array_contains(aliases, F.col("phrase"))
     host = F.exists(aliases, lambda a: F.col("said").contains(a))
-    return df.select("moment_id", topic.when(good, cased(F.col("phrase"))).when(host, "{streamer}").alias("topic"), kind.when(good, "phrase").when(host, "entity").alias("kind"))
-
-
-# Our own wording; the contract is topic, tone and between 20 and 55 words.
-OPENERS = ("Chat gathers around {topic}, and the messages come across as {tone} for most of this window.", "Most of the window turns on {topic}, which viewers meet with {tone} from one message to the next.", "{topic} keeps coming up in chat, and the overall response reads as {tone} throughout the window.")
-NO_TOPIC = "several things at once"
-TONE_WORDS = {"laughter": "laughter", "hype": "excitement", "approval": "approval", "confusion": "confusion", "frustration": "frustration", "chaotic": "scattered reactions", "mixed": "mixed feelings"}
-# An unordered pair of tones, by names in alphabetical order.
+    return df.select(*profiled.columns, topic.when(good, cased(F.col("phrase"))).when(host, "{streamer}").alias("topic"), kind.when(good, "phrase").when(host, "entity").alias("kind"))
+
+
+# Our own wording; the contract is which of them is used, and between 20 and 55 words.
+TOPIC_TEXTS = {
+    "the cat and Christmas tree bit": ("Viewers jump from the cat to the tree that is still standing and rib {streamer} about both of them in turn.", "Two jokes run side by side here: a cat that steals every shot, and a Christmas tree nobody took down."),
+    "the bazooka kill": ("One bazooka shot ends it at once, and the messages answer with shouting, disbelief and a long run of jokes.", "The bazooka hit lands like a punch line, and viewers keep laughing at how sudden and total it was."),
+    "the BULLSHIT chant": ("A chant of BULLSHIT fills the window; hardly anybody takes the scene for real, and most enjoy saying so.", "Line after line calls BULLSHIT on what is shown, half as a protest and half as a joke that grows."),
+    "someone getting killed": ("A death out of nowhere sets off shock and laughter in equal parts, and the lines come thick and fast.", "Viewers watch somebody drop in an instant and answer with panic, disbelief and a good deal of laughter."),
+    "the clown-car visual": ("The tiny car with far too much in it becomes the joke of the window, and everybody adds a line.", "What looks like a clown car draws one joke after the other about its size and its passengers."),
+    "the ALERT slur joke": ("A word that may have been a slur turns into an ALERT joke, repeated with mockery until it carries the window.", "Viewers sound a mock ALERT over one doubtful word and keep that joke alive through most of the window."),
+    "the weird gibberish bit": ("Strange words and made-up sounds take over, and viewers pass them on, more amused than sure what they mean.", "The gibberish catches on at once: lines repeat it, bend it and laugh at it without making sense of it."),
+    "how rancid the vibes are": ("The air is called rancid and toxic from all sides, with open criticism and mockery in the same lines.", "Viewers agree that the vibes have gone bad and say so again and again, some amused, some annoyed."),
+    "the Throop town-name riff": ("The name Throop is enough for a whole thread of small jokes, each one turning the word a little further.", "A town called Throop keeps viewers happy: they repeat the name, play with it and ask for more."),
+    "the Scranton and Office jokes": ("Scranton comes up and jokes from The Office follow at once, light in tone and known to everybody.", "References to Scranton and The Office pass back and forth as an easy joke that most of them share."),
+    "the geography guess": ("A guess on the map brings corrections from those who know better and jokes from those who don't mind.", "Viewers argue over where the place is, with exact corrections in one line and plain mockery in the next."),
+    "the game list": ("The list of games is taken apart entry by entry, with objections, favourites of their own and second thoughts.", "Hardly an entry of the list goes by without protest, and rival rankings fill most of this window."),
+    "the stream ending": ("Good nights and kind words take over as the stream comes to its end, and the mood stays warm.", "Viewers take their leave, many of them with love and thanks, and the window closes on a soft note."),
+    "the spoilers": ("Spoilers turn up and split the lines: some want them gone at once, others find the fuss rather funny.", "Leaked details annoy a good part of the viewers, who ask for silence while a few go on joking."),
+    "the driving": ("The driving is judged without mercy, turn after turn, as something that hurts to look at.", "Every corner brings new criticism and new jokes, and nobody has a kind word for the driving."),
+    "the bad teamplay": ("Blame goes round for the teamplay: bad calls, bait and silence on the comms are named one by one.", "The team gets little mercy, and complaints about bait and missing calls fill most of the window."),
+    "the argument": ("An argument draws the viewers in, and they take sides, provoke and joke more than they share one view.", "Back and forth it goes, with bait, blame and jokes, and no reaction that all of them would share."),
+}
+KIND_TEXTS = {
+    "entity": {
+        "laughter": "{topic} is what everybody laughs about here, and one line after the other makes a joke of it.",
+        "hype": "{topic} raises the energy of this window, and viewers keep pushing it higher with every line.",
+        "approval": "{topic} is received with warmth, and the lines about it stay friendly and a little playful.",
+        "confusion": "{topic} leaves viewers at a loss, and they go on asking what it is that they see.",
+        "frustration": "{topic} gets on the viewers' nerves, and criticism comes back in line after line.",
+    },
+    "phrase": {
+        "laughter": "{topic} is repeated as a joke that needs no context, and laughter is the main answer to it.",
+        "hype": "{topic} is shouted again and again, with all the excitement of a win that is about to come.",
+        "confusion": "{topic} keeps coming back in the lines, yet what to think of it stays open to the end.",
+        "frustration": "{topic} is what viewers hold on to, and they do so with annoyance and little patience.",
+    },
+}
+MIXED_TEXTS = ("Opinions on {topic} part ways, with {pair} and no line that all would sign.", "Viewers part ways here, with {pair} and no subject that they share.")
+TONE_TEXTS = {
+    "laughter": "{topic} is good for joke after joke, and viewers treat it as something that can't be serious.",
+    "hype": "{topic} has viewers excited, and they answer with energy and without a second thought.",
+    "approval": "{topic} is met with approval for the most part, and the lines stay kind across the window.",
+    "confusion": "{topic} puzzles the viewers, who try to work out what is going on while the lines pile up.",
+    "frustration": "{topic} goes down badly with most viewers, and complaints outnumber any kind of support.",
+    "chaotic": "{topic} is somewhere in the middle of it all, between jokes, asides and reactions that go in all directions.",
+}
+NO_TOPIC_TEXTS = {
+    "laughter": ("Whatever happened, it was funny, and viewers add joke after joke to it.", "Most lines laugh about something that landed as a plain absurdity."),
+    "hype": ("Excitement carries the window, though the lines alone don't tell what it is about.", "The lines are loud and glad, more than any one subject would explain."),
+    "approval": ("Viewers are content and say so, without naming one subject for it.", "A kind tone runs through the lines, whatever they may be about."),
+    "confusion": ("Nobody is sure what has just happened, and questions make up most of the lines.", "Puzzled lines follow one another, and none of them settles the matter."),
+    "frustration": ("Annoyance speaks from most lines, though its cause can't be made out.", "Criticism prevails here, and little else gets a hearing."),
+    "chaotic": ("Jokes, asides and single reactions mix here, and no subject holds them together.",),
+}
 PAIRS = {"confusion,laughter": "disbelief and laughter at once", "frustration,laughter": "mockery with an edge", "confusion,hype": "excitement and confusion at once", "approval,confusion": "support and doubt at once", "approval,frustration": "approval and criticism side by side"}
-SECOND = " Beside that there is a clear strand of {second}."
-FILL = " No other subject holds the attention of viewers for long."
+# Said of a second tone where the topic is no bit, event or mood: by "tone,secondary".
+SECOND = {
+    "laughter,confusion": " Confusion runs through it as a second thread.", "confusion,laughter": " Much of that confusion ends in laughter.", "frustration,laughter": " Part of the criticism is plainly meant as a joke.",
+    "approval,confusion": " Some of them still aren't sure what they approve of.", "hype,confusion": " A few are excited and lost at the same time.",
+}
+# Added to summaries under 20 words: first by the second tone, then by the tone.
+PAD_SECOND = {
+    "laughter": (" Some laugh their way through it all the same.", " A few lines are more puzzled than amused."), "confusion": (" Being baffled and being amused go together here.", " Certainty is hard to find in these lines."),
+    "frustration": (" The annoyance can't be missed.", " Complaints come through clearly."), "approval": (" There is goodwill beneath it.", " On balance the mood stays on the kind side."), "hype": (" The energy points upward throughout.", " Excitement still fills many of the lines."),
+}
+PAD_TONE = {
+    "laughter": (" Everybody piles onto the joke for as long as it lasts.", " The mood is amused, with a little malice in it."), "confusion": (" Nobody sounds sure of what there was to see.", " Questions outnumber answers from the first line to the last."),
+    "frustration": (" Complaints do most of the talking from start to end.", " The negative voices have this window to themselves."), "approval": (" Support outweighs doubt for as long as it lasts.", " The reactions stay warm from the first line to the last."),
+    "hype": (" The energy is high from the first line to the last.", " It stays loud and glad for the whole window."), "chaotic": (" The reactions never settle into one direction for long.", " Nobody stays with one reaction for more than a line."),
+}
+#: Topics whose jokes are told with a straight face: annoyed or puzzled lines count as the second tone.
+DEADPAN = ("the Throop town-name riff", "the Scranton and Office jokes")
 
 
 def streamerized(c: Column) -> Column:
@@ -153,19 +185,48 @@ def pair_tone(secondary: Column) -> Column:
     return F.coalesce(known, F.array_join(F.split(secondary, ","), " mixed with "))
 
 
+def _by(table: dict, key: Column) -> Column:
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v)
+    return F.try_element_at(F.create_map(*(x for k, v in table.items() for x in (F.lit(k), value(v)))), key)
+
+
+def _seed(c: Column) -> Column:
+    return F.conv(F.substring(F.sha1(c.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _pick(options: Column, seed: Column) -> Column:
+    return F.try_element_at(options, (F.pmod(seed, F.size(options)) + 1).cast("int"))
+
+
 def summaries(moments: DataFrame) -> DataFrame:
     """(moment_id, tone, secondary, topic, kind, summary): a templated summary, its wording chosen by a hash of file and window."""
-    m = messages(moments)
-    df = m.select("moment_id", "file_name", "window_id").join(tones(tone_scores(m)), "moment_id").join(topics(m), "moment_id")
-    pick = F.conv(F.substring(F.sha1(F.concat_ws(":", F.coalesce("file_name", F.lit("")), "window_id").cast("binary")), 1, 8), 16, 10).cast("long") % len(OPENERS)
-    word = lambda c: F.element_at(F.create_map(*(F.lit(x) for kv in TONE_WORDS.items() for x in kv)), c)
-    text = F.replace(F.replace(F.element_at(F.array(*map(F.lit, OPENERS)), (pick + 1).cast("int")), F.lit("{topic}"), F.coalesce("topic", F.lit(NO_TOPIC))), F.lit("{tone}"), F.when(F.col("tone") == "mixed", pair_tone(F.col("secondary"))).otherwise(word(F.col("tone"))))
-    second = F.when((F.col("tone") != "mixed") & F.col("secondary").isNotNull(), F.replace(F.lit(SECOND), F.lit("{second}"), word(F.col("secondary")))).otherwise("")
-    full = streamerized(T.squeeze(F.concat(text, second)))
-    full = F.when(summary_words(full) < 20, F.concat(full, F.lit(FILL))).otherwise(full)
-    return df.select("moment_id", "tone", "secondary", "topic", "kind", F.when(summary_words(full) > 55, F.concat(F.substring_index(full, ". ", 1), F.lit("."))).otherwise(full).alias("summary"))
+    df = topics(profile(moments))
+    df = tones(df, "file_name", "window_id", "topic", "kind")
+    tone, second, topic, kind = (F.col(c) for c in ("tone", "secondary", "topic", "kind"))
+    deadpan = topic.isin(*DEADPAN) & tone.isin("frustration", "confusion")
+    df = df.withColumns({"secondary": F.when(deadpan, tone).otherwise(second), "tone": F.when(deadpan, "laughter").otherwise(tone)})
+    seed = _seed(F.concat_ws(":", F.coalesce("file_name", F.lit("")), "window_id"))
+    mixed = F.when(tone == "mixed", F.replace(F.when(topic.isNotNull(), MIXED_TEXTS[0]).otherwise(MIXED_TEXTS[1]), F.lit("{pair}"), pair_tone(second)))
+    text = F.coalesce(
+        _pick(_by(TOPIC_TEXTS, topic), seed), *(F.when(kind == k, _by(texts, tone)) for k, texts in KIND_TEXTS.items()), mixed, F.when(topic.isNotNull(), _by(TONE_TEXTS, tone)), _pick(_by(NO_TOPIC_TEXTS, tone), seed)
+    )
+    text = F.concat(F.upper(F.substring(text := F.replace(text, F.lit("{topic}"), F.coalesce(topic, F.lit(""))), 1, 1)), F.substring(text, 2, 1 << 20))
+    beside = F.when((tone != "mixed") & topic.isNotNull() & ~kind.isin("bit", "event", "mood"), _by(SECOND, F.concat_ws(",", tone, second)))
+    df = T.computed(df, "moment_id", "tone", "secondary", "topic", "kind", s=streamerized(T.squeeze(F.concat(text, F.coalesce(beside, F.lit(""))))))
+    seed, single = _seed(F.col("s")), F.when(tone != "mixed", second)
+    short = lambda c, pad: F.when(summary_words(c) < 20, F.concat(c, F.coalesce(pad, F.lit("")))).otherwise(c)
+    padded = short(short(F.col("s"), _pick(_by(PAD_SECOND, single), seed)), _pick(_by(PAD_TONE, F.when(tone == "mixed", "chaotic").otherwise(tone)), seed))
+    df = T.computed(df, "moment_id", "tone", "secondary", "topic", "kind", s=padded)
+    whole = F.when((summary_words(F.col("s")) > 55) & F.col("s").contains(". "), F.concat(F.substring_index("s", ". ", 1), F.lit("."))).otherwise(F.col("s"))
+    cut = F.regexp_extract(whole, r"^((?:[^A-Za-z0-9']*[A-Za-z0-9']+){55})", 1)
+    return df.select("moment_id", "tone", "secondary", "topic", "kind", F.when(summary_words(whole) > 55, F.concat(cut, F.lit("."))).otherwise(whole).alias("summary"))
+
+
+def preview(c: Column, most: int = 180) -> Column:
+    """The first characters of a text, with dots where there are more."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
 def rewritten(moments: DataFrame) -> DataFrame:
-    """The moments with their abstractive summary replaced; to be written to a new place."""
+    """The moments with their abstractive summary replaced; ``moment_id`` must be unique. To be written to a new place."""
     return moments.join(summaries(moments).select("moment_id", "summary"), "moment_id").withColumn("abstractive_summary", F.struct("summary")).drop("summary")

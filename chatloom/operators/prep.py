@@ -7,80 +7,74 @@ then the alphabetically first, between two-word topics to the earlier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom import lexicon as L
+from chatloom.functions import rows as R
 from chatloom.functions import text as T
-from chatloom.session import stored
+
+_LINES = pa.list_(pa.struct([("pos", pa.int32()), ("line", pa.string())]))
+_GRAMS = pa.list_(pa.struct([("gram", pa.string()), ("pair", pa.bool_()), ("occurrences", pa.int64()), ("pos", pa.int32()), ("i", pa.int32())]))
+
+
+def _delivered(rows: DataFrame) -> DataFrame:
+    return rows.select("row_no", "input_text").distinct()
+
+
+def lines_of(rows: DataFrame, max_lines: int = 140) -> DataFrame:
+    """(row_no, lines): the first ``max_lines`` distinct cleaned lines of each row, as an array of (pos, line)."""
+
+    def run(row_no, text):
+        yield row_no, [{"pos": p, "line": x} for p, x in R.prep_lines(text, max_lines)]
+
+    return R.over_rows(_delivered(rows), run, "row_no long, lines array<struct<pos: int, line: string>>", [("row_no", pa.int64()), ("lines", _LINES)])
 
 
 def clean_lines(rows: DataFrame, max_lines: int = 140) -> DataFrame:
-    """(row_no, pos, line): the first ``max_lines`` distinct cleaned lines of each row, at their original positions."""
-    raw = rows.select("row_no", "input_text").distinct().select("row_no", F.posexplode(F.split(F.coalesce("input_text", F.lit("")), L.LINE_BREAK, -1)).alias("pos", "raw"))
-    lines = T.computed(raw, "row_no", "pos", line=T.prep_line(F.col("raw"))).where((F.length("line") > 0) & ~T.prep_noise(F.col("line")))
-    first = lines.groupBy("row_no", F.lower("line").alias("key")).agg(F.min(F.struct("pos", "line")).alias("first")).select("row_no", "first.pos", "first.line")
-    rank = F.row_number().over(Window.partitionBy("row_no").orderBy("pos"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= max_lines).drop("rank")
-
-
-def grams(lines: DataFrame) -> DataFrame:
-    """(row_no, gram, pair, occurrences, at): words and neighbouring word pairs without noise, with the number of lines they occur in and their first place."""
-    kept = F.filter(T.words(F.col("line"), "[a-z]{3,}"), lambda t: ~T.noise_token(t))
-    toks = T.computed(lines, "row_no", "pos", t=kept)
-    single = toks.select("row_no", "pos", F.posexplode("t").alias("i", "gram"), F.lit(False).alias("pair"))
-    pairs = toks.where(F.size("t") > 1).select(
-        "row_no", "pos", F.posexplode(F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("i", "gram"), F.lit(True).alias("pair")
-    )
-    per_line = single.union(pairs).groupBy("row_no", "gram", "pair", "pos").agg(F.min("i").alias("i"))
-    return per_line.groupBy("row_no", "gram", "pair").agg(F.count("*").alias("occurrences"), F.min(F.struct("pos", "i")).alias("at"))
-
-
-def topics(lines: DataFrame, min_occurrences: int = 3, min_lines: int = 4) -> DataFrame:
+    """(row_no, pos, line): the cleaned lines at their original positions."""
+    return lines_of(rows, max_lines).select("row_no", F.inline("lines"))
+
+
+def grams(rows: DataFrame, max_lines: int = 140) -> DataFrame:
+    """(row_no, gram, pair, occurrences, pos, i): words and neighbouring word pairs without noise, with the number of lines they occur in and their first place."""
+
+    def run(row_no, text):
+        yield row_no, [g._asdict() for g in R.prep_grams(R.prep_lines(text, max_lines))]
+
+    df = R.over_rows(_delivered(rows), run, "row_no long, grams array<struct<gram: string, pair: boolean, occurrences: long, pos: int, i: int>>", [("row_no", pa.int64()), ("grams", _GRAMS)])
+    return df.select("row_no", F.inline("grams"))
+
+
+def profile(rows: DataFrame, min_occurrences: int = 3, min_lines: int = 4, max_lines: int = 140, max_words: int = 12) -> DataFrame:
+    """(row_no, topic, laughter, confusion, positive, negative, sentiment, quote_1, quote_2, lines) of rows with enough cleaned lines, ``lines`` as one text. One pass."""
+
+    def run(row_no, text):
+        lines = R.prep_lines(text, max_lines)
+        if len(lines) >= min_lines:
+            topic = R.prep_topic(R.prep_grams(lines), min_occurrences)
+            yield row_no, topic, *R.prep_sentiment(lines), *R.prep_quotes(lines, topic, max_words), "\n".join(x for _, x in lines)
+
+    names = ("topic", *L.PREP_SENTIMENT, "sentiment", "quote_1", "quote_2", "lines")
+    kinds = [pa.string(), *[pa.int64()] * len(L.PREP_SENTIMENT), *[pa.string()] * 4]
+    schema = "row_no long, " + ", ".join(f"{n} {'long' if k == pa.int64() else 'string'}" for n, k in zip(names, kinds))
+    return R.over_rows(_delivered(rows), run, schema, [("row_no", pa.int64()), *zip(names, kinds)])
+
+
+def topics(rows: DataFrame, min_occurrences: int = 3, min_lines: int = 4) -> DataFrame:
     """(row_no, topic) of rows with enough lines."""
-    rows = lines.groupBy("row_no").agg(F.count("*").alias("n")).where(F.col("n") >= min_lines).select("row_no")
-    best = (
-        grams(lines)
-        .where(F.col("occurrences") >= min_occurrences)
-        .groupBy("row_no")
-        .agg(
-            F.min(F.when(F.col("pair"), F.struct(-F.col("occurrences"), -F.length("gram"), F.col("at"), F.col("gram").alias("gram")))).alias("two"),
-            F.min(F.when(~F.col("pair"), F.struct(-F.col("occurrences"), F.length("gram"), F.col("gram").alias("gram")))).alias("one"),
-        )
-    )
-    return rows.join(best, "row_no", "left").select("row_no", F.coalesce("two.gram", "one.gram", F.lit(L.NO_TOPIC)).alias("topic"))
-
-
-def sentiments(lines: DataFrame, min_lines: int = 4) -> DataFrame:
-    """(row_no, laughter, confusion, positive, negative, sentiment)."""
-    toks = T.words(F.col("line"), "[a-z']+")
-    hits = lambda ws: F.size(F.filter(toks, lambda t: t.isin(ws)))
-    counts = lines.select("row_no", *(hits(ws).alias(k) for k, ws in L.PREP_SENTIMENT.items()))
-    n = counts.groupBy("row_no").agg(F.count("*").alias("n"), *(F.sum(k).alias(k) for k in L.PREP_SENTIMENT)).where(F.col("n") >= min_lines)
-    a, b, p, m = (F.col(k) for k in L.PREP_SENTIMENT)
-    label = F.when((a >= 2) & (a >= F.greatest(b, p, m)), "laughter").when((b >= 2) & (b >= F.greatest(a, p, m)), "confusion").when(p - m >= 2, "approval").when(m - p >= 2, "disapproval").otherwise("mixed")
-    return n.select("row_no", *L.PREP_SENTIMENT, label.alias("sentiment"))
+    return profile(rows, min_occurrences, min_lines).select("row_no", "topic")
 
 
-def readable(line: Column) -> Column:
-    """At least four tokens with a letter, at most half of them emote-like."""
-    lettered = F.filter(T.tokens(line), lambda w: w.rlike("[A-Za-z]"))
-    emotes = F.size(F.filter(lettered, lambda w: (F.regexp_replace(F.lower(w), "[^a-z]", "") != "") & T.noise_token(F.regexp_replace(F.lower(w), "[^a-z]", ""))))
-    return (F.size(T.tokens(line)) >= 4) & (F.size(lettered) >= 4) & (emotes * 2 <= F.size(lettered))
+def sentiments(rows: DataFrame, min_lines: int = 4) -> DataFrame:
+    """(row_no, laughter, confusion, positive, negative, sentiment)."""
+    return profile(rows, min_lines=min_lines).select("row_no", *L.PREP_SENTIMENT, "sentiment")
 
 
-def quotes(lines: DataFrame, topic: DataFrame, max_words: int = 12) -> DataFrame:
+def quotes(rows: DataFrame, max_words: int = 12) -> DataFrame:
     """(row_no, quote_1, quote_2): the two best lines by topic words, charged words and readability; ties by position."""
-    low = F.lower("line")
-    charged = "|".join(sorted({w for ws in L.PREP_SENTIMENT.values() for w in ws}))
-    has_topic = F.col("topic") != L.NO_TOPIC
-    in_topic = F.when(has_topic & low.contains(F.col("topic")), 2).otherwise(0) + F.when(has_topic, F.size(F.filter(F.split("topic", " "), lambda w: low.contains(w)))).otherwise(0)
-    scored = lines.join(topic, "row_no").withColumn("readable", readable(F.col("line"))).withColumn("score", in_topic + F.when(low.rlike(charged), 1).otherwise(0) + F.when(F.col("readable"), 2).otherwise(0))
-    w = Window.partitionBy("row_no")
-    scored = scored.withColumn("n_readable", F.sum(F.col("readable").cast("int")).over(w)).where(F.col("readable") | (F.col("n_readable") < 2))
-    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "pos"))).where("rank <= 2")
-    short = F.when(F.size(T.tokens(F.col("line"))) <= max_words, F.col("line")).otherwise(F.array_join(F.slice(T.tokens(F.col("line")), 1, max_words), " "))
-    return ranked.groupBy("row_no").agg(F.max(F.when(F.col("rank") == 1, short)).alias("quote_1"), F.coalesce(F.max(F.when(F.col("rank") == 2, short)), F.max(F.when(F.col("rank") == 1, short))).alias("quote_2"))
+    return profile(rows, max_words=max_words).select("row_no", "quote_1", "quote_2")
 
 
 def hex_mod6(h: Column) -> Column:
@@ -93,23 +87,18 @@ def hex_mod6(h: Column) -> Column:
 
 def summaries(rows: DataFrame, min_occurrences: int = 3, min_lines: int = 4, max_lines: int = 140) -> DataFrame:
     """(row_no, id, input_text, target_text) of rows with enough cleaned lines."""
-    lines = stored(clean_lines(rows, max_lines), "prep-lines")
-    topic = topics(lines, min_occurrences, min_lines)
     named = rows.select("row_no", F.coalesce("id", F.concat(F.lit("row_"), F.col("row_no"))).alias("id")).distinct()
-    joined = lines.groupBy("row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("input_text"))
-    full = named.join(topic, "row_no").join(sentiments(lines, min_lines).select("row_no", "sentiment"), "row_no").join(quotes(lines, topic), "row_no").join(joined, "row_no")
+    full = named.join(profile(rows, min_occurrences, min_lines, max_lines), "row_no")
     lead = F.element_at(F.array(*map(F.lit, L.LEADS)), hex_mod6(F.md5(F.col("id").cast("binary"))) + 1)
     lead = F.replace(F.replace(lead, F.lit("{topic}"), F.col("topic")), F.lit("{sentiment}"), F.col("sentiment"))
     reason = F.element_at(F.create_map(*(F.lit(x) for kv in L.REASONS.items() for x in kv)), F.col("sentiment"))
-    return full.select("row_no", "id", "input_text", F.concat(lead, F.lit(" Lines such as '"), "quote_1", F.lit("' and '"), "quote_2", F.lit("' "), reason, F.lit(".")).alias("target_text"))
+    return full.select("row_no", "id", F.col("lines").alias("input_text"), F.concat(lead, F.lit(" Lines such as '"), "quote_1", F.lit("' and '"), "quote_2", F.lit("' "), reason, F.lit(".")).alias("target_text"))
 
 
 def totals(rows: DataFrame, min_lines: int = 4) -> DataFrame:
     """One row: rows in, rows out, rows dropped for too few lines, and rows without a topic."""
-    lines = stored(clean_lines(rows), "prep-lines")
-    kept = topics(lines, min_lines=min_lines)
-    n_in = rows.select("row_no", "input_text").distinct().where(T.nonblank(F.col("input_text"))).agg(F.count("*")).scalar()
-    n_out = kept.agg(F.count("*").alias("rows_out"), F.count_if(F.col("topic") == L.NO_TOPIC).alias("fallback_topics"))
+    n_in = _delivered(rows).where(T.nonblank(F.col("input_text"))).agg(F.count("*")).scalar()
+    n_out = topics(rows, min_lines=min_lines).agg(F.count("*").alias("rows_out"), F.count_if(F.col("topic") == L.NO_TOPIC).alias("fallback_topics"))
     return n_out.withColumn("rows_in", n_in).select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("rows_dropped"), "fallback_topics")
 
 

@@ -5,24 +5,19 @@ from __future__ import annotations
 from chatloom import lexicon as L
 from chatloom.operators import prep
 from chatloom.plans import sqlparts as S
-from chatloom.session import stored, table
+from chatloom.session import table
 
 
 def _rows(s, d):
     return table(s, d, "prep_input")
 
 
-def _quotes(s, d):
-    lines = stored(prep.clean_lines(_rows(s, d)), "prep-lines")
-    return prep.quotes(lines, prep.topics(lines))
-
-
 QUERIES = {
     "prep_clean_lines": lambda s, d: prep.clean_lines(_rows(s, d)),
-    "prep_topic_grams": lambda s, d: prep.grams(prep.clean_lines(_rows(s, d))).where("occurrences >= 3").select("row_no", "gram", "occurrences"),
-    "prep_topic": lambda s, d: prep.topics(stored(prep.clean_lines(_rows(s, d)), "prep-lines")),
-    "prep_sentiment": lambda s, d: prep.sentiments(prep.clean_lines(_rows(s, d))),
-    "prep_quotes": _quotes,
+    "prep_topic_grams": lambda s, d: prep.grams(_rows(s, d)).where("occurrences >= 3").select("row_no", "gram", "occurrences"),
+    "prep_topic": lambda s, d: prep.topics(_rows(s, d)),
+    "prep_sentiment": lambda s, d: prep.sentiments(_rows(s, d)),
+    "prep_quotes": lambda s, d: prep.quotes(_rows(s, d)),
     "prep_summaries": lambda s, d: prep.summaries(_rows(s, d)),
     "prep_totals": lambda s, d: prep.totals(_rows(s, d)),
     "prep_label_histogram": lambda s, d: prep.label_histogram(prep.summaries(_rows(s, d)), "target_text"),

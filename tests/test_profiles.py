@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom import lexicon as L
+from chatloom.functions import rows as R
 from chatloom.functions import text as T
 from chatloom.operators import corpus, moments, pack, prep, retrieval, select
 
@@ -14,13 +15,13 @@ def one(spark, f, x):
     "raw, want",
     [("[0:00:01] ann: soooooo good", "sooo good"), ("hey: look: here", "look: here"), ("gift: thanks all", "thanks all"), ("wow wow wow wow", "wow wow"), ("one two two two Two one", "one two two one")],
 )
-def test_prep_line(spark, raw, want):
-    assert one(spark, T.prep_line, raw) == want
+def test_prep_line(raw, want):
+    assert R.prep_line(raw) == want
 
 
 @pytest.mark.parametrize("raw, noise", [("!play now", True), ("@ann -> ok", True), ("12345 !!", True), ("hello there", False), ("привет", False)])
-def test_prep_noise(spark, raw, noise):
-    assert one(spark, T.prep_noise, raw) is noise
+def test_prep_noise(raw, noise):
+    assert R.prep_noise(raw) is noise
 
 
 def test_prep_rows(spark):
@@ -28,8 +29,8 @@ def test_prep_rows(spark):
     df = spark.createDataFrame([(1, None, text), (1, None, text), (2, "b", None), (3, "c", "   "), (4, "d", "a: one line only here")], "row_no long, id string, input_text string")
     lines = prep.clean_lines(df)
     assert lines.where("row_no = 1").count() == 4
-    assert [tuple(r) for r in prep.topics(lines).collect()] == [(1, "plasma rake")]
-    assert prep.sentiments(lines).first()["sentiment"] == "confusion"
+    assert [tuple(r) for r in prep.topics(df).collect()] == [(1, "plasma rake")]
+    assert prep.sentiments(df).first()["sentiment"] == "confusion"
     out = prep.summaries(df).collect()
     assert [r["id"] for r in out] == ["row_1"] and "plasma rake" in out[0]["target_text"]
     assert tuple(prep.totals(df).first()) == (2, 1, 1, 0)
@@ -90,8 +91,8 @@ def test_stored_tables_are_released(spark):
 def test_moments(spark):
     schema = "moment_id long, file_name string, window_id string, messages array<string>, extractive_summary struct<key_messages: array<string>>, abstractive_summary struct<summary: string>"
     df = spark.createDataFrame([(1, "A.json", "w", ["[00:00:01] a: ocean man", "[00:00:02] b: ocean man", None, " "], None, None), (2, None, None, None, None, None), (3, "Vinesauce.json", "x", ["hello vinny"], None, ("s",))], schema)
-    m = moments.messages(df)
-    assert [tuple(r) for r in moments.best_phrases(m).collect()] == [(1, "ocean man", 2)]
+    m = moments.profile(df)
+    assert [tuple(r) for r in m.where("phrase IS NOT NULL").select("moment_id", "phrase", "n").collect()] == [(1, "ocean man", 2)]
     topic = {r["moment_id"]: (r["topic"], r["kind"]) for r in moments.topics(m).collect()}
     assert topic == {1: ("Ocean man", "phrase"), 2: (None, None), 3: ("{streamer}", "entity")}
     out = {r["moment_id"]: r for r in moments.summaries(df).collect()}
@@ -99,6 +100,20 @@ def test_moments(spark):
     assert moments.rewritten(df).where("abstractive_summary.summary IS NULL").count() == 0
 
 
+def test_moment_summary_rules(spark):
+    """Which wording is used: own texts of topics, second tones only beside plain topics, padding, deadpan topics."""
+    schema = "moment_id long, file_name string, window_id string, messages array<string>, extractive_summary struct<key_messages: array<string>>, abstractive_summary struct<summary: string>"
+    said = {1: ["throop what", "throop why", "throop huh", "throop wtf"], 2: ["the plasma rake lol", "plasma rake lol", "plasma rake lol what", "lol what why", "lol what"], 3: ["lol what", "lol what", "lol what"], 4: ["bob bob went home", "bobb", "zed1 zed1", "marta marta", "marta marta"], 5: ["northernlion lol", "northernlion lol", "lol"]}
+    df = spark.createDataFrame([(k, "northernlion1.json", "w", v, None, None) for k, v in said.items()], schema)
+    out = {r["moment_id"]: r for r in moments.summaries(df).collect()}
+    assert (out[1]["tone"], out[1]["secondary"], out[1]["kind"]) == ("laughter", "confusion", "bit") and out[1]["summary"].startswith(tuple(x[:20] for x in moments.TOPIC_TEXTS[out[1]["topic"]]))
+    assert out[2]["topic"] == "Plasma Rake" and out[3]["tone"] == "mixed" and "disbelief and laughter" in out[3]["summary"]
+    assert out[5]["topic"] == "{streamer}" and out[5]["summary"].startswith("{streamer} is what everybody laughs about")
+    assert all(20 <= len(r["summary"].split()) <= 55 for r in out.values())
+    assert {r["moment_id"]: r["person"] for r in moments.profile(df).collect()}[4] == "marta"
+    assert one(spark, lambda c: moments.preview(c, 5), "abcdefg") == "abcde..." and one(spark, lambda c: moments.preview(c, 5), "abc") == "abc"
+
+
 def test_retrieval_numbers(spark):
     docs = spark.createDataFrame([(i, True, "s", ["alpha"] * 2 + (["beta"] if i < 3 else [])) for i in range(10)], "moment_id long, labelled boolean, summary string, tokens array<string>")
     tf = retrieval.term_counts(docs)
