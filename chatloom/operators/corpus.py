@@ -112,7 +112,7 @@ def stratified(pairs: DataFrame, train_ratio: float = 0.85, val_ratio: float = 0
 
 def contiguous(lines: DataFrame, start: int, size: int) -> DataFrame:
     """(window_id, line_no, raw): ``size`` lines of each window from its ``start``-th on (0-based), in order."""
-    return ranked(lines, ["window_id"], [F.col("line_no")], F.expr("line_no div 4096")).where((F.col("rank") > start) & (F.col("rank") <= start + size)).drop("rank")
+    return ranked(lines, ["window_id"], [F.col("line_no")], F.expr("line_no div 4096"), many=True).where((F.col("rank") > start) & (F.col("rank") <= start + size)).drop("rank")
 
 
 def opener_diversity(pairs: DataFrame, words: int = 3) -> DataFrame:

@@ -77,7 +77,7 @@ def output_lines(per: DataFrame, opts: DistillOptions = DistillOptions()) -> Dat
     many = F.col("n") >= _least(opts)
     out = counts.select("window_id", "first_line", F.explode(F.sequence(F.lit(1), F.when(many, F.lit(1)).otherwise(F.col("n").cast("int")))).alias("copy"), F.when(many, F.concat("line", F.lit(" x"), F.col("n").cast("string"))).otherwise(F.col("line")).alias("line"))
     if opts.max_messages > 0:
-        out = ranked(out, ["window_id"], [F.col("first_line"), F.col("copy")], F.expr("first_line div 4096")).where(F.col("rank") <= opts.max_messages).drop("rank")
+        out = ranked(out, ["window_id"], [F.col("first_line"), F.col("copy")], F.expr("first_line div 4096"), many=True).where(F.col("rank") <= opts.max_messages).drop("rank")
     return out
 
 

@@ -34,7 +34,7 @@ def semantic(vectors: DataFrame, max_lines: int = 320, max_selected: int = 80, t
     """
     v = vectors.where("embedding IS NOT NULL").select("vec_id", "label", "embedding")
     if max_lines > 0:
-        v = ranked(v, ["label"], [F.col("vec_id")], F.expr("vec_id div 4096")).where(F.col("rank") <= max_lines).drop("rank")
+        v = ranked(v, ["label"], [F.col("vec_id")], F.expr("vec_id div 4096"), many=True).where(F.col("rank") <= max_lines).drop("rank")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")

@@ -63,7 +63,7 @@ def pairs(spark: SparkSession, path: str, input_key: str = "chat", target_key: s
 def prep_rows(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, id, input_text): JSON lines in file order; a missing id reads ``row_<n>`` over the non-blank rows."""
     v = json_lines(spark, path)
-    n = ranked(v.withColumn("_all", F.lit(0)), ["_all"], [F.col("line_no")], F.expr("line_no div 4096"), "row_no")
+    n = ranked(v.withColumn("_all", F.lit(0)), ["_all"], [F.col("line_no")], F.expr("line_no div 4096"), "row_no", many=True)
     return n.select("row_no", F.coalesce(F.expr("try_variant_get(v, '$.id', 'string')"), F.concat(F.lit("row_"), "row_no")).alias("id"), F.coalesce(F.expr("try_variant_get(v, '$.input_text', 'string')"), F.lit("")).alias("input_text"))
 
 
