@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.lines import alnum_key, lines_of, parse_line
-from chatloom.session import stored
+from chatloom.session import hot_joined, stored
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 #: Posterior beyond which a pair keeps a defect; validated on corrupted clean pairs in tests/llm.
@@ -272,8 +272,10 @@ def labelled(pairs: DataFrame, cutoffs: dict[str, float] | None = None) -> DataF
     )
     counts = pairs.where("summary IS NOT NULL").select("summary").mapInArrow(_grams, "gram long, closes long, inside long")
     opened = rows.where("NOT closed").select("pair_id", F.posexplode("grams").alias("k", "gram"))
-    counts = counts.join(opened.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("closes").alias("closes"), F.sum("inside").alias("inside"))
-    seen = opened.join(counts, "gram", "left").select("pair_id", "k", F.coalesce("closes", F.lit(0)).alias("closes"), F.coalesce("inside", F.lit(0)).alias("inside"))
+    # A last word may be that of a third of all summaries: such grams are met by broadcast.
+    asked = opened.groupBy("gram").agg(F.count("*").alias("uses"))
+    counts = stored(counts.groupBy("gram").agg(F.sum("closes").alias("closes"), F.sum("inside").alias("inside")).join(asked, "gram"), "p1-grams")
+    seen = hot_joined(opened, counts, ["gram"], "uses", 40).select("pair_id", "k", "closes", "inside")
     best = seen.groupBy("pair_id").agg(
         F.max(F.when(F.col("closes") + F.col("inside") >= KNOWN, F.struct("k", "closes", "inside"))).alias("known"),
         F.max(F.when(F.col("k") == 0, F.col("closes") + F.col("inside"))).alias("word"),

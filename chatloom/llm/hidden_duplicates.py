@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.lines import alnum_key, over_records, parse_line
-from chatloom.session import small, stored
+from chatloom.session import HOT, hot_joined, keep, scratch, small, stored
 
 MASK = (1 << 64) - 1
 
@@ -61,25 +61,33 @@ def _content(key: int, messages: list[str]) -> Iterator[tuple]:
 
 def duplicate_members(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """(tbl, rec_id, rep): every record with at least one equal one, and the least record of its group."""
+    spark = tables[0][1].sparkSession
+    with scratch(spark):
+        return keep(_verified(tables))
+
+
+def _verified(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     prints = stored(over_records(tables, _prints, "rec_id long, n int, a long, b long", [("rec_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]), "p3-prints")
-    groups = prints.groupBy("tbl", "n", "a", "b").agg(F.count("*").alias("copies"), F.min("rec_id").alias("rep")).where("copies > 1")
-    members = stored(prints.join(groups, ["tbl", "n", "a", "b"]).select("tbl", "rec_id", "rep"), "p3-members")
+    groups = stored(prints.groupBy("tbl", "n", "a", "b").agg(F.count("*").alias("copies"), F.min("rec_id").alias("rep")).where("copies > 1"), "p3-groups")
+    members = stored(hot_joined(prints, groups, ["tbl", "n", "a", "b"], "copies", 48).select("tbl", "rec_id", "rep", (1 + F.expr(f"copies div {HOT}")).alias("parts")), "p3-members")
     rows = members.count()
     again = []
     for name, df, key, body in tables:
         ids = small(members.where(F.col("tbl") == name).select(F.col("rec_id").alias(key)), 16, rows)
         again.append((name, df.select(key, body).join(ids, key, "left_semi"), key, body))
     content = stored(members.join(over_records(again, _content, "rec_id long, content string", [("rec_id", pa.int64()), ("content", pa.string())]), ["tbl", "rec_id"]), "p3-content")
-    reps = content.where("rec_id = rep").select("tbl", "rep", F.col("content").alias("first"))
-    checked = content.join(reps, ["tbl", "rep"]).select("tbl", "rec_id", "rep", "content", (F.col("content") == F.col("first")).alias("same"))
+    # Members of a hot group are spread over parts, each of which meets a copy of the group's first record.
+    reps = content.where("rec_id = rep").select("tbl", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("content").alias("first"))
+    parted = content.withColumn("part", F.pmod(F.xxhash64("rec_id"), F.col("parts")))
+    checked = parted.join(reps, ["tbl", "rep", "part"]).select("tbl", "rec_id", "rep", "content", (F.col("content") == F.col("first")).alias("same"))
     collided = checked.where("NOT same").select("tbl", "rec_id", "content")
     regrouped = collided.groupBy("tbl", "content").agg(F.min("rec_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    return checked.where("same").select("tbl", "rec_id", "rep").union(collided.join(regrouped, ["tbl", "content"]).select("tbl", "rec_id", "rep"))
+    return stored(checked.where("same").select("tbl", "rec_id", "rep").union(collided.join(regrouped, ["tbl", "content"]).select("tbl", "rec_id", "rep")), "p3-verified")
 
 
 def duplicate_pairs(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """(tbl, key_a, key_b): all pairs of each group, smaller key first."""
-    m = stored(duplicate_members(tables), "p3-verified")
+    m = duplicate_members(tables)
     a, b = m.select("tbl", "rep", F.col("rec_id").alias("key_a")), m.select("tbl", "rep", F.col("rec_id").alias("key_b"))
     return a.join(b, ["tbl", "rep"]).where("key_a < key_b").select("tbl", "key_a", "key_b")
 
@@ -89,7 +97,7 @@ def collapse(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 
     Records without messages are kept, each with one copy.
     """
-    m = stored(duplicate_members(tables), "p3-verified")
+    m = duplicate_members(tables)
     copies = m.groupBy("tbl", F.col("rep").alias("rec_id")).agg(F.count("*").alias("n"))
     keys = None
     for name, df, key, _ in tables:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.session import stored
+from chatloom.session import hot_joined, stored
 
 # Letters and signs of one shape, each line in the order of the Latin or plain counterparts named first.
 SAME_SHAPE = {
@@ -111,8 +111,8 @@ def consistent(docs: DataFrame, fold_case: bool = False) -> DataFrame:
 def look_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, look, copies, texts): per document with a visible text the class of its look, how many documents have it and how many different texts they are. Nothing is expanded, whatever the size of a class."""
     h = stored(docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_hashes, "doc_id long, look binary, raw binary"), "p10-looks")
-    texts = h.groupBy("look", "raw").agg(F.count("*").alias("n")).groupBy("look").agg(F.sum("n").alias("copies"), F.count("*").alias("texts"))
-    return h.select("doc_id", "look").join(texts, "look").select("doc_id", F.hex("look").alias("look"), "copies", "texts")
+    texts = stored(h.groupBy("look", "raw").agg(F.count("*").alias("n")).groupBy("look").agg(F.sum("n").alias("copies"), F.count("*").alias("texts")), "p10-classes")
+    return hot_joined(h.select("doc_id", "look"), texts, ["look"], "copies", 40).select("doc_id", F.hex("look").alias("look"), "copies", "texts")
 
 
 def lookalike_pairs(docs: DataFrame) -> DataFrame:
@@ -123,8 +123,9 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
     """
     h = stored(docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_hashes, "doc_id long, look binary, raw binary"), "p10-looks")
     texts = stored(h.groupBy("look", "raw").agg(F.count("*").alias("copies")), "p10-texts")
-    many = texts.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
-    members = stored(h.join(many, "look"), "p10-members")
+    many = stored(texts.groupBy("look").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("n > 1").select("look", "copies"), "p10-many")
+    members = stored(hot_joined(h, many, ["look"], "copies", 32).drop("copies"), "p10-members")
+    many = many.select("look")
     a = members.select(F.col("doc_id").alias("doc_a"), "look", F.col("raw").alias("raw_a"))
     b = members.select(F.col("doc_id").alias("doc_b"), "look", F.col("raw").alias("raw_b"))
     other = stored(texts.join(many, "look").select("look", F.col("raw").alias("raw_b")), "p10-others")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.session import small, stored
+from chatloom.session import hot_joined, small, stored
 
 ID_FORM = r"(?iU)^(.+)_(s[0-9a-f]{8})_(\d+)\s*$"
 #: Components above this share of all records are annealed first, whole in every restart: there are at most 1 / LARGE of them.
@@ -53,8 +53,8 @@ def channel_edges(keys: DataFrame, channels: DataFrame) -> tuple[DataFrame, Data
 
     def star(df: DataFrame, key: str) -> DataFrame:
         df = df.select("channel_id", key).distinct()
-        hub = df.groupBy(key).agg(F.min("channel_id").alias("hub"))
-        return df.join(hub, key).where("channel_id <> hub").select(F.col("channel_id").alias("a"), F.col("hub").alias("b"))
+        hub = stored(df.groupBy(key).agg(F.min("channel_id").alias("hub"), F.count("*").alias("n")), "p2-hubs")
+        return hot_joined(df, hub, [key], "n", 64).where("channel_id <> hub").select(F.col("channel_id").alias("a"), F.col("hub").alias("b"))
 
     edges = star(used, "session").union(star(with_records.where("owner_key <> ''"), "owner_key")).distinct()
     return with_records.select("channel_id"), edges
@@ -157,7 +157,8 @@ def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[floa
 
     Hashed start, then moves and exchanges of whole components by simulated annealing of
     ``moves`` steps a component and ``steps`` at least, in parallel: the few components
-    above LARGE of all records first, from the hash and from the largest-first placement;
+    above LARGE of all records (all, if they are no more than a block) first, from the hash
+    and from the largest-first placement;
     then the rest in blocks of about BLOCK components that share what the large ones leave
     of the proportions. Each restart of each block is a task of its own, and the best of a
     block is kept. The label balanced beside the size is whether a record has a usable
@@ -182,7 +183,7 @@ def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[floa
     record = stored(record, "p2-records")
     sizes = stored(record.groupBy("component").agg(F.count("*").alias("n"), F.sum("label").alias("n_label")), "p2-sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("n_label"), F.lit(0))).first()
-    limit = max(1, int(total[0] * LARGE))
+    limit = 0 if total[1] <= BLOCK else max(1, int(total[0] * LARGE))  # few components are searched all at once
     share = np.array(proportions) / sum(proportions)
     searched = _searched(names, restarts, steps, moves, seed)
     big = sizes.where(F.col("n") > limit).withColumn("block", F.lit(-1).cast("long"))

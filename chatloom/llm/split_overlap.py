@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.lines import NOT_ALNUM, lines_of, parse_line
 from chatloom.llm.related_splits import ID_FORM, name_key
-from chatloom.session import small, stored
+from chatloom.session import hot_joined, keep, scratch, small, stored
 
 #: SIMILARITY in whole numbers, so that no rounding decides a case.
 PART, WHOLE = 4, 5
@@ -171,11 +171,18 @@ def _postings(ranked: np.ndarray, rank: np.ndarray, parts: np.ndarray, scanned:
 
 def overlap_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: pair_id, train, rep), (links: eval_rep, train_rep, similarity) between records and between class representatives."""
+    with scratch(pairs.sparkSession):
+        members, links = _linked(pairs)
+        return keep(members), keep(links)
+
+
+def _linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     src = pairs.where("chat IS NOT NULL AND split IN ('train', 'val', 'test')")
     sketches = stored(src.select("pair_id", "split", "chat").mapInArrow(_sketches, "pair_id long, train boolean, f1 long, f2 long, bag array<int>, signs array<long>"), "p6-sketches")
     slim = sketches.select("pair_id", "train", "f1", "f2")
     groups = slim.groupBy("f1", "f2").agg(F.min("pair_id").alias("rep"), F.count("*").alias("n"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"))
-    copied = stored(slim.join(groups.where("n > 1").drop("n"), ["f1", "f2"]).select("pair_id", "train", "rep", "in_train", "in_eval"), "p6-copied")
+    groups = stored(groups.where("n > 1"), "p6-groups")
+    copied = stored(hot_joined(slim, groups, ["f1", "f2"], "n", 40).select("pair_id", "train", "rep", "in_train", "in_eval"), "p6-copied")
     copies = copied.count()
     # One pass over the sketches tells representatives: a record is its class unless it is among the copied ones.
     flags = small(copied.select("pair_id", "rep", "in_train", "in_eval"), 24, copies)
@@ -210,7 +217,7 @@ def overlap_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     same = copied.where("pair_id = rep AND in_eval AND in_train").select(F.col("pair_id").alias("e"), F.col("pair_id").alias("t"), F.lit(1.0).alias("similarity"))
     members = copied.select("pair_id", "train", "rep").union(slim.join(small(copied.select("pair_id"), 8, copies), "pair_id", "left_anti").select("pair_id", "train", F.col("pair_id").alias("rep")))
-    return members, stored(links.union(same), "p6-links")
+    return stored(members, "p6-members"), stored(links.union(same), "p6-links")
 
 
 def overlap_rows(pairs: DataFrame) -> DataFrame:

@@ -303,7 +303,9 @@ def test_abuse_records_and_rates(spark, labels, rows):
 CLEAN = ["Chat laughs at the {} mishap while the streamer wanders on.", "Viewers greet newcomers and plan a marathon of {} for the next month.", "The streamer refuses to sell the {} and says he can't help with the quest."]
 
 
-def test_broken_pairs_injected(spark):
+@pytest.fixture(scope="module")
+def injected(spark):
+    """Clean pairs, a fifth of them corrupted: (pairs, defect by pair_id)."""
     rng = random.Random(4)
     names = ["rake", "kazoo", "ladle", "spoon", "acorn"]
     rows, want = [], {}
@@ -323,14 +325,32 @@ def test_broken_pairs_injected(spark):
         elif i % 30 == 5:
             s = s.rstrip(".")
         rows.append((i, "x", chat if i != 7 else None, s, 1))
-    df = spark.createDataFrame(rows, PAIRS)
+    return spark.createDataFrame(rows, PAIRS), want
+
+
+def test_broken_pairs_injected(injected):
+    df, want = injected
     got = {r["pair_id"]: r["defect"] for r in broken_pairs.broken(df).collect()}
     right = sum(got.get(k) == v for k, v in want.items())
     assert right >= 0.95 * len(want) and len(got.keys() - want.keys()) <= 0.03 * len(want)
-    assert broken_pairs.labelled(df).count() == len(rows)
+    assert broken_pairs.labelled(df).count() == df.count()
     assert broken_pairs.broken(df.limit(0)).count() == 0
 
 
+def test_cutoffs_are_validated(injected):
+    """On corrupted pairs, no other cutoff tells a defect apart better than the one in use by more than a hundredth of F1."""
+    df, want = injected
+    scores = {r["pair_id"]: r["posteriors"] for r in broken_pairs.labelled(df).collect()}
+    for d, cut in broken_pairs.CUTOFFS.items():
+        true = {k for k, v in want.items() if v == d}
+
+        def f1(c, d=d, true=true):
+            got = {k for k, p in scores.items() if p[d] > c}
+            return 2 * len(got & true) / max(1, len(got) + len(true))
+
+        assert f1(cut) >= max(f1(c / 20) for c in range(1, 20)) - 0.01 and f1(cut) > 0.9, d
+
+
 def test_label_model_recovers_accuracies():
     rng = random.Random(9)
     from collections import Counter
