@@ -118,5 +118,9 @@ def pair_lines(pairs: DataFrame, key: str = "pair_id", chat: str = "chat") -> Da
 
 def texts(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
     """(window_id, text): the distilled lines of each window in order, joined by line feeds. For windows that fit a row, as the chats of pairs do."""
-    d = distilled(lines, opts)
+    return joined(distilled(lines, opts))
+
+
+def joined(d: DataFrame) -> DataFrame:
+    """(window_id, text) from output lines."""
     return d.groupBy("window_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "copy", "line"))), lambda x: x["line"]), "\n").alias("text"))

@@ -11,6 +11,7 @@ MAX_ROUNDS or as soon as a round no longer shrinks.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
+from chatloom.operators import corpus, distill, retrieval
+from chatloom.session import stored
 
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 MAX_ROUNDS = 16
@@ -122,18 +125,42 @@ def chunked(texts: DataFrame, key: str, text: str, max_source: int = 1024, token
     return texts.select(key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, chunk_no int, chunk string, n_tokens int")
 
 
+def packed_items(df: DataFrame, key: str, items: str, budget: int, tokenizer: Callable[[], Tokenizer] = Words) -> DataFrame:
+    """(key, group_no, text, n_items): the items of an array column packed in order into groups within the budget, joined by blanks."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer()
+        for batch in it:
+            rows = [(k, i + 1, " ".join(g), len(g)) for k, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, g in enumerate(packed(xs or [], tok, budget))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int32()), (2, pa.string()), (3, pa.int32())))], [key, "group_no", "text", "n_items"])
+
+    return df.select(key, items).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, group_no int, text string, n_items int")
+
+
 def summarized(texts: DataFrame, key: str, text: str, max_source: int = 1024, max_sentences: int = 2, prefix: str = "", generator: Callable[[], Generator] = lambda: first_sentences, tokenizer: Callable[[], Tokenizer] = Words) -> DataFrame:
     """(key, summary): chunks, hierarchical reduction and clean-up. ``generator`` and ``tokenizer`` are called once a task, so a model loads once per worker."""
 
+    return timed(texts, key, text, max_source, max_sentences, prefix, generator, tokenizer).select(key, "summary")
+
+
+def timed(texts: DataFrame, key: str, text: str, max_source: int = 1024, max_sentences: int = 2, prefix: str = "", generator: Callable[[], Generator] = lambda: first_sentences, tokenizer: Callable[[], Tokenizer] = Words) -> DataFrame:
+    """(key, summary, chunks, latency_ms): as ``summarized``, with the number of chunks and the time of chunk summaries and reduction, without loading and chunking."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, gen = tokenizer(), generator()
         prompt = lambda ps: gen([prefix + p for p in ps]) if prefix else gen(ps)
         for batch in it:
-            out = [reduced(chunks(t, tok, max_source), tok, prompt, max_source) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "raw"])
+            out, n, ms = [], [], []
+            for t in batch.column(1).to_pylist():
+                parts = chunks(t, tok, max_source)
+                start = time.perf_counter()
+                out.append(reduced(parts, tok, prompt, max_source))
+                n.append(len(parts))
+                ms.append(round((time.perf_counter() - start) * 1000, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32()), pa.array(ms, pa.float64())], [key, "raw", "chunks", "latency_ms"])
 
-    raw = texts.select(key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, raw string")
-    return raw.select(key, clean_summary(F.col("raw"), max_sentences).alias("summary"))
+    raw = texts.select(key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, raw string, chunks int, latency_ms double")
+    return raw.select(key, clean_summary(F.col("raw"), max_sentences).alias("summary"), "chunks", "latency_ms")
 
 
 def distinct_sentences(c: Column) -> Column:
@@ -162,12 +189,35 @@ def prompt_block(c: Column, max_lines: int = 220) -> Column:
     return F.when(F.size(lines) == 0, "- (no usable chat lines)").otherwise(F.array_join(F.transform(cut, lambda x: F.concat(F.lit("- "), x)), "\n"))
 
 
+# Our own wording around the lines of a chat.
+ZERO_HEAD, ZERO_TAIL = "Condense the following live chat into one or two plain sentences of 20 to 55 words.\nName no users and no times, and stay with what the lines say.\n\nChat:\n", "\n\nSummary:"
+RULES = "Write one or two sentences of 20 to 55 words.\nSay what the lines show: the subject, then the mood.\nName no users, no times and nothing from outside the chat."
+FEW_HEAD, FEW_CHAT, FEW_SUMMARY, FEW_TARGET, FEW_TAIL = "Examples\n", "Chat:\n", "\nSummary:\n", "\nNow this one\nChat:\n", "\nSummary:"
+
+
 def zero_prompt(c: Column, max_lines: int = 220) -> Column:
     """An instruction, the lines, and the place for the answer."""
-    return F.concat(F.lit("Condense the following live chat into one or two plain sentences of 20 to 55 words.\nName no users and no times, and stay with what the lines say.\n\nChat:\n"), prompt_block(c, max_lines), F.lit("\n\nSummary:"))
+    return F.concat(F.lit(ZERO_HEAD), prompt_block(c, max_lines), F.lit(ZERO_TAIL))
 
 
 def few_prompt(examples: Column, c: Column, rules: str = "", max_lines: int = 220, example_lines: int = 30) -> Column:
     """Rules, worked examples (array of struct(chat, summary)) and the target chat."""
-    shown = F.transform(examples, lambda e: F.concat(F.lit("Chat:\n"), prompt_block(e["chat"], example_lines), F.lit("\nSummary:\n"), e["summary"], F.lit("\n")))
-    return F.concat(F.lit(f"{rules}\n\nExamples\n" if rules else "Examples\n"), F.array_join(shown, "\n"), F.lit("\nNow this one\nChat:\n"), prompt_block(c, max_lines), F.lit("\nSummary:"))
+    shown = F.transform(examples, lambda e: F.concat(F.lit(FEW_CHAT), prompt_block(e["chat"], example_lines), F.lit(FEW_SUMMARY), e["summary"], F.lit("\n")))
+    return F.concat(F.lit(f"{rules}\n\n{FEW_HEAD}" if rules else FEW_HEAD), F.array_join(shown, "\n"), F.lit(FEW_TARGET), prompt_block(c, max_lines), F.lit(FEW_TAIL))
+
+
+def few_prompts(pairs: DataFrame, asked: DataFrame, k: int = 3, rules: str = RULES, max_lines: int = 220, example_lines: int = 30, texts: DataFrame | None = None) -> DataFrame:
+    """(pair_id, prompt): for every ``asked`` pair the rules, its k most similar other valid pairs as worked examples, distilled to a few lines, and its own distilled chat; ``texts`` (pair_id, text) are targets from elsewhere, distilled already."""
+    pool = stored(corpus.valid(pairs), "few-pool")
+    docs = pool.select(F.col("pair_id").alias("moment_id"), retrieval.tokens(F.col("chat")).alias("tokens"))
+    tf = retrieval.term_counts(docs)
+    weights = stored(retrieval.idf(docs, tf), "few-idf")
+    own = distill.texts(distill.pair_lines(pool.join(asked.select("pair_id").distinct(), "pair_id", "left_semi"))) if texts is None else texts.select(F.col("pair_id").alias("window_id"), "text")
+    target = stored(own, "few-targets").withColumnRenamed("window_id", "moment_id")
+    wanted = retrieval.vectors(retrieval.term_counts(target.select("moment_id", retrieval.tokens(F.col("text")).alias("tokens"))), weights)
+    near = stored(retrieval.nearest(wanted, retrieval.vectors(tf, weights), k, target, docs), "few-nearest")
+    used = pool.join(near.select(F.col("example_id").alias("pair_id")).distinct(), "pair_id", "left_semi")
+    short = distill.texts(distill.pair_lines(used), distill.DistillOptions(max_messages=example_lines)).withColumnRenamed("window_id", "pair_id")
+    shown = used.select("pair_id", F.col("target").alias("summary")).join(short, "pair_id", "left").select(F.col("pair_id").alias("example_id"), F.coalesce("text", F.lit("")).alias("chat"), "summary")
+    examples = near.join(shown, "example_id").groupBy("moment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chat", "summary"))), lambda x: F.struct(x["chat"].alias("chat"), x["summary"].alias("summary"))).alias("examples"))
+    return target.join(examples, "moment_id").select(F.col("moment_id").alias("pair_id"), few_prompt(F.col("examples"), F.col("text"), rules, max_lines, example_lines).alias("prompt"))

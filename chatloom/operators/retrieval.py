@@ -5,8 +5,9 @@ documents in blocks of BLOCK queries: each block is a bounded table of postings
 to the executors, documents stream past it once, and every task keeps only the best
 k of each query.
 
-Defined cases: moments without text have no vector and score 0 with nobody; unknown
-tokens weigh idf 1; ties go to the smaller id; null structs and elements are skipped.
+Defined cases: moments without text have no vector and score 0 with everybody; unknown
+tokens weigh idf 1; ties go to the smaller id, also among scores of 0, so every query
+gets k examples if there are as many; null structs and elements are skipped.
 """
 
 from __future__ import annotations
@@ -56,11 +57,11 @@ def vectors(tf: DataFrame, weights: DataFrame) -> DataFrame:
     return w.withColumn("norm", norm).select("moment_id", "token", (F.col("w") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("weight"))
 
 
-def nearest(queries: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
-    """(moment_id, example_id, score, rank): the k most similar examples of each query but itself, from long vectors."""
-    spark = examples.sparkSession
+def nearest(queries: DataFrame, examples: DataFrame, k: int = 3, asked: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
+    """(moment_id, example_id, score, rank): the k most similar examples of each query but itself, at least one, from long vectors; ``asked`` and ``pool`` hold the ids of all queries and examples, also of those without a vector."""
+    spark, k = examples.sparkSession, max(1, k)
     packed = examples.groupBy("moment_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights"))
-    ids = stored(queries.select("moment_id").distinct(), "retrieval-queries")
+    ids = stored((queries if asked is None else asked).select("moment_id").distinct(), "retrieval-queries")
     n_blocks = max(1, -(-ids.count() * 5 // (4 * BLOCK)))
     ids = ids.withColumn("block", F.pmod(F.xxhash64("moment_id"), F.lit(n_blocks)))
     parts = []
@@ -93,11 +94,12 @@ def nearest(queries: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["moment_id", "example_id", "score"])
 
         parts.append(packed.select("moment_id", "tokens", "weights").mapInArrow(scan, "moment_id long, example_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "moment_id long, example_id long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
+    # With fewer than k hits the first examples by id follow with score 0; 2k + 1 of them are enough whatever the hits are.
+    first = (examples if pool is None else pool).select("moment_id").distinct().orderBy("moment_id").limit(2 * k + 1).collect()
+    found = ids.select("moment_id", F.explode(F.array(*(F.lit(r[0]) for r in first)).cast("array<bigint>")).alias("example_id"), F.lit(0.0).alias("score")).where("moment_id <> example_id")
+    for p in parts:
         found = found.union(p)
+    found = found.groupBy("moment_id", "example_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("moment_id").orderBy(F.desc("score"), "example_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

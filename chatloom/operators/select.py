@@ -7,8 +7,13 @@ ties go to the smaller id.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,23 @@ def centroid_scores(vectors: DataFrame) -> DataFrame:
     return v.join(centre, "label").select("vec_id", "label", F.round(dot / F.col("n"), 6).alias("score"))
 
 
+def hashed_embeddings(lines: DataFrame, key: str, group: str, text: str, dims: int = 256) -> DataFrame:
+    """(vec_id, label, embedding) of text lines: signed word hashes of unit length, the stand-in where no model is given."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for t in batch.column(2).to_pylist():
+                e = np.zeros(dims, np.float32)
+                for w in re.findall(r"\w+", (t or "").lower()):
+                    h = zlib.crc32(w.encode())
+                    e[h % dims] += 1 if h >> 16 & 1 else -1
+                out.append(e / max(float(np.linalg.norm(e)), 1e-8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float32()))], ["vec_id", "label", "embedding"])
+
+    return lines.select(F.col(key).cast("long"), group, text).mapInArrow(run, f"vec_id long, label {lines.schema[group].dataType.simpleString()}, embedding array<float>")
+
+
 def semantic(vectors: DataFrame, max_lines: int = 320, max_selected: int = 80, threshold: float = 0.82) -> DataFrame:
     """(vec_id, label): the selected lines of each group, greedy by centroid similarity.
 
@@ -51,4 +73,4 @@ def semantic(vectors: DataFrame, max_lines: int = 320, max_selected: int = 80, t
                     break
         return pdf.iloc[sorted(taken)][["vec_id", "label"]]
 
-    return v.groupBy("label").applyInPandas(choose, "vec_id long, label int")
+    return v.groupBy("label").applyInPandas(choose, f"vec_id long, label {vectors.schema['label'].dataType.simpleString()}")

@@ -22,7 +22,8 @@ def _cleaned(s: SparkSession, d: str) -> DataFrame:
 
 
 def _live(s: SparkSession, d: str) -> DataFrame:
-    return live.run_once(s, live.live_counts(live.log_stream(s, d)), "window_id string, start timestamp, key string, n long", "live")
+    counts = live.run_once(s, live.live_counts(live.log_stream(s, d, closed=True)), "window_id string, start timestamp, key string, n long", "live")
+    return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 QUERIES = {
@@ -40,7 +41,9 @@ QUERIES = {
 
 _C = S.cleaned(S.delivered())
 _OUT = S.distilled(S.delivered())
+_timed = "SELECT window_id, line_no, min(raw) AS raw, min(sent_at) AS sent_at FROM chat_log WHERE sent_at IS NOT NULL AND raw IS NOT NULL GROUP BY window_id, line_no"
 ORACLES = {
+    "live_key_counts": f"SELECT window_id, time_bucket(INTERVAL 5 MINUTES, sent_at) AS start, key, count(*) AS n FROM ({S.cleaned(_timed)}) JOIN (SELECT window_id, line_no, sent_at FROM ({_timed})) USING (window_id, line_no) WHERE status = 'kept' GROUP BY ALL",
     "parse_lines": f"SELECT window_id, line_no, usr AS user_name, txt AS message FROM ({S.parsed(S.delivered())})",
     "system_filter_counts": f"SELECT window_id, count(*) AS lines, count(*) FILTER (status = 'system') AS system_lines FROM ({_C}) GROUP BY window_id",
     "normalize_messages": f"SELECT window_id, line_no, {S.normalized(S.badge_free('txt'))} AS payload FROM ({S.parsed(S.delivered())})",

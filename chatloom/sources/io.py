@@ -9,9 +9,11 @@ permissive ones leave bad lines out; sinks never write to the place they read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +52,14 @@ def _text(v: str, key: str):
     return F.when(F.expr(f"schema_of_variant(variant_get({v}, '$.{key}', 'variant')) = 'STRING'"), got.cast("string"))
 
 
-def pairs(spark: SparkSession, path: str, input_key: str = "chat", target_key: str = "summary", strict: bool = True) -> DataFrame:
-    """(line_no, chat, summary): strict keeps string fields only, permissive turns other values into text; blank ones are left out."""
+def pairs(spark: SparkSession, path: str, input_key: str = "chat", target_key: str = "summary", strict: bool = True, pool_limit: int = 0) -> DataFrame:
+    """(line_no, chat, summary): strict keeps string fields only, permissive turns other values into text; blank ones are left out; ``pool_limit`` keeps the first valid ones only (0: all)."""
     v = json_lines(spark, path, strict)
     field = (lambda k: _text("v", k)) if strict else (lambda k: F.expr(f"try_variant_get(v, '$.{k}', 'string')"))
     df = v.select("line_no", T.strip(field(input_key)).alias("chat"), T.strip(field(target_key)).alias("summary")).where((F.length("chat") > 0) & (F.length("summary") > 0))
     if df.isEmpty():
         raise ValueError(f"no valid pairs in {path}")
-    return df
+    return df.orderBy("line_no").limit(pool_limit) if pool_limit > 0 else df
 
 
 def prep_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -84,6 +86,29 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("error").option("ignoreNullFields", False).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """JSON arrays of objects, one array a file, readable by ``moments``; partitions without rows give empty arrays or empty files."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        for batch in it:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                lines = [*([held] if held is not None else []), *rows]
+                held = lines.pop()
+                yield pa.RecordBatch.from_pydict({"value": pa.array([f"  {x}," for x in lines], pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": [*([f"  {held}"] if held is not None else []), "]"]})
+
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(run, "value string").write.mode("error").text(path)
+
+
+def named_after(path: str, ending: str) -> str:
+    """The default place of a result: beside its source, with another ending."""
+    return re.sub(r"(\.[A-Za-z0-9]+)?/*$", "", path, count=1) + ending
+
+
 def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("error").text(path)
 

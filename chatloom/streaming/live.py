@@ -3,11 +3,14 @@
 Parsing, filtering, normalising and flood compression are the batch expressions, run
 unchanged on a stream; redelivered lines are dropped within the watermark; repeated
 messages are counted per event-time window in append mode, so state is bounded by
-the watermark. Lines without a time can't be placed and are left out.
+the watermark. Lines without a time can't be placed and are left out. Windows later
+than the last watermark stay open until later lines arrive, or until the end of a log
+that is said to be closed.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +40,13 @@ def run_once(spark: SparkSession, stream: DataFrame, schema: str, name: str) ->
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
-def log_stream(spark: SparkSession, directory: str) -> DataFrame:
-    """The chat log as a file stream."""
+def log_stream(spark: SparkSession, directory: str, closed: bool = False) -> DataFrame:
+    """The chat log as a file stream. ``closed``: nothing will follow, so a blank line of the far future comes with it and lets every window complete; for one run over all there is."""
     schema = spark.read.parquet(f"{directory}/chat_log.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{directory}/chat_log.parque[t]")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{directory}/chat_log.parque[t]")
+    if not closed:
+        return stream
+    path = f"{shared_dir(spark)}/live-end-{uuid.uuid4().hex}"
+    last = {"window_id": "", "line_no": -1, "raw": "", "sent_at": dt.datetime(9000, 1, 1)}
+    spark.createDataFrame([tuple(last.get(c) for c in schema.names)], schema).write.parquet(path)
+    return stream.union(spark.readStream.schema(schema).parquet(path))

@@ -66,13 +66,26 @@ def test_answers_and_errors(spark):
 
 
 def test_live_counts(spark, data):
-    out = live.run_once(spark, live.live_counts(live.log_stream(spark, data)), "window_id string, start timestamp, key string, n long", "live-test")
-    batch = spark.read.parquet(f"{data}/chat_log.parquet").where("sent_at IS NOT NULL AND raw IS NOT NULL")
+    """A closed log is counted whole; an open one keeps its last windows back."""
     from chatloom.operators import distill
 
-    whole = distill.cleaned(batch.select("window_id", "line_no", "raw", "sent_at").dropDuplicates(["window_id", "line_no"]), keep=("sent_at",)).where("status = 'kept'")
-    last = whole.agg({"sent_at": "max"}).first()[0]
-    import datetime as dt
-
-    done = whole.where(whole.sent_at < last - dt.timedelta(minutes=30)).count()
-    assert done <= out.agg({"n": "sum"}).first()[0] <= whole.count()
+    schema = "window_id string, start timestamp, key string, n long"
+    whole = live.run_once(spark, live.live_counts(live.log_stream(spark, data, closed=True)), schema, "live-test")
+    still = live.run_once(spark, live.live_counts(live.log_stream(spark, data)), schema, "live-test")
+    batch = spark.read.parquet(f"{data}/chat_log.parquet").where("sent_at IS NOT NULL AND raw IS NOT NULL")
+    kept = distill.cleaned(batch.select("window_id", "line_no", "raw", "sent_at").dropDuplicates(["window_id", "line_no"]), keep=("sent_at",)).where("status = 'kept'").count()
+    assert whole.agg({"n": "sum"}).first()[0] == kept
+    assert still.exceptAll(whole).count() == 0 and still.count() < whole.count()
+
+
+def test_json_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(i, "é" if i % 2 else None) for i in range(9)], "k long, t string").repartition(3)
+    io.write_json_array(df, str(tmp_path / "a"))
+    rows = [r for f in (tmp_path / "a").glob("part*") for r in json.loads(f.read_text())]
+    assert sorted(r["k"] for r in rows) == list(range(9)) and {r["t"] for r in rows} == {"é", None}
+    io.write_json_array(df.limit(0), str(tmp_path / "b"))
+    assert all(json.loads(f.read_text() or "[]") == [] for f in (tmp_path / "b").glob("part*"))
+    assert io.named_after("/x.y/log.txt", ".summary") == "/x.y/log.summary" and io.named_after("/x/dir/", "_a") == "/x/dir_a"
+    p = tmp_path / "p.jsonl"
+    p.write_text("\n".join(json.dumps({"chat": f"c{i}", "summary": "s"}) if i != 1 else "{" for i in range(5)))
+    assert [r["chat"] for r in io.pairs(spark, str(p), strict=False, pool_limit=2).orderBy("line_no").collect()] == ["c0", "c2"]
