@@ -107,7 +107,7 @@ def prep_grams(lines: list[tuple[int, str]]) -> list[Gram]:
 def prep_topic(grams: list[Gram], least: int) -> str:
     many = [g for g in grams if g.occurrences >= least]
     two = min((g for g in many if g.pair), key=lambda g: (-g.occurrences, -len(g.gram), g.pos, g.i, g.gram), default=None)
-    one = min((g for g in many if not g.pair), key=lambda g: (-g.occurrences, len(g.gram), g.gram), default=None)
+    one = min((g for g in many if not g.pair), key=lambda g: (-g.occurrences, len(g.gram), g.pos, g.i), default=None)
     return two.gram if two else one.gram if one else L.NO_TOPIC
 
 
@@ -203,13 +203,13 @@ def concepts(combined: list[str]) -> tuple[dict[str, int], str | None, str | Non
     return {k: v for k, v in n.items() if v > 0}, call, max(many)[1] if many else None
 
 
-def moment_phrases(combined: list[str]) -> Counter[str]:
-    """Word pairs and triples that can stand for a topic, by the number of messages with them."""
+def moment_phrases(combined: list[str], aliases: tuple[str, ...] = ()) -> Counter[str]:
+    """Words, word pairs and triples that can stand for a topic, by the number of messages with them; the host's ``aliases`` count whatever their length."""
     out: Counter[str] = Counter()
     for x in combined:
         t = MOMENT_WORD.findall(x.lower())
         strong = [w not in WEAK for w in t]
-        of: set[str] = set()
+        of = {w for w, s in zip(t, strong) if s and (len(w) >= 4 or w in L.SHORT_OK or w in aliases)}
         for k in (2, 3):
             for i in range(len(t) - k + 1):
                 g = t[i : i + k]
@@ -220,8 +220,8 @@ def moment_phrases(combined: list[str]) -> Counter[str]:
 
 
 def best_phrase(phrases: Counter[str], least: int = 2) -> tuple[str, int] | None:
-    """The phrase with the highest weighted count, ties to the alphabetically last."""
-    many = [(round(n * (2.4 if p.count(" ") == 1 else 3.0), 6), p, n) for p, n in phrases.items() if n >= least]
+    """The phrase of two or three words with the highest weighted count, ties to the alphabetically last."""
+    many = [(round(n * (2.4 if p.count(" ") == 1 else 3.0), 6), p, n) for p, n in phrases.items() if n >= least and " " in p]
     return max(many)[1:] if many else None
 
 

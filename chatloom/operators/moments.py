@@ -50,10 +50,10 @@ def _pass(moments: DataFrame, run, names: list[str]) -> DataFrame:
 
 
 def phrases(moments: DataFrame) -> DataFrame:
-    """(moment_id, phrase, n): word pairs and triples that can stand for a topic, by the number of messages with them."""
+    """(moment_id, phrase, n): words, word pairs and triples that can stand for a topic, by the number of messages with them."""
 
-    def run(key, _file, _window, raw, keys):
-        for p, n in R.moment_phrases(R.moment_messages(raw) + R.moment_keys(keys)).items():
+    def run(key, file, _window, raw, keys):
+        for p, n in R.moment_phrases(R.moment_messages(raw) + R.moment_keys(keys), L.ALIASES.get((file or "").lower(), ())).items():
             yield key, p, n
 
     return _pass(moments, run, ["moment_id", "phrase", "n"])

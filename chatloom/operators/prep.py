@@ -2,7 +2,7 @@
 
 Defined cases: rows delivered twice count once; null and blank texts give no lines;
 a null id reads ``row_<row_no>``; ties between one-word topics go to the shorter,
-then the alphabetically first, between two-word topics to the earlier.
+then to the earlier, between two-word topics to the longer, then to the earlier.
 """
 
 from __future__ import annotations

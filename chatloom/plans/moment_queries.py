@@ -58,14 +58,14 @@ _calls = f"SELECT moment_id, min_by(name, (-n, place)) AS name, max(n) + 1 AS n
 CONCEPTS = f"SELECT moment_id, concept, n FROM ({' UNION ALL '.join(_counts)}) WHERE n > 0 UNION ALL SELECT moment_id, 'call', n FROM ({_calls}) UNION ALL SELECT moment_id, 'person', n FROM ({_person})"
 _weak = S.listed([*L.MOMENT_STOPWORDS, *L.MOMENT_NOISE])
 _stop = S.listed(L.MOMENT_STOPWORDS)
+_alias = "CASE file " + " ".join(f"WHEN {S.q(k)} THEN [{S.listed(v)}]" for k, v in L.ALIASES.items()) + " ELSE []::VARCHAR[] END"
 _phr = f"""SELECT moment_id, phrase, count(*) AS n FROM (SELECT DISTINCT moment_id, p, array_to_string(g, ' ') AS phrase FROM (
-    SELECT moment_id, p, t[i:i + k - 1] AS g FROM (SELECT moment_id, p, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM (
-      SELECT moment_id, p, {S.words('x', chr(91) + 'a-z][a-z0-9' + chr(39) + ']+')} AS t, k FROM (SELECT moment_id, generate_subscripts(combined, 1) AS p, unnest(combined) AS x FROM ({M})), (VALUES (2), (3)) AS s(k))))
-    WHERE len(list_distinct(g)) > 1 AND len(list_filter(g, lambda w: w NOT IN ({_weak}))) >= 2 AND g[1] NOT IN ({_stop}) AND g[-1] NOT IN ({_stop})) GROUP BY moment_id, phrase"""
-_best = f"SELECT moment_id, max_by(phrase, (w, phrase)) AS phrase, max_by(n, (w, phrase)) AS n FROM (SELECT *, round(n * CASE WHEN len(string_split(phrase, ' ')) = 2 THEN 2.4::DOUBLE ELSE 3.0::DOUBLE END, 6) AS w FROM ({_phr}) WHERE n >= 2) GROUP BY moment_id"
+    SELECT moment_id, al, p, t[i:i + k - 1] AS g FROM (SELECT moment_id, al, p, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM (
+      SELECT moment_id, al, p, {S.words('x', chr(91) + 'a-z][a-z0-9' + chr(39) + ']+')} AS t, k FROM (SELECT moment_id, {_alias} AS al, generate_subscripts(combined, 1) AS p, unnest(combined) AS x FROM ({M})), (VALUES (1), (2), (3)) AS s(k))))
+    WHERE CASE WHEN len(g) = 1 THEN g[1] NOT IN ({_weak}) AND (length(g[1]) >= 4 OR g[1] IN ({S.listed(L.SHORT_OK)}) OR list_contains(al, g[1])) ELSE len(list_distinct(g)) > 1 AND len(list_filter(g, lambda w: w NOT IN ({_weak}))) >= 2 AND g[1] NOT IN ({_stop}) AND g[-1] NOT IN ({_stop}) END) GROUP BY moment_id, phrase"""
+_best = f"SELECT moment_id, max_by(phrase, (w, phrase)) AS phrase, max_by(n, (w, phrase)) AS n FROM (SELECT *, round(n * CASE WHEN len(string_split(phrase, ' ')) = 2 THEN 2.4::DOUBLE ELSE 3.0::DOUBLE END, 6) AS w FROM ({_phr}) WHERE n >= 2 AND contains(phrase, ' ')) GROUP BY moment_id"
 _rule = lambda needs: " AND ".join(f"coalesce(cs[{S.q(k)}], 0) >= {n}" for k, n in needs)
 _cased = f"array_to_string(list_transform(string_split(phrase, ' '), lambda w: CASE WHEN length(w) > 3 THEN upper(w[1]) || w[2:] WHEN w IN ({S.listed(L.SHORT_OK)}) THEN upper(w) ELSE w END), ' ')"
-_alias = "CASE file " + " ".join(f"WHEN {S.q(k)} THEN [{S.listed(v)}]" for k, v in L.ALIASES.items()) + " ELSE []::VARCHAR[] END"
 _topic_sql = f"""SELECT moment_id, CASE {' '.join(f"WHEN {_rule(n)} THEN replace({S.q(t)}, '{{call}}', coalesce(upper(name[1]) || name[2:], ''))" for n, t, _ in L.TOPIC_RULES)}
       WHEN phrase IS NOT NULL AND NOT list_contains(al, phrase) THEN {_cased} WHEN len(list_filter(al, lambda a: contains(st, a))) > 0 THEN '{{streamer}}' END AS topic,
     CASE {' '.join(f"WHEN {_rule(n)} THEN '{k}'" for n, _, k in L.TOPIC_RULES)} WHEN phrase IS NOT NULL AND NOT list_contains(al, phrase) THEN 'phrase' WHEN len(list_filter(al, lambda a: contains(st, a))) > 0 THEN 'entity' END AS kind

@@ -42,7 +42,7 @@ _grams = f"""SELECT row_no, gram, pair, count(*) AS occurrences, min((pos, i)) A
     UNION ALL SELECT row_no, pos, t[i] || ' ' || t[i + 1], true, i FROM (SELECT row_no, pos, t, unnest(range(1, len(t))) AS i FROM ({_toks}))) GROUP BY ALL) GROUP BY row_no, gram, pair"""
 _enough = f"SELECT row_no FROM ({LINES}) GROUP BY row_no HAVING count(*) >= 4"
 _topic = f"""SELECT row_no, coalesce(two, one, {S.q(L.NO_TOPIC)}) AS topic FROM ({_enough}) LEFT JOIN (
-    SELECT row_no, min_by(gram, (-occurrences, -length(gram), place)) FILTER (pair) AS two, min_by(gram, (-occurrences, length(gram), gram)) FILTER (NOT pair) AS one FROM ({_grams}) WHERE occurrences >= 3 GROUP BY row_no) USING (row_no)"""
+    SELECT row_no, min_by(gram, (-occurrences, -length(gram), place)) FILTER (pair) AS two, min_by(gram, (-occurrences, length(gram), place)) FILTER (NOT pair) AS one FROM ({_grams}) WHERE occurrences >= 3 GROUP BY row_no) USING (row_no)"""
 _n = lambda k: f"len(list_filter({S.words('line', chr(91) + 'a-z' + chr(39) + chr(93) + '+')}, lambda t: t IN ({S.listed(L.PREP_SENTIMENT[k])})))"
 _sent = f"""SELECT row_no, laughter, confusion, positive, negative, CASE WHEN laughter >= 2 AND laughter >= greatest(confusion, positive, negative) THEN 'laughter' WHEN confusion >= 2 AND confusion >= greatest(laughter, positive, negative) THEN 'confusion'
     WHEN positive - negative >= 2 THEN 'approval' WHEN negative - positive >= 2 THEN 'disapproval' ELSE 'mixed' END AS sentiment
