@@ -1,4 +1,4 @@
-"""The prep and moment profiles of one row in plain Python, for one Arrow pass over whole rows.
+"""The distill, prep and moment profiles of one row in plain Python, for one Arrow pass over whole rows.
 
 A row's lines, tokens, grams and counts depend on each other; as column expressions
 they would be nested lambdas, interpreted token by token and worked out again for
@@ -37,6 +37,73 @@ CONCEPTS = {k: compiled(p, re.I) for k, p in L.CONCEPTS.items()}
 CALL = compiled(L.CALL_PATTERN, re.I)
 
 
+# Distill profile
+
+PLAIN_LINE, URL, BADGE, DISTILL_SYSTEM, KEY_WORD = compiled(L.PLAIN_LINE), re.compile(r"(?i)https?://\S+"), compiled(L.BADGE), compiled(L.DISTILL_SYSTEM), re.compile("[a-z0-9']+")
+
+
+def line_parts(raw: str) -> tuple[str, str]:
+    """(user, text): bracket form, else ``user: text``, else the whole line as text."""
+    s = raw.strip()
+    m = BRACKET_LINE.match(s) or PLAIN_LINE.match(s)
+    return (BADGE.sub("", m[1]).strip(), m[2].strip()) if m else ("", s)
+
+
+def payload_of(text: str) -> str:
+    """Without badges, links and mentions, white space squeezed."""
+    if "moments" in text.lower():
+        text = BADGE.sub(" ", text)
+    if "://" in text:
+        text = URL.sub(" ", text)
+    if "@" in text:
+        text = MENTION.sub(" ", text)
+    return " ".join(text.split())
+
+
+def flooded(text: str, threshold: int) -> tuple[str, int]:
+    """The text with token floods compressed, and how many.
+
+    Runs of at least ``threshold`` become ``token xN``; else, with at most two distinct
+    tokens, tokens are listed by count (ties: first seen) in lower case. Shorter texts
+    stay as they are.
+    """
+    t = text.split()
+    if len(t) < max(2, threshold):
+        return text, 0
+    low = [x.lower() for x in t]
+    kinds = Counter(low)
+    if max(kinds.values()) < threshold and len(kinds) > 2:
+        return text, 0
+    out, big, at = [], 0, 0
+    while at < len(t):
+        end = at + 1
+        while end < len(t) and low[end] == low[at]:
+            end += 1
+        if end - at >= threshold:
+            out.append(f"{t[at]} x{end - at}")
+            big += 1
+        else:
+            out += t[at:end]
+        at = end
+    if big:
+        return " ".join(out), big
+    if len(kinds) > 2:
+        return text, 0
+    return " ".join(f"{w} x{n}" if n >= threshold else " ".join([w] * n) for w, n in kinds.most_common()), 1
+
+
+def distilled_line(raw: str, strip_metadata: bool, drop_system: bool, least: int, flood: int) -> tuple[str, str, str, str, int]:
+    """(user, text, payload, status, runs) of a line; ``flood`` 0 leaves floods as they are."""
+    user, text = line_parts(raw)
+    payload = payload_of(text if strip_metadata else raw.strip())
+    if drop_system and (not text or user.lower() in L.DISTILL_BOTS or DISTILL_SYSTEM.search(text.lower())):
+        return user, text, payload, "system", 0
+    if len(payload) < least:
+        return user, text, payload, "noise" if BADGE.search(raw) else "empty", 0
+    payload, runs = flooded(payload, flood) if flood else (payload, 0)
+    return user, text, payload, "kept", runs
+
+
 # Prep profile
 
 

@@ -90,11 +90,6 @@ def dedup_key(c: Column) -> Column:
     return F.array_join(words(c), " ")
 
 
-def run_starts(toks: Column) -> Column:
-    """1-based starts of runs of equal tokens, case apart."""
-    return F.filter(F.sequence(lit(1), F.size(toks)), lambda i: (i == 1) | (F.lower(F.element_at(toks, i)) != F.lower(F.element_at(toks, F.greatest(i - 1, lit(1))))))
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: bound to a lambda's variable, it can't be inlined again and again."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -109,46 +104,6 @@ def computed(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def flood(text: Column, threshold: int) -> Column:
-    """struct(line, runs): the text with token floods compressed, and how many.
-
-    Runs of at least ``threshold`` become ``token xN``; else, with at most two distinct
-    tokens, tokens are listed by count (ties: first seen) in lower case. Shorter texts
-    stay as they are.
-    """
-    out = lambda line, runs: F.struct(line.alias("line"), runs.cast("int").alias("runs"))
-
-    def listed(low: Column) -> Column:
-        count = lambda w: F.size(F.filter(low, lambda x: x == w))
-
-        def shown(w: Column) -> Column:
-            return let(count(w), lambda n: F.when(n >= threshold, F.concat(w, lit(" x"), n.cast("string"))).otherwise(F.array_join(F.array_repeat(w, n), " ")))
-
-        def of(kinds: Column) -> Column:
-            one, two = F.element_at(kinds, 1), F.element_at(kinds, F.size(kinds))
-            first = F.when(count(two) > count(one), two).otherwise(one)
-            return F.when(F.size(kinds) > 2, text).when(F.size(kinds) == 1, shown(one)).otherwise(F.concat_ws(" ", shown(first), shown(F.when(first == one, two).otherwise(one))))
-
-        return let(F.array_distinct(low), lambda kinds: out(of(kinds), F.when(F.size(kinds) > 2, 0).otherwise(1)))
-
-    def folded(t: Column) -> Column:
-        def by_run(runs: Column) -> Column:
-            line = F.transform(runs, lambda r: F.when(r["n"] >= threshold, F.concat(F.element_at(t, r["at"]), lit(" x"), r["n"].cast("string"))).otherwise(F.array_join(F.slice(t, r["at"], r["n"]), " ")))
-            big = F.size(F.filter(runs, lambda r: r["n"] >= threshold))
-            return F.when(big > 0, out(F.array_join(line, " "), big)).otherwise(listed(F.transform(t, F.lower)))
-
-        def sized(s: Column) -> Column:
-            return F.transform(s, lambda x, k: F.struct(x.alias("at"), (F.coalesce(F.try_element_at(s, k + lit(2)), F.size(t) + 1) - x).alias("n")))
-
-        return let(run_starts(t), lambda s: let(sized(s), by_run))
-
-    # Few lines have a flood: a run shows as a back reference, two kinds of tokens in the distinct ones; only such lines are folded.
-    low = F.lower(text)
-    run = low.rlike(rf"(?:^|{L.WS})({L.WS.replace('[', '[^', 1)}+)(?:{L.WS}+\1){{{max(2, threshold) - 1},}}(?:{L.WS}|$)")
-    may = run | (F.size(F.array_distinct(F.array_remove(F.split(low, f"{L.WS}+", -1), ""))) <= 2)
-    return F.when(may, let(tokens(text), lambda t: F.when(F.size(t) < max(2, threshold), out(text, lit(0))).otherwise(folded(t)))).otherwise(out(text, lit(0)))
-
-
 def sentences(c: Column) -> Column:
     """Sentences of a summary: label dropped, split behind . ! ?, closed with a full stop."""
     text = squeeze(F.regexp_replace(strip(c), rf"(?i)^summary:{L.WS}*", ""))

@@ -8,12 +8,15 @@ are collapsed; redelivered lines (same window and number) count once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from chatloom import lexicon as L
+from chatloom.functions import rows as R
 from chatloom.functions import text as T
 from chatloom.operators.ranking import ranked
 
@@ -35,24 +38,26 @@ def delivered(log: DataFrame) -> DataFrame:
     return log.groupBy("window_id", "line_no").agg(F.min("raw").alias("raw")).where(T.nonblank(F.col("raw")))
 
 
-def is_system(user: Column, text: Column) -> Column:
-    return (F.length(text) == 0) | F.lower(user).isin(*L.DISTILL_BOTS) | F.lower(text).rlike(f"(?U){L.DISTILL_SYSTEM}")
-
-
 def cleaned(lines: DataFrame, opts: DistillOptions = DistillOptions(), keep: tuple[str, ...] = ()) -> DataFrame:
     """(window_id, line_no, raw, user, text, payload, status, runs, key): one row a line, status one of kept, system, noise, empty; ``keep`` names columns to carry along."""
     has = ("window_id", "line_no", "raw", *keep)
-    df = T.computed(lines, *has, p=T.parsed(F.col("raw")))
-    df = T.computed(df, *has, "p", payload=T.normalized(T.badge_free(F.col("p.text") if opts.strip_metadata else T.strip(F.col("raw")))))
-    system = is_system(F.col("p.user"), F.col("p.text")) if opts.drop_system_lines else F.lit(False)
-    short = F.length("payload") < opts.min_message_chars
-    status = F.when(system, "system").when(short, F.when(F.col("raw").rlike(L.BADGE), "noise").otherwise("empty")).otherwise("kept")
-    df = T.computed(df, *has, "p", "payload", status=status)
-    plain = F.struct(F.col("payload").alias("line"), F.lit(0).alias("runs"))
-    flood = F.when(F.col("status") == "kept", T.flood(F.col("payload"), max(2, opts.token_flood_threshold))).otherwise(plain) if opts.collapse_token_floods else plain
-    df = T.computed(df, *has, "p", "status", f=flood)
-    df = T.computed(df, *has, "p", "status", "f", key=T.dedup_key(F.col("f.line")) if opts.collapse_duplicate_messages else F.col("line_no").cast("string"))
-    return df.select(*has, "p.user", "p.text", F.col("f.line").alias("payload"), F.when((F.col("status") == "kept") & (F.col("key") == ""), "empty").otherwise(F.col("status")).alias("status"), "f.runs", "key")
+    df = lines.select(*has)
+    least, flood = opts.min_message_chars, max(2, opts.token_flood_threshold) if opts.collapse_token_floods else 0
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = [R.distilled_line(raw or "", opts.strip_metadata, opts.drop_system_lines, least, flood) for raw in batch.column(2).to_pylist()]
+            user, text, payload, status, runs = map(list, zip(*out)) if out else ([], [], [], [], [])
+            if opts.collapse_duplicate_messages:
+                key = [" ".join(R.KEY_WORD.findall(p.lower())) for p in payload]
+                status = ["empty" if k == "" and x == "kept" else x for k, x in zip(key, status)]
+            else:
+                key = [str(n) for n in batch.column(1).to_pylist()]
+            new = [*(pa.array(c, pa.string()) for c in (user, text, payload, status)), pa.array(runs, pa.int32()), pa.array(key, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "user", "text", "payload", "status", "runs", "key"])
+
+    schema = StructType([*df.schema.fields, *(StructField(n, IntegerType() if n == "runs" else StringType()) for n in ("user", "text", "payload", "status", "runs", "key"))])
+    return df.mapInArrow(run, schema)
 
 
 def messages(lines: DataFrame, opts: DistillOptions = DistillOptions()) -> DataFrame:
