@@ -7,7 +7,7 @@ fingerprints (24 bytes a record) are shuffled to find groups; texts of records i
 groups of two or more are read again and compared field by field with the group's
 least record.
 
-Defined cases: records without messages (null, empty or blank only) are no cases;
+Defined cases: records without key can't be named and are no cases; records without messages (null, empty or blank only) are no cases;
 null and blank elements are not counted; a field that a shape lacks differs from
 one that is present; records that share a fingerprint but not their fields (a hash
 collision) are grouped by their fields instead.
@@ -67,6 +67,7 @@ def duplicate_members(tables: list[tuple[str, DataFrame, str, str]]) -> DataFram
 
 
 def _verified(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    tables = [(name, df.where(F.col(key).isNotNull()), key, body) for name, df, key, body in tables]
     prints = stored(over_records(tables, _prints, "rec_id long, n int, a long, b long", [("rec_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]), "p3-prints")
     groups = stored(prints.groupBy("tbl", "n", "a", "b").agg(F.count("*").alias("copies"), F.min("rec_id").alias("rep")).where("copies > 1"), "p3-groups")
     members = stored(hot_joined(prints, groups, ["tbl", "n", "a", "b"], "copies", 48).select("tbl", "rec_id", "rep", (1 + F.expr(f"copies div {HOT}")).alias("parts")), "p3-members")
@@ -101,7 +102,7 @@ def collapse(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     copies = m.groupBy("tbl", F.col("rep").alias("rec_id")).agg(F.count("*").alias("n"))
     keys = None
     for name, df, key, _ in tables:
-        one = df.select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"))
+        one = df.where(F.col(key).isNotNull()).select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"))
         keys = one if keys is None else keys.union(one)
     dropped = m.where("rec_id <> rep").select("tbl", "rec_id")
     return keys.join(dropped, ["tbl", "rec_id"], "left_anti").join(copies, ["tbl", "rec_id"], "left").select("tbl", "rec_id", F.coalesce("n", F.lit(1)).alias("copies"))

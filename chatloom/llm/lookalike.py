@@ -7,7 +7,7 @@ removed, white space of one kind, then composition. Case folding is optional: fo
 comparing looks it is off, since another letter case is another look. Computed once
 per distinct value of a batch.
 
-Defined cases: null stays null; blank and empty texts give their form but are no
+Defined cases: null stays null; documents without doc_id are in no pair or class; blank and empty texts give their form but are no
 cases of equal looks; line breaks of any kind are one line feed, other white space
 is a plain space, white space at line ends and around the text is dropped (it can't be seen).
 """
@@ -110,7 +110,7 @@ def consistent(docs: DataFrame, fold_case: bool = False) -> DataFrame:
 
 def look_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, look, copies, texts): per document with a visible text the class of its look, how many documents have it and how many different texts they are. Nothing is expanded, whatever the size of a class."""
-    h = stored(docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_hashes, "doc_id long, look binary, raw binary"), "p10-looks")
+    h = stored(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(_hashes, "doc_id long, look binary, raw binary"), "p10-looks")
     texts = stored(h.groupBy("look", "raw").agg(F.count("*").alias("n")).groupBy("look").agg(F.sum("n").alias("copies"), F.count("*").alias("texts")), "p10-classes")
     return hot_joined(h.select("doc_id", "look"), texts, ["look"], "copies", 40).select("doc_id", F.hex("look").alias("look"), "copies", "texts")
 
@@ -121,7 +121,7 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
     Only looks with at least two different texts are expanded, and only between
     different texts: copies of one text are never paired with each other.
     """
-    h = stored(docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_hashes, "doc_id long, look binary, raw binary"), "p10-looks")
+    h = stored(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(_hashes, "doc_id long, look binary, raw binary"), "p10-looks")
     texts = stored(h.groupBy("look", "raw").agg(F.count("*").alias("copies")), "p10-texts")
     many = stored(texts.groupBy("look").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("n > 1").select("look", "copies"), "p10-many")
     members = stored(hot_joined(h, many, ["look"], "copies", 32).drop("copies"), "p10-members")

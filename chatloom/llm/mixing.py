@@ -141,7 +141,7 @@ def _hashed(path: str):
 def mixed(docs: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 42, path: str = RANKS) -> DataFrame:
     """(doc_id, source, n_tokens, copies): the documents of the mix, each with how often it is to be used for its source."""
     spark = docs.sparkSession
-    want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("target_share > 0 AND max_repeats > 0").collect()}
+    want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").collect()}
     names = sorted(want)
     if len(names) > SOURCES_MAX:
         raise ValueError(f"more than {SOURCES_MAX} listed sources")
@@ -200,7 +200,7 @@ def shares(docs: DataFrame, targets: DataFrame, total: int | str | None = None,
     """(source, target_share, max_repeats, tokens, actual_share, documents, most_copies) of every listed source."""
     m = stored(mixed(docs, targets, total, seed, path), "p9-mix").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     m = m.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # a row per listed source
-    return targets.join(m, "source", "left").select(
+    return targets.select("source", "target_share", "max_repeats").join(m, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"),
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )

@@ -8,7 +8,7 @@ of a session), splits from component swap search.
 
 Defined cases: null ids and ids not of the form ``Source_session_window`` tie
 nothing (rows with the same id still share a split, null ids are on their own);
-sources unknown to ``channels`` tie nothing; null or blank owners tie nothing;
+rows without any id share one; sources unknown to ``channels`` tie nothing; null or blank owners tie nothing;
 empty tables give empty results; extra columns are ignored.
 """
 
@@ -178,7 +178,7 @@ def assign_splits(pairs: DataFrame, channels: DataFrame, proportions: tuple[floa
         F.when(F.col("channel").isNotNull(), F.concat(F.lit("c"), F.col("channel")))
         .when(F.col("source_key").isNotNull(), F.concat(F.lit("s"), F.col("source_key")))
         .when(F.col("id").isNotNull(), F.concat(F.lit("i"), F.col("id")))
-        .otherwise(F.concat(F.lit("p"), F.col("pair_id"))).alias("component"),
+        .otherwise(F.concat(F.lit("p"), F.coalesce(F.col("pair_id").cast("string"), F.lit("")))).alias("component"),
     )
     record = stored(record, "p2-records")
     sizes = stored(record.groupBy("component").agg(F.count("*").alias("n"), F.sum("label").alias("n_label")), "p2-sizes")

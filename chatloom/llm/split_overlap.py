@@ -13,7 +13,8 @@ again and their bags intersected exactly. No filter drops a case. What is shuffl
 common tokens, which are only looked at, grow faster.
 
 Defined cases: null and blank chats and chats without words make no case; null
-splits are neither training nor evaluation; extra columns are ignored; an empty table
+splits are neither training nor evaluation; records without pair_id can't be named and
+make no case; extra columns are ignored; an empty table
 has no case.
 """
 
@@ -177,7 +178,7 @@ def overlap_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    src = pairs.where("chat IS NOT NULL AND split IN ('train', 'val', 'test')")
+    src = pairs.where("pair_id IS NOT NULL AND chat IS NOT NULL AND split IN ('train', 'val', 'test')")
     sketches = stored(src.select("pair_id", "split", "chat").mapInArrow(_sketches, "pair_id long, train boolean, f1 long, f2 long, bag array<int>, signs array<long>"), "p6-sketches")
     slim = sketches.select("pair_id", "train", "f1", "f2")
     groups = slim.groupBy("f1", "f2").agg(F.min("pair_id").alias("rep"), F.count("*").alias("n"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"))

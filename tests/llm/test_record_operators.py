@@ -248,3 +248,20 @@ def test_a_third_of_all_rows_in_one_group(spark):
     df = pairs_of(spark, rows)
     assert over.overlap_pairs(df).count() == 100 * 100
     assert dup.collapse([("summary_pairs", df, "pair_id", "chat")]).where("copies = 200").count() == 1
+
+
+def test_nulls_and_clashing_columns(spark, data):
+    """Null keys and fields, repeated rows and extra columns with the names that operators use inside."""
+    schema = PAIRS + ", component string, source_key string, rep long, bag string, copies long, look string, n long, tbl string, rec_id long"
+    extra = ("c", "k", 1, "b", 2, "l", 3, "t", 4)
+    chat = "u: one and the same chat of some words\nv: and a line of it"
+    rows = [(None, None, None, None, None, None), (None, "a_s00000001_1", chat, "s", "train", 1), (1, None, chat, None, "val", 1), (2, "A_S00000001_2", chat, "s", "train", 1), (2, "A_S00000001_2", chat, "s", "train", 1), (3, None, None, " ", "test", 1)]
+    df = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    channels = spark.createDataFrame([(1, "a", None, "x", "c"), (None, "b", "o", "x", "c"), (2, None, None, "x", "c")], CHANNELS + ", component string")
+    assert rel.tied_channels(df, channels).count() == 0
+    assert rel.assign_splits(df, channels).count() == len(rows)
+    assert {tuple(r) for r in over.overlap_pairs(df).collect()} == {(1, 2)}
+    t = [("summary_pairs", df, "pair_id", "chat")]
+    assert {r["rec_id"] for r in dup.collapse(t).collect()} >= {1, 3}
+    assert dup.duplicate_pairs(t).where("key_a IS NULL OR key_b IS NULL").count() == 0
+    assert runs.repeated_runs(t).count() == 0 and runs.collapse_runs(t).count() > 0

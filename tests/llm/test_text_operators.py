@@ -371,3 +371,15 @@ def test_very_long_texts_are_read_whole():
     many = "\n".join(f"u: message number {i} of a long chat" for i in range(5000))
     assert broken_pairs.votes(many, ". ".join(f"Message number {i} of a long chat" for i in range(2000)))["copy"][0] == 1
     assert broken_pairs.ending("word " * 50_000 + "the")[1][-1] == "the"
+
+
+def test_nulls_and_clashing_columns_of_texts(spark, labels):
+    """Null keys and fields and extra columns with the names that operators use inside."""
+    docs = spark.createDataFrame([(None, "Chat", "a"), (1, "Ｃhat", "a"), (2, "Chat", None), (2, "Chat", None), (3, None, "a")], "doc_id long, text string, source string").selectExpr("*", "1 AS form", "2 AS look", "3 AS n_tokens", "4 AS copies", "5 AS hash", "6 AS pattern", "7 AS ids")
+    targets = spark.createDataFrame([("a", 1.0, 2, 5, 6), (None, 0.5, 1, 5, 6), ("z", None, None, 5, 6)], "source string, target_share double, max_repeats int, tokens int, documents int")
+    assert {tuple(r) for r in lookalike.lookalike_pairs(docs).collect()} == {(1, 2)} and lookalike.consistent(docs).count() == 5
+    assert encoding.encoded(docs).count() == 5 and mixing.mixed(docs, targets, mixing.CORPUS).count() >= 1 and mixing.shares(docs, targets).count() == 3
+    pairs = spark.createDataFrame([(None, None, None, None, 1), (1, None, "u: hi all", "Viewers greet each other.", 1)], PAIRS).selectExpr("*", "1 AS grams", "2 AS known", "3 AS word", "4 AS defects")
+    assert broken_pairs.labelled(pairs).count() == 2
+    t = ("moment_data", spark.createDataFrame([(None, None, ["u: you absolute bastard, mail me at a@b.example"], None), (1, None, [None, ""], 1)], MOMENTS).selectExpr("*", "1 AS rec_id", "2 AS body", "3 AS tbl"), "moment_id", "messages")
+    assert personal_info.personal_info([t]).count() == 1 and personal_info.redacted([t]).count() == 1 and abuse.scored([t], labels).count() == 1
