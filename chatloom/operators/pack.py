@@ -210,7 +210,7 @@ def few_prompts(pairs: DataFrame, asked: DataFrame, k: int = 3, rules: str = RUL
     """(pair_id, prompt): for every ``asked`` pair the rules, its k most similar other valid pairs as worked examples, distilled to a few lines, and its own distilled chat; ``texts`` (pair_id, text) are targets from elsewhere, distilled already."""
     pool = stored(corpus.valid(pairs), "few-pool")
     docs = pool.select(F.col("pair_id").alias("moment_id"), retrieval.tokens(F.col("chat")).alias("tokens"))
-    tf = retrieval.term_counts(docs)
+    tf = stored(retrieval.term_counts(docs), "few-terms")
     weights = stored(retrieval.idf(docs, tf), "few-idf")
     own = distill.texts(distill.pair_lines(pool.join(asked.select("pair_id").distinct(), "pair_id", "left_semi"))) if texts is None else texts.select(F.col("pair_id").alias("window_id"), "text")
     target = stored(own, "few-targets").withColumnRenamed("window_id", "moment_id")

@@ -24,7 +24,8 @@ from chatloom import lexicon as L
 from chatloom.functions import text as T
 from chatloom.session import stored
 
-BLOCK = 1024
+#: Queries that are scored in one scan of the examples.
+BLOCK = 4096
 
 
 def tokens(c: Column) -> Column:
@@ -60,7 +61,7 @@ def vectors(tf: DataFrame, weights: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, examples: DataFrame, k: int = 3, asked: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
     """(moment_id, example_id, score, rank): the k most similar examples of each query but itself, at least one, from long vectors; ``asked`` and ``pool`` hold the ids of all queries and examples, also of those without a vector."""
     spark, k = examples.sparkSession, max(1, k)
-    packed = examples.groupBy("moment_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights"))
+    packed = stored(examples.groupBy("moment_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights")), "retrieval-examples")
     ids = stored((queries if asked is None else asked).select("moment_id").distinct(), "retrieval-queries")
     n_blocks = max(1, -(-ids.count() * 5 // (4 * BLOCK)))
     ids = ids.withColumn("block", F.pmod(F.xxhash64("moment_id"), F.lit(n_blocks)))

@@ -23,7 +23,7 @@ def _stored_docs(s, d):
 def _vectors(s, d):
     docs = _stored_docs(s, d)
     known = docs.where("labelled")
-    tf = retrieval.term_counts(known)
+    tf = stored(retrieval.term_counts(known), "retrieval-terms")
     weights = retrieval.idf(known, tf)
     return retrieval.vectors(tf, weights), weights, docs
 
