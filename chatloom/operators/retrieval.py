@@ -79,18 +79,24 @@ def nearest(queries: DataFrame, examples: DataFrame, k: int = 3, asked: DataFram
         postings = spark.sparkContext.broadcast({t: (np.array(i, np.int64), np.array(w)) for t, (i, w) in lists.items()})
 
         def scan(it: Iterator[pa.RecordBatch], postings=postings, names=names) -> Iterator[pa.RecordBatch]:
+            table = postings.value
             best: list[list[tuple[float, int]]] = [[] for _ in names]
+            least = np.full(len(names), 1e-9)  # what a score must reach to be among the best k so far
             for batch in it:
                 for doc, toks, ws in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    hit = [(postings.value[t], w) for t, w in zip(toks, ws) if t in postings.value]
-                    score = np.bincount(np.concatenate([h[0] for h, _ in hit]), np.concatenate([h[1] * w for h, w in hit]), len(names)) if hit else np.zeros(len(names))
-                    for q in np.nonzero(score > 0)[0]:
+                    hit = [(table[t], w) for t, w in zip(toks, ws) if t in table]
+                    if not hit:
+                        continue
+                    score = np.round(np.bincount(np.concatenate([h[0] for h, _ in hit]), np.concatenate([h[1] * w for h, w in hit]), len(names)), 9)
+                    for q in np.nonzero(score >= least)[0]:
                         if names[q] != doc:
-                            item = (round(float(score[q]), 9), -doc)
+                            item = (float(score[q]), -doc)
                             if len(best[q]) < k:
                                 heapq.heappush(best[q], item)
                             elif item > best[q][0]:
                                 heapq.heapreplace(best[q], item)
+                            if len(best[q]) == k:
+                                least[q] = best[q][0][0]
             out = [(names[q], -d, s) for q, h in enumerate(best) for s, d in h]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["moment_id", "example_id", "score"])
 
