@@ -84,7 +84,7 @@ URL = re.compile(r"https?://\S+")
 ODD_SIGNS = frozenset("*@$!|0123456789")
 ODD = re.compile(r"\b\w[ .\-_]\w[ .\-_]\w\b|\w[.\-]\w|(\w)\1\1")
 SPACED = re.compile(r"(?<![\w*])(?:[^\W_](?:[ ]|[.\-_])){2,}[^\W_](?![\w*])")
-MASKED = re.compile(r"(?<![\w*])([^\W\d_]{1,3})(\*{1,24})([^\W\d_]{1,3})(?![\w*])")
+MASKED = re.compile(r"(?<![\w*])([^\W\d_]{1,8})(\*{1,24})([^\W\d_]{1,8})(?![\w*])")
 LEET_WORD = re.compile(r"(?<![\w@])[^\W_0-9]*[0-9@$!|4][\w@$!|]*")
 LEET = str.maketrans("013457@$!|9", "oieastasiig")
 SPLIT_WORD = re.compile(r"(?<!\w)([^\W\d_]+)[.\-]([^\W\d_]+)(?!\w)")
@@ -148,6 +148,8 @@ class Spelling:
 
         def leet(m: re.Match) -> str:
             w = m[0]
+            if w.isdigit():
+                return w
             for x in (w.translate(LEET), w.replace("1", "l").translate(LEET)):
                 if x.isalpha() and (k := x if x in FUNCTION else self.word(x)):
                     return k
@@ -155,10 +157,12 @@ class Spelling:
 
         if "*" in text:
             text = MASKED.sub(masked, text)
-        text = SPACED.sub(joined, text)
-        text = SPLIT_WORD.sub(lambda m: self.word(m[1] + m[2]) or m[0], text)
-        text = LEET_WORD.sub(leet, text)
-        return re.sub(r"[^\W\d_]+", lambda m: (self.word(m[0]) or STRETCH.sub(r"\1", m[0])) if STRETCH.search(m[0]) else m[0], text)
+        if ODD.search(text):
+            text = SPACED.sub(joined, text)
+            text = SPLIT_WORD.sub(lambda m: self.word(m[1] + m[2]) or m[0], text)
+        if not ODD_SIGNS.isdisjoint(text):
+            text = LEET_WORD.sub(leet, text)
+        return text if not STRETCH.search(text) else re.sub(r"[^\W\d_]+", lambda m: (self.word(m[0]) or STRETCH.sub(r"\1", m[0])) if STRETCH.search(m[0]) else m[0], text)
 
 
 def units(tokens: list[str]) -> Iterator[str]:
