@@ -77,7 +77,7 @@ QUERIES = {
     "retrieval_summary": lambda s, d: retrieval.summaries(_docs(s, d)),
     "few_prompt": _few,
     "centroid_scores": lambda s, d: select.centroid_scores(_embeddings(s, d)),
-    "semantic_select": lambda s, d: select.semantic(_embeddings(s, d), max_selected=30, threshold=0.3),
+    "semantic_select": lambda s, d: select.semantic(_embeddings(s, d), max_lines=45, max_selected=30, threshold=0.3),
     "pack_chunks": lambda s, d: pack.chunked(_distilled(s, d), "pair_id", "text", 64),
     "pack_items": lambda s, d: pack.packed_items(_pairs(s, d).select("pair_id", T.sentences(F.col("target")).alias("items")), "pair_id", "items", 12),
     "model_comparison": _compared,
@@ -162,7 +162,7 @@ _hier = f"""WITH RECURSIVE c AS MATERIALIZED ({_chunked}), h AS (SELECT pair_id,
     r AS (SELECT pair_id, coalesce(max_by(now, round)[1], '') AS raw FROM h GROUP BY pair_id), sp AS (SELECT pair_id, {_split(_sent_src).replace('target', 'raw')} AS l FROM r)
   SELECT pair_id, CASE WHEN len(l) = 0 THEN '' ELSE array_to_string((list_reduce(list_transform(l, lambda s: [s]), lambda k, y: CASE WHEN len(list_filter(k, lambda p: {_like})) > 0 THEN k ELSE list_concat(k, y) END))[1:2], ' ') END AS summary FROM sp"""
 _dot = lambda a, b: f"list_sum(list_transform({a}, lambda x, i: x * {b}[i]))"
-_greedy = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 320),
+_greedy = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 45),
     c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY label, i) GROUP BY label),
     r AS MATERIALIZED (SELECT vec_id, label, v, row_number() OVER (PARTITION BY label ORDER BY round({_dot('v', 'c')} / greatest(sqrt({_dot('c', 'c')}), 1e-8), 6) DESC, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM e JOIN c USING (label)),
     g AS (SELECT DISTINCT label, 0::BIGINT AS k, n, []::DOUBLE[][] AS taken, []::BIGINT[] AS ids FROM r WHERE n > 30 UNION ALL SELECT g.label, g.k + 1, g.n, CASE WHEN ok THEN list_concat(taken, [v]) ELSE taken END, CASE WHEN ok THEN list_concat(ids, [vec_id]) ELSE ids END
