@@ -265,3 +265,21 @@ def test_nulls_and_clashing_columns(spark, data):
     assert {r["rec_id"] for r in dup.collapse(t).collect()} >= {1, 3}
     assert dup.duplicate_pairs(t).where("key_a IS NULL OR key_b IS NULL").count() == 0
     assert runs.repeated_runs(t).count() == 0 and runs.collapse_runs(t).count() > 0
+
+
+def test_hot_keys_take_the_other_way_to_the_same_result(spark, data, rows, monkeypatch):
+    """With every key of more than a few rows taken as hot, results are those of the shuffle joins."""
+    from chatloom import session
+    from chatloom.llm import broken_pairs, lookalike
+    from chatloom.llm.lines import chat_tables
+
+    def results():
+        pairs, channels, docs = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("summary_pairs", "channels", "documents"))
+        many = pairs.selectExpr("*", "explode(sequence(0, 5)) AS again").selectExpr("pair_id * 10 + again AS pair_id", "chat", "split")
+        return [rows(x) for x in (dup.duplicate_pairs(chat_tables(spark, data)), over.overlap_pairs(many), lookalike.lookalike_pairs(docs), broken_pairs.broken(pairs), rel.tied_channels(pairs, channels))]
+
+    want = results()
+    monkeypatch.setattr(session, "HOT", 2)
+    monkeypatch.setattr(dup, "HOT", 2)
+    monkeypatch.setattr(over, "HOT", 3)
+    assert results() == want and all(want[:4])
