@@ -92,6 +92,7 @@ QUERIES = {
     "cap_by_target": lambda s, d: corpus.cap_by_target(_pairs(s, d), 2).select("pair_id", "target"),
     "cap_by_prefix": lambda s, d: corpus.cap_by_prefix(_pairs(s, d), 3).select("pair_id", "target"),
     "duplicate_targets": lambda s, d: corpus.duplicate_targets(_pairs(s, d)),
+    "near_duplicate_targets": lambda s, d: corpus.near_duplicates(_pairs(s, d)),
     "train_val_split": lambda s, d: corpus.train_val(_pairs(s, d)).select("pair_id", "part"),
     "stratified_split": lambda s, d: corpus.stratified(_raw_pairs(s, d)),
     "split_totals": lambda s, d: corpus.stratified(_raw_pairs(s, d)).groupBy("part").agg(F.count("*").alias("n")),
@@ -201,6 +202,9 @@ ORACLES = {
     "cap_by_target": f"SELECT pair_id, target FROM ({VALID}) QUALIFY row_number() OVER (PARTITION BY target ORDER BY {_h}, pair_id) <= 2",
     "cap_by_prefix": f"SELECT pair_id, target FROM ({VALID}) QUALIFY row_number() OVER (PARTITION BY {_prefix(4)} ORDER BY {_h}, pair_id) <= 3",
     "duplicate_targets": f"SELECT count(*) AS targets, count(*) FILTER (n > 1) AS repeated_targets, coalesce(sum(n - 1) FILTER (n > 1), 0)::BIGINT AS duplicate_targets FROM (SELECT target, count(*) AS n FROM ({VALID}) GROUP BY target)",
+    "near_duplicate_targets": f"""WITH t AS MATERIALIZED (SELECT pair_id, list_sort(list_distinct({_w})) AS w, lower(target) AS low FROM ({VALID})), c AS MATERIALIZED (SELECT CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE ' ' || low END AS said, min(pair_id) AS class_id, any_value(w) AS w FROM t GROUP BY said),
+      l AS (SELECT a.class_id, count(*) AS links FROM c a JOIN c b ON a.class_id <> b.class_id AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.92::DOUBLE * least(len(a.w), len(b.w)) GROUP BY a.class_id)
+      SELECT pair_id, class_id, coalesce(links, 0) AS links FROM t JOIN c ON c.said = CASE WHEN len(t.w) > 0 THEN array_to_string(t.w, ' ') ELSE ' ' || low END LEFT JOIN l USING (class_id)""",
     "train_val_split": f"SELECT pair_id, CASE WHEN r <= least(greatest(floor(n * 0.1::DOUBLE), 1), n - 1) THEN 'val' ELSE 'train' END AS part FROM (SELECT pair_id, row_number() OVER (ORDER BY {_h}, pair_id) AS r, count(*) OVER () AS n FROM ({VALID}))",
     "stratified_split": _strat,
     "split_totals": f"SELECT part, count(*) AS n FROM ({_strat}) GROUP BY part",

@@ -178,6 +178,28 @@ def test_corpus_caps_and_filters(spark):
     assert one(spark, corpus.source_of, "Caseoh_12_3") == "Caseoh" and one(spark, corpus.source_of, "abc") == "unknown"
 
 
+def test_near_duplicates_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(rng.choice([1, 3, 12, 14, 26]))) for _ in range(60)]
+    texts += [t.upper() + "!" for t in texts[:10]] + [t + " new" for t in texts[:20]] + ["🔥", "🔥", "é É", "É é"]
+    v = spark.createDataFrame([(i, None, "c", t) for i, t in enumerate(texts)], "pair_id long, id string, chat string, target string")
+    got = {r["pair_id"]: (r["class_id"], r["links"]) for r in corpus.near_duplicates(v).collect()}
+    import re
+
+    words = [frozenset(re.findall("[a-z0-9']+", t.lower())) for t in texts]
+    said = [(w, "" if w else t.lower()) for w, t in zip(words, texts)]
+    first = {}
+    for i, k in enumerate(said):
+        first.setdefault(k, i)
+    reps = sorted(set(first.values()))
+    like = lambda a, b: bool(words[a] and words[b]) and len(words[a] & words[b]) >= 0.92 * min(len(words[a]), len(words[b]))
+    links = {a: sum(like(a, b) for b in reps if a != b) for a in reps}
+    assert got == {i: (first[k], links[first[k]]) for i, k in enumerate(said)} and any(links.values())
+    assert corpus.near_duplicates(v.limit(0)).count() == 0
+
+
 def test_empty_tables(spark):
     empty = pairs_of(spark, [])
     assert corpus.stratified(empty).count() == 0 and corpus.train_val(corpus.valid(empty)).count() == 0
