@@ -53,7 +53,7 @@ STRONG = (
 # Those of WEAK have harmless senses too: one counts in full only beside what it is aimed at, else two are needed.
 WEAK = {
     "insult": (
-        "bitch", "son of a bitch", "asshole", "dumbass", "dumbfuck", "dickhead", "motherfucker", "cunt", "wanker", "prick", "bastard", "scumbag", "moron", "cretin", "retarded", "idiot", "imbecile", "loser", "piece of shit", "waste of space", "inbred", "whore", "slut", "nobody asked", "nobody loves you", "nobody likes you", "pig", "worm", "trash",
+        "bitch", "son of a bitch", "asshole", "dumbass", "dumbfuck", "dickhead", "motherfucker", "cunt", "wanker", "prick", "bastard", "scumbag", "moron", "cretin", "retarded", "idiot", "imbecile", "loser", "piece of shit", "waste of space", "inbred", "whore", "slut", "worthless", "useless", "disgusting", "pathetic", "ugly", "stupid", "dumb", "degenerate", "freak", "braindead", "brainless", "filth", "garbage", "coward", "pervert", "creep", "parasite", "vermin", "rat", "lowlife", "scum", "twat", "bellend", "tosser", "arsehole", "shithead", "shitbag", "douchebag", "jackass", "nobody asked", "nobody loves you", "nobody likes you", "pig", "worm", "trash",
         "puta", "pendejo", "gilipollas", "cabrón", "imbécil", "cállate", "connard", "connasse", "salope", "enculé", "arschloch", "hurensohn", "schlampe", "fotze", "wichser", "missgeburt", "schwein", "otário", "vadia", "мудак", "сука", "урод", "тварь", "дебил", "ублюдок", "мусор",
     ),
     "threat": ("kill you", "murder you", "murder your", "kill your", "find you and", "find out where you live", "break your legs", "break your neck", "beat you up", "go die", "die in a fire", "would miss you", "disappeared forever", "once you are in the ground", "better off without you", "thrown you away", "crève", "stirb", "morra", "умри"),
@@ -67,9 +67,10 @@ SEEDS = (*STRONG, *(p for ps in WEAK.values() for p in ps))
 # Words that say who is meant, and what takes the sting out: things, moderation.
 YOU = frozenset("you your you're youre yours yourself ya u ur tu te ti tus vos eres du dich dir dein deine ihr euch toi ton ta tes vous você voce seu sua ты тебя тебе вы твой".split())
 PERSON = frozenset("he she him her his they she's he's streamer someone somebody everybody".split())
-GROUPS = frozenset("people women men girls immigrants refugees foreigners migrants jews muslims christians blacks whites asians arabs africans mexicans indians gays lesbians trans disabled cripples elderly kind race tribe locals strangers".split())
+GROUPS = frozenset("people women immigrants refugees foreigners migrants jews muslims christians blacks whites asians arabs africans mexicans indians gays lesbians trans disabled cripples elderly".split())
 THING = frozenset("this that the these those my our a an another every which".split())
 NOBODY = THING | frozenset("it there here what who one".split())
+POINTED = frozenset("the this that these those my our his her their and but if when before after until so".split())
 MODERATION = frozenset("mods mod moderator moderators moderation automod banned bans banning muted timeout timeouts timed slur slurs filter filtered filters rules rule reported reporting warned warning".split())
 # Function words carry no abuse, however rare they are in the corpus.
 FUNCTION = frozenset(
@@ -253,10 +254,11 @@ class Model:
         """Is the seed of ``size`` tokens before ``end`` aimed at somebody?"""
         met = set(tokens)
         you = not YOU.isdisjoint(met)
+        near = tokens[max(0, end - size - 5) : end - size]
         if kind == "group":
-            return not self.groups.isdisjoint(met)
+            return not self.groups.isdisjoint([*near, *tokens[end : end + 5]])
         if kind == "threat":
-            return you and not {"i", "i'll", "i'm", "we", "we'll", "gonna", "someone", "somebody", "hope", "nobody", "should"}.isdisjoint(met) or end == size
+            return you and not {"i", "i'll", "i'm", "we", "we'll", "gonna", "someone", "somebody", "hope", "nobody", "should"}.isdisjoint(near) or end == size
         if kind == "sexual":
             return you or not {"i", "i'd", "i'll", "i'm"}.isdisjoint(met)
         before = tokens[max(0, end - size - 4) : end - size]
@@ -268,7 +270,8 @@ class Model:
                 if before[k] in ("is", "was"):  # a handle is no token, so its place is empty
                     return not subject or subject[-1] in PERSON or subject[-1] not in NOBODY and (len(subject) == 1 or subject[-2] not in THING)
                 break
-        return you or len(tokens) <= 3
+        spoken = max((k for k, t in enumerate(near) if t in YOU), default=-1)
+        return spoken >= 0 and POINTED.isdisjoint(near[spoken + 1 :]) or end < len(tokens) and tokens[end] in YOU or len(tokens) <= 3
 
     def seeds_in(self, tokens: list[str]) -> list[tuple[int, int, float]]:
         """(start, end, weight) of the seeds in a message that don't overlap, the heaviest first. Two weak ones of a kind confirm each other."""

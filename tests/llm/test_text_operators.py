@@ -275,6 +275,7 @@ def test_abuse_spellings(spark, labels, text):
         ("this controller is a piece of shit", False), ("I am such an idiot, forgot the key again", False), ("what an idiot you are", True), ("saying kys gets you banned here", False), ("kys", True),
         ("the rats in the sewer carry diseases", False), ("those immigrants carry diseases", True), ("my whole party is going to be wiped out", False), ("he kicked her ass in the final round", False),
         ("loser of the bet buys pizza", False), ("my save file disappeared forever", False), ("nobody would miss you", True), ("you are such a good healer, never stop", False), ("imagine being this good at jumping", False),
+        ("if you fall there the lava will kill you, I swear", False), ("feed the pig before you go in", False), ("you filthy pig", True), ("the king's men carry diseases", False), ("we are so bad at this, useless team today", False), ("your whole family is worthless", True),
         ("Ich bring dich um", True), ("i hope he gets cancer", True), ("tu es une merde", True),
     ],
 )
