@@ -30,6 +30,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PIECE = 1 << 16
 SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
+#: The tokenizer's own pre-splitting fails on very long runs of white space; such a run is one piece but for its last sign, which may belong to what follows.
+LONG_SPACE = regex.compile(r"\p{White_Space}{2048,}")
+
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -56,9 +59,17 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 def encode_text(text: str | None, enc: tiktoken.Encoding, size: int = PIECE) -> list[int]:
     if not text:
         return []
-    if len(text) <= size:
+    if len(text) <= min(size, 2048):
         return enc.encode_ordinary(text)
-    return [i for p in pieces(text, size) for i in enc.encode_ordinary(p)]
+    out: list[int] = []
+    at = 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += [i for p in pieces(text[at : m.start()], size) for i in enc.encode_ordinary(p)]
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    out += [i for p in pieces(text[at:], size) for i in enc.encode_ordinary(p)]
+    return out
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = RANKS) -> DataFrame:

@@ -36,7 +36,6 @@ SAME_SHAPE = {
 _KEEP = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 _BREAKS = re.compile(r"\r\n?|[\n\v\f\x1c-\x1e\x85  ]")
 _SPACES = re.compile(r"[^\S\n]")
-_ENDS = re.compile(r" +(?=\n|$)")
 
 
 def _ignorable(c: int) -> bool:
@@ -76,7 +75,7 @@ def form(text: str | None, fold_case: bool = False) -> str | None:
     text = _BREAKS.sub("\n", text)
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.translate(TABLE))
-    text = _ENDS.sub("", _SPACES.sub(" ", text)).strip()
+    text = "\n".join(line.rstrip(" ") for line in _SPACES.sub(" ", text).split("\n")).strip()
     return text.casefold() if fold_case else text
 
 

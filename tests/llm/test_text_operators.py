@@ -98,6 +98,15 @@ def test_encoding_pieces_equal_whole():
     assert "".join(encoding.pieces("x" * 100, 10)) == "x" * 100
 
 
+def test_encoding_of_very_long_runs():
+    enc = encoding.encoding()
+    for text in (" " * 2500, "a" + " " * 3000 + "b", "a." + "\n" * 2048 + " b", " " * 2100 + "\n" + "c" + " " * 2100, "x" * 3000 + "\t" * 2200 + "9", "é" + "\u3000" * 2300 + "é"):
+        assert encoding.encode_text(text, enc) == enc.encode_ordinary(text)
+    for sign in (" ", "\n", "a", "1", "!", "é", "\u00a0", "🔥"):
+        text = sign * 1_000_000 + "z"
+        assert enc.decode(encoding.encode_text(text, enc)) == text
+
+
 def test_encoding_defined_cases(spark):
     df = spark.createDataFrame([(1, "hi <|endoftext|>", 5), (2, "", 5), (3, None, 5)], "doc_id long, text string, ids int")
     out = {r["doc_id"]: r["ids"] for r in encoding.encoded(df).collect()}
@@ -384,3 +393,19 @@ def test_nulls_and_clashing_columns_of_texts(spark, labels):
     assert broken_pairs.labelled(pairs).count() == 2
     t = ("moment_data", spark.createDataFrame([(None, None, ["u: you absolute bastard, mail me at a@b.example"], None), (1, None, [None, ""], 1)], MOMENTS).selectExpr("*", "1 AS rec_id", "2 AS body", "3 AS tbl"), "moment_id", "messages")
     assert personal_info.personal_info([t]).count() == 1 and personal_info.redacted([t]).count() == 1 and abuse.scored([t], labels).count() == 1
+
+
+@pytest.mark.parametrize("unit", [" ", "a ", "1", " | ", "\t", "[", "@", "a.", "*", "é", "$1", "mr ", "and x ", "12 a ", "！"])
+def test_very_long_runs_take_no_long_time(unit):
+    """Time grows in proportion to the text, whatever repeats in it."""
+    import time
+
+    from chatloom.llm import hidden_duplicates, repeated_runs, split_overlap
+
+    spelling = abuse.Spelling(["idiot"])
+    model = abuse.Model([("you idiot", "abusive"), ("hello there", "none")], {"": 100}, spelling)
+    text = "u: a" + unit * (60_000 // len(unit)) + "b."
+    for f in (lookalike.form, personal_info.redact, lambda s: abuse.message_strength(s, model, spelling), lambda s: broken_pairs.votes(s, s), broken_pairs.ending, lambda s: repeated_runs.spans([s, s + "x"]), lambda s: list(hidden_duplicates.fields_of([s])), split_overlap.words_of):
+        start = time.perf_counter()
+        f(text)
+        assert time.perf_counter() - start < 3
