@@ -39,7 +39,7 @@ CALL = compiled(L.CALL_PATTERN, re.I)
 
 # Distill profile
 
-PLAIN_LINE, URL, BADGE, DISTILL_SYSTEM, KEY_WORD = compiled(L.PLAIN_LINE), re.compile(r"(?i)https?://\S+"), compiled(L.BADGE), compiled(L.DISTILL_SYSTEM), re.compile("[a-z0-9']+")
+PLAIN_LINE, URL, BADGE, DISTILL_SYSTEM, KEY_WORD = compiled(L.PLAIN_LINE), re.compile(r"(?i)https?://\S+"), compiled(L.BADGE.replace("[0-9]+", "(?<![0-9])[0-9]++", 1)), compiled(L.DISTILL_SYSTEM), re.compile("[a-z0-9']+")
 
 
 def line_parts(raw: str) -> tuple[str, str]:

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from chatloom import lexicon as L
 
 
+#: A long run of digits is tried once.
+BADGE = L.BADGE.replace("[0-9]+", "(?<![0-9])[0-9]++", 1)
+
+
 def lit(x) -> Column:
     return F.lit(x)
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode white space included."""
-    return F.regexp_replace(c, f"^{L.WS}+|{L.WS}+$", "")
+    return F.regexp_replace(c, f"^{L.WS}+|(?<!{L.WS}){L.WS}++$", "")  # inner runs are tried once, however long
 
 
 def squeeze(c: Column) -> Column:
@@ -48,7 +52,7 @@ def count_words(c: Column) -> Column:
 
 
 def without_badge(c: Column) -> Column:
-    return F.regexp_replace(c, L.BADGE, "")
+    return F.regexp_replace(c, BADGE, "")
 
 
 def parsed(raw: Column) -> Column:
@@ -83,7 +87,7 @@ def normalized(c: Column, any_case: bool = True) -> Column:
 
 
 def badge_free(c: Column) -> Column:
-    return squeeze(F.regexp_replace(c, L.BADGE, " "))
+    return squeeze(F.regexp_replace(c, BADGE, " "))
 
 
 def dedup_key(c: Column) -> Column:

@@ -178,6 +178,17 @@ def test_corpus_caps_and_filters(spark):
     assert one(spark, corpus.source_of, "Caseoh_12_3") == "Caseoh" and one(spark, corpus.source_of, "abc") == "unknown"
 
 
+def test_very_long_inner_runs(spark):
+    """White space and digits inside a text cost time in proportion, whatever their number."""
+    import time
+
+    start = time.perf_counter()
+    long = "a" + " " * 300_000 + "b" + "1" * 300_000 + "\n" + "c"
+    assert one(spark, T.strip, f" {long} ") == long and one(spark, T.squeeze, long).startswith("a b1") and one(spark, lambda c: F.size(T.split_lines(c)), long) == 2
+    assert one(spark, T.badge_free, "x 12-year subscriber Moments Badge - Tier 2 " + "1" * 300_000).startswith("x 1")
+    assert R.line_parts("1" * 300_000 + ": hi")[1] == "hi" and time.perf_counter() - start < 30
+
+
 def test_near_duplicates_against_brute_force(spark):
     import random
 
