@@ -50,6 +50,10 @@ FIRST_PERSON = re.compile(
 OWN = re.compile(r"\b(?:i|me|my|we|our)\b|['’]m\b|\b(?:yo|je|ich|eu|mi|mich)\b|\bя\b", re.I)
 OPENING = re.compile(r"^\W*(?:(?:hello|hi|hey|thanks for sharing|thank you)\b[^.]{0,20}[,!.]?\s*(?:however|but)?\s*)?(?:i['’]?m (?:really )?sorry|sorry|my apologies|apologies|unfortunately|as an? (?:\w+ )?(?:assistant|language model|ai)\b|regrettably|lo siento|désolé|es tut mir leid|leider|desculpe|infelizmente|к сожалению)", re.I)
 POLICY = re.compile(r"\b(?:guidelines?|polic(?:y|ies)|safety reasons|sensitive material|against my|not something (?:i|that)|something (?:that )?i (?:can|am|do|will)|blocked|not (?:be )?appropriate|inappropriate|assistant|language model|decline|let me discuss|content rules)\b", re.I)
+# Every match of the patterns above has one of these words; only texts with one are searched.
+SPEAKERS = frozenset("i we my me summary puedo siento je ich mir posso desculpe могу извините przepraszam mogę".split())
+OWN_WORDS = frozenset("i me my we our m yo je ich eu mi mich я".split())
+POLICY_WORDS = frozenset("guideline guidelines policy policies safety sensitive against something blocked appropriate inappropriate assistant language decline discuss rules".split())
 TASK = re.compile(r"\b(?:summari[sz]\w*|condens\w*|this (?:chat|conversation|request|content|text|transcript)|these messages|that request|comment on|help with|provide|assist|anything else)\b", re.I)
 WORDS = {
     "en": "the and is to of in that for with on at his he they it was are this you a an by from about their after while because who all before if not my so",
@@ -79,6 +83,7 @@ SCRIPTS = (("kana", "぀", "ヿ"), ("han", "一", "鿿"), ("hangul", "가", "힯
 
 
 FOREIGN = re.compile("[" + "".join(f"{a}-{b}" for _, a, b in SCRIPTS) + "]")
+NOT_KEY = re.compile(r"[^\w\n]|_")
 LETTER, LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 
 
@@ -120,6 +125,13 @@ def by_signs(text: str) -> str | None:
     return top[0][0] if top and (len(top) == 1 or top[0][1] >= 2 * top[1][1]) else None
 
 
+def alnum_keys(joined: str) -> list[str]:
+    """``alnum_key`` of every line of a text at once."""
+    if not joined.isascii():
+        joined = unicodedata.normalize("NFKC", joined)
+    return NOT_KEY.sub("", joined.casefold()).split("\n")
+
+
 def _differ(a: str | None, b: str | None) -> int:
     return -1 if a is None or b is None else int(a != b)
 
@@ -161,23 +173,25 @@ def votes(chat: str | None, summary: str | None) -> dict[str, tuple[int, ...]]:
     empty = (1 if not text else -1 if short else 0, int(key in PLACEHOLDERS or not key), 1 if not letters else -1 if short else 0)
     if not key or key in PLACEHOLDERS or not letters:
         return {"empty": empty, "refusal": (0, 0, 0, 0), "copy": (-1, -1, -1), "language": (-1, -1, -1)}
-    first = bool(FIRST_PERSON.search(text))
-    task = bool(TASK.search(text))
-    other = -1 if OWN.search(text) else 0  # without the speaker's own voice, missing phrases speak against a refusal
-    refusal = (int(first), 1 if OPENING.search(text) else other, 1 if POLICY.search(text) else other, 1 if task and first else other)
+    said = set(LETTERS.findall(text.lower()))
+    first = (not SPEAKERS.isdisjoint(said) or not text.isascii() and "ぁ" <= max(text)) and bool(FIRST_PERSON.search(text))
+    own = not OWN_WORDS.isdisjoint(said) and bool(OWN.search(text))
+    other = -1 if own else 0  # without the speaker's own voice, missing phrases speak against a refusal
+    policy = not POLICY_WORDS.isdisjoint(said) and bool(POLICY.search(text))
+    refusal = (int(first), 1 if OPENING.search(text) else other, 1 if policy else other, 1 if first and TASK.search(text) else other)
     messages = lines_of(chat)
     if not messages:
         return {"empty": empty, "refusal": refusal, "copy": (-1, -1, -1), "language": (-1, -1, -1)}
     parsed = [parse_line(m) for m in messages]
     texts = [p[2] for p in parsed]
-    keys = [alnum_key(t) for t in texts]
+    joined = "\n".join(texts)
+    keys = alnum_keys(joined)
     share = 0.0
     quick = any(len(k) > 3 and (k in key or key in k) for k in keys) or key in keys
     if quick:
         parts = keys + [alnum_key(m) for m in messages] + [alnum_key((p[1] or "") + p[2]) for p in parsed]
         share = covered(key, [*parts, *(alnum_key(p[0]) for p in parsed if p[0]), *(alnum_key(p[1]) for p in parsed if p[1])])
     words = [w.lower() for w in WORD.findall(text)]
-    joined = " ".join(texts)
     grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if quick else set()
     inside = 0
     if grams:
