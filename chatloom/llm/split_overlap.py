@@ -146,7 +146,7 @@ def postings(b: np.ndarray, ends: np.ndarray, ranked: np.ndarray, rank: np.ndarr
 
 
 def _postings(ranked: np.ndarray, rank: np.ndarray, parts: np.ndarray, scanned: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Postings of (id, bag): the token, how many tokens of the bag start with it, and how many must be shared.
+    """Postings of (id, bag): the token, and in one long (a row less wide) how many tokens of the bag start with it and how many must be shared.
 
     ``parts`` says over how many parts the classes with the token of a rank are split: a
     scanned class goes to one of them, the others to all.
@@ -164,8 +164,8 @@ def _postings(ranked: np.ndarray, rank: np.ndarray, parts: np.ndarray, scanned:
                 again = np.repeat(np.arange(len(row)), many)
                 part = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
                 row, position, token, s0, s1 = (x[again] for x in (row, position, token, s0, s1))
-            out = [ids[row], (part.astype(np.int64) << 32) + token, (n[row] - position).astype(np.int32), -(-PART * n[row] // WHOLE).astype(np.int32), s0, s1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["id", "token", "left", "need", "s0", "s1"])
+            out = [ids[row], (part.astype(np.int64) << 32) + token, ((n[row] - position).astype(np.int64) << 32) + -(-PART * n[row].astype(np.int64) // WHOLE), s0, s1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["id", "token", "room", "s0", "s1"])
 
     return run
 
@@ -194,10 +194,11 @@ def _linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = np.argsort(ranked)
     rank = len(ranked) - 1 - order
     parts = (1 + counts["count"].to_numpy(np.int64) // HOT)[::-1].copy()
-    head = "id long, token long, left int, need int, s0 long, s1 long"
+    head = "id long, token long, room long, s0 long, s1 long"
     ev = reps.where("in_eval").select("pair_id", "bag").mapInArrow(_postings(ranked[order], rank, parts, False), head).alias("e")
     tr = reps.where("in_train").select("pair_id", "bag").mapInArrow(_postings(ranked[order], rank, parts, True), head).alias("t")
-    hit = "e.token = t.token AND e.left >= t.need AND t.left >= e.need AND bit_count(e.s0 ^ t.s0) + bit_count(e.s1 ^ t.s1) <= e.left + t.left - 2 * greatest(e.need, t.need) AND e.id <> t.id"
+    left, need = (lambda x: f"shiftright({x}.room, 32)"), (lambda x: f"({x}.room & 4294967295)")
+    hit = f"e.token = t.token AND {left('e')} >= {need('t')} AND {left('t')} >= {need('e')} AND bit_count(e.s0 ^ t.s0) + bit_count(e.s1 ^ t.s1) <= {left('e')} + {left('t')} - 2 * greatest({need('e')}, {need('t')}) AND e.id <> t.id"
     hits = ev.join(tr, F.expr(hit)).select(F.col("e.id").alias("e"), F.col("t.id").alias("t")).distinct()
     signs = sketches.select("pair_id", F.size("bag").alias("n"), "signs")
     odd = " + ".join(f"bit_count(es[{k}] ^ ts[{k}])" for k in range(LONGS))
