@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chatloom import lexicon as L
 from chatloom.functions import text as T
-from chatloom.operators import distill
+from chatloom.operators import contained, distill
 from chatloom.operators.ranking import hash_bucket, ranked
 from chatloom.session import hot_joined, stored
 
@@ -92,25 +92,17 @@ def near_duplicates(pairs: DataFrame, containment: float = 0.92) -> DataFrame:
 
     Targets with the same set of words (or, without words, the same text but for case) are
     one class. Two classes say the same if they share ``containment`` of the smaller one's
-    words, which covers a Jaccard similarity of 0.86. Of the smaller one's rarest
-    n - ceil(containment * n) + 1 words one is then in the larger one, so only these words
-    meet in a shuffle; the shares are then exact.
+    words, which covers a Jaccard similarity of 0.86. Only the number of such classes
+    leaves a task, never the pairs. Texts are joined by sorting: their files are far smaller
+    than they are in memory, so a broadcast chosen by file size would fill the driver.
     """
     w = F.array_sort(F.array_distinct(T.words(F.col("target"))))
-    docs = stored(T.computed(pairs, "pair_id", w=w, lowered=F.lower("target")).select("pair_id", "w", F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(F.concat(F.lit(" "), "lowered")).alias("said")), "near-texts")
-    classes = stored(docs.groupBy("said").agg(F.min("pair_id").alias("class_id"), F.first("w").alias("w"), F.count("*").alias("n")), "near-classes")
-    every = classes.where(F.size("w") > 0).select("class_id", F.size("w").alias("size"), F.explode("w").alias("word"))
-    order = Window.partitionBy("class_id").orderBy("df", "word")  # the words of one text
-    rare = every.join(every.groupBy("word").agg(F.count("*").alias("df")), "word").withColumn("rank", F.row_number().over(order))
-    rare = rare.where(F.col("rank") <= F.col("size") - F.ceil(F.lit(containment) * F.col("size")) + 1)
-    a, b = rare.select("word", F.col("class_id").alias("a"), F.col("size").alias("a_size")), every.select("word", F.col("class_id").alias("b"), F.col("size").alias("b_size"))
-    met = a.join(b, "word").where("a <> b AND a_size <= b_size").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = classes.select("class_id", "w")
-    both = met.join(of.select(F.col("class_id").alias("a"), F.col("w").alias("aw")), "a").join(of.select(F.col("class_id").alias("b"), F.col("w").alias("bw")), "b")
-    links = stored(both.where(F.size(F.array_intersect("aw", "bw")) >= F.lit(containment) * F.least(F.size("aw"), F.size("bw"))).select("a", "b"), "near-links")
-    n = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count("*").alias("links"))
-    members = hot_joined(docs.select("pair_id", "said"), classes, ["said"], "n", 256).select("pair_id", "class_id")
-    return members.join(n, "class_id", "left").select("pair_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    said = F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(F.concat(F.lit(" "), "lowered"))
+    docs = stored(T.computed(pairs, "pair_id", w=w, lowered=F.lower("target")).select("pair_id", said.alias("said")), "near-texts")
+    classes = stored(docs.groupBy("said").agg(F.min("pair_id").alias("class_id"), F.count("*").alias("n")), "near-classes")
+    links = contained.links(classes.where(~F.col("said").startswith(" ")), containment)
+    linked = stored(classes.join(links, "class_id", "left").withColumn("links", F.coalesce("links", F.lit(0))), "near-links")
+    return hot_joined(docs, linked.hint("merge"), ["said"], "n", 256).select("pair_id", "class_id", "links")
 
 
 def train_val(pairs: DataFrame, val_ratio: float = 0.1, seed: int = 42) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from chatloom import lexicon as L
 from chatloom.functions import rows as R
 from chatloom.functions import text as T
-from chatloom.operators import corpus, moments, pack, prep, retrieval, select
+from chatloom.operators import contained, corpus, moments, pack, prep, retrieval, select
 
 
 def one(spark, f, x):
@@ -211,6 +211,45 @@ def test_near_duplicates_against_brute_force(spark):
     assert corpus.near_duplicates(v.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_blocks(spark):
+    """Many small blocks give the links of one; ids that are null or held twice count as in SQL."""
+    import random
+
+    rng = random.Random(5)
+    texts = {" ".join(sorted(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.choice([1, 2, 12, 13, 20, 25])))) for _ in range(300)}
+    rows = [(None if i == 7 else min(i, 290), t) for i, t in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "class_id long, said string")
+    like = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.92 * min(len(a.split()), len(b.split()))
+    want = {}
+    for i, a in rows:
+        want[i] = want.get(i, 0) + sum(j not in (None, i) and like(a, b) for j, b in rows)
+    want = {i: n for i, n in want.items() if i is not None and n}
+    for block in (contained.BLOCK, 1000):
+        got = contained.links(df, 0.92, block)
+        assert {r["class_id"]: r["links"] for r in got.collect()} == want and len(want) > 100
+
+
+def test_near_duplicates_gather_little(spark):
+    """Texts whose words all are frequent: no pairs are written, and no texts are broadcast, however small their files are."""
+    n = 3000
+    target = F.concat_ws(" ", F.lit("the chat and the streamer"), *[F.concat(F.lit(c), F.pmod(F.xxhash64("id", F.lit(c)), F.lit(6)).cast("string")) for c in "abcdefgh"])
+    v = spark.range(n).select(F.col("id").alias("pair_id"), F.lit(None).cast("string").alias("id"), F.lit("c").alias("chat"), target.alias("target"))
+    written, store = {}, corpus.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        written[name] = out.count()
+        return out
+
+    corpus.stored = counted
+    try:
+        got = corpus.near_duplicates(v)
+        assert got.count() == n
+    finally:
+        corpus.stored = store
+    assert max(written.values()) <= n and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_tables(spark):
     empty = pairs_of(spark, [])
     assert corpus.stratified(empty).count() == 0 and corpus.train_val(corpus.valid(empty)).count() == 0
